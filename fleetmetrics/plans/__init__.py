@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import ranges  # noqa: F401
+from . import grouping, joining, ranges, selecting  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -39,7 +39,7 @@ def prefix_regex(prefix: str = DEFAULT_PREFIX) -> tuple[str, list[str]]:
         else:
             out, i = out + re.escape(prefix[i]), i + 1
     # (?s): the message may contain line breaks
-    return "(?s)" + out.rstrip() + r"([A-Z0-9]+):\s+(.*)$", [*names, "level", "message"]
+    return "(?s)" + out.removesuffix("\\ ") + r"\s*([A-Z0-9]+):\s+(.*)$", [*names, "level", "message"]
 
 
 def parse(lines: DataFrame, prefix: str = DEFAULT_PREFIX, raw: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
