@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import matching as J
+from ..sources.literal import values
 from ..sources.tables import as_labelled, table
 from .registry import M, m, query, r
 
@@ -220,7 +221,7 @@ def union_distinct(spark, sf):
 )
 def values_rel(spark, sf):
     n = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("code")).agg(F.count("*").alias("n"))
-    names = spark.createDataFrame([("F", "done"), ("O", "open"), ("P", "partial")], "code string, name string")
+    names = values(spark, [("F", "done"), ("O", "open"), ("P", "partial")], "code string, name string")
     return n.join(names, "code").select("code", "name", "n")
 
 
