@@ -52,7 +52,7 @@ def top_wal(statements: DataFrame, n: int = TOP) -> DataFrame:
     return _top(s, "bytes", n)
 
 
-def reset_times(counters: DataFrame, keys: Sequence[str], chunk="1h", value: str = "value", ts: str = "ts") -> DataFrame:
+def reset_times(counters: DataFrame, keys: Sequence[str], chunk="5m", value: str = "value", ts: str = "ts") -> DataFrame:
     """Newest reset of each counter series as epoch seconds, seen as a drop of its value; 0 if none.
 
     Neighbours are compared per (series, chunk of time) and then between the chunk ends, so no

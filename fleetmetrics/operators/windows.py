@@ -203,25 +203,38 @@ def link_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_states(linked: DataFrame, grid: Grid, bucket: int, w: int, keys: Sequence[str]) -> DataFrame:
-    """Combine linked bucket states into one ordered state for each (series, grid instant)."""
-    merged = _spread(linked, grid, bucket, w).groupBy(*keys, "_k").agg(
+def _fold(linked: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Merge linked states of neighbouring buckets into one state with the same columns."""
+    return linked.groupBy(*group).agg(
         F.sum("n").alias("n"),
         F.min("first_u").alias("first_u"), F.min_by("first_v", "first_u").alias("first_v"),
         F.max("last_u").alias("last_u"), F.max_by("last_v", "last_u").alias("last_v"),
         F.max_by("pen_u", "last_u").alias("pen_u"), F.max_by("pen_v", "last_u").alias("pen_v"),
-        # the step into the first bucket starts outside the window
-        (F.sum("corr") - F.min_by("x_corr", "first_u")).alias("corr"),
-        (F.sum("chg") - F.min_by("x_chg", "first_u")).alias("chg"),
+        F.sum("corr").alias("corr"), F.sum("chg").alias("chg"),
+        F.min_by("x_corr", "first_u").alias("x_corr"), F.min_by("x_chg", "first_u").alias("x_chg"),
     )
-    return merged.select(*keys, _instant_column(grid), (F.col("_k") * F.lit(grid.step)).alias("_t"), *merged.columns[len(keys) + 1:])
 
 
-def range_states(samples: DataFrame, grid: Grid, window, keys: Sequence[str], value: str = "value", ts: str = "ts", offset=0) -> DataFrame:
+def range_states(
+    samples: DataFrame, grid: Grid, window, keys: Sequence[str], value: str = "value", ts: str = "ts", offset=0, chunk="5m",
+) -> DataFrame:
+    """Ordered state of every (series, grid instant).
+
+    Samples are sorted per (series, chunk); the chunk states are linked per series, folded to
+    grid buckets and spread over the windows, all three on one partitioning by series.
+    """
     w = micros(window)
     g = gcd(grid.step, w)
-    base = _in_reach(samples, keys, grid, w, value, ts, micros(offset))
-    return merge_states(link_states(counter_states(base, keys, g), keys), grid, g, w, keys)
+    fine = gcd(g, micros(chunk))
+    linked = link_states(counter_states(_in_reach(samples, keys, grid, w, value, ts, micros(offset)), keys, fine), keys)
+    if fine != g:
+        linked = _fold(linked.withColumn("_b", ceil_div(F.col("_b") * F.lit(fine), g)), [*keys, "_b"])
+    state = _fold(_spread(linked, grid, g, w), [*keys, "_k"])
+    # the step into the first sample of the window starts outside of it
+    return state.withColumns({"corr": F.col("corr") - F.col("x_corr"), "chg": F.col("chg") - F.col("x_chg")}).select(
+        *keys, _instant_column(grid), (F.col("_k") * F.lit(grid.step)).alias("_t"),
+        "n", "first_u", "first_v", "last_u", "last_v", "pen_u", "pen_v", "corr", "chg",
+    )
 
 
 def _increase() -> Column:

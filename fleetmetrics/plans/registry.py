@@ -34,8 +34,8 @@ DAY_GRID = Grid.of("1d", "2024-01-02", "2024-01-31")
 
 M = """m as (select event_type as metric, concat('h', cast(user_id % 4 as varchar)) as host,
   concat(event_type, '|', 'h', cast(user_id % 4 as varchar)) as series_key, ts, event_id, value from events)"""
-CTR = M + """, ctr as (select series_key, metric, host, ts, event_id, sum(value) over (partition by series_key, cast(ts as date)
-  order by ts, event_id rows between unbounded preceding and current row) as value from m)"""
+CTR = M + """, ctr as (select series_key, metric, host, ts, event_id, round(sum(value) over (partition by series_key, cast(ts as date)
+  order by ts, event_id rows between unbounded preceding and current row), 2) as value from m)"""
 G = "g as (select unnest(generate_series(timestamp '2024-01-01 06:00:00', timestamp '2024-01-31 00:00:00', interval 6 hour)) as t)"
 
 

@@ -244,7 +244,7 @@ def replication_slots(spark, sf):
 )
 def settings_pivot(spark, sf):
     name = F.when(F.col("event_type") == "click", "checkpoint_timeout").when(F.col("event_type") == "view", "checkpoint_completion_target").when(F.col("event_type") == "error", "shared_buffers").otherwise("other")
-    # one row per setting, as a catalogue has it; zero-padded so that text order is numeric order
+    # one row per setting, as a catalogue has it
     top = _events(spark, sf).groupBy(*SNAP, name.alias("name")).agg(F.max(F.floor("value")).cast("string").alias("setting"))
     g = server.settings_gauge(top.where("name <> 'other'"))
     return g.select("host", _T, "checkpoint_timeout", F.col("checkpoint_completion_target").alias("completion"), "shared_buffers")
@@ -279,28 +279,21 @@ def kv_pivot(spark, sf):
 
 @query(
     "disk_mounts",
-    """select concat('/tablespaces/', p_name) as mount_point, p_partkey as minor, p_size * 1000 as total, p_size * 7 as sectors from part where p_size % 2 = 0
-    union all select '/pgdata', p_partkey, p_size * 1000, p_size * 7 from part where p_size % 2 <> 0 and p_partkey % 3 = 0""",
+    """with d as (select case when p_size % 2 = 0 then concat('/tablespaces/', p_name) when p_partkey % 3 = 0 then '/pgdata' end as mount_point, p_size from part)
+    select mount_point, count(*) as n, cast(sum(p_size * 1000) as bigint) as total, cast(sum(p_size * 7) as bigint) as sectors from d where mount_point is not null group by 1""",
 )
 def disk_mounts(spark, sf):
     p = table(spark, sf, "part")
     mount = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/tablespaces/"), F.col("p_name"))).when(F.col("p_partkey") % 3 == 0, "/pgdata").otherwise("/home")
     base = p.select(
         F.col("p_type").alias("host"), F.lit("2024-01-31").cast("timestamp").alias("snapshot_ts"), F.lit(8).alias("major_number"), F.col("p_partkey").alias("minor_number"),
-        mount.alias("mount_point"), F.col("p_size").alias("size"),
+        mount.alias("mount_point"), F.lit("xfs").alias("fs_type"), F.col("p_size").alias("size"),
     )
-    mounts = base.select(*SNAP, "major_number", "minor_number", "mount_point", F.lit("xfs").alias("fs_type"))
-    fs = base.select(
-        *SNAP, "major_number", "minor_number", "mount_point", (F.col("size") * 1000).alias("total_bytes"), F.col("size").alias("available_bytes"),
-        F.col("size").alias("total_file_nodes"), F.col("size").alias("free_file_nodes"),
-    )
-    disk = base.select(*SNAP, "major_number", "minor_number", (F.col("size") * 7).alias("sectors_read"), F.col("size").alias("sectors_written"))
-    keys = [*SNAP, "mount_point", "major_number", "minor_number"]
-    ids = mounts.select(*keys)
-    out = C.data_disk(mounts, fs).select(*SNAP, "mount_point", "total_bytes").withColumn("minor", F.col("total_bytes"))
-    space = C._mounted(mounts).join(fs, keys).select(*keys, F.col("total_bytes").alias("total"))
-    act = C._mounted(mounts).join(disk, [*SNAP, "major_number", "minor_number"]).select(*keys, F.col("sectors_read").alias("sectors"))
-    return space.join(act, keys).select("mount_point", F.col("minor_number").alias("minor"), "total", "sectors")
+    counts = {c: F.col("size") * 1000 for c in ("total_bytes", "available_bytes", "total_file_nodes", "free_file_nodes")}
+    disk = base.withColumns({"sectors_read": F.col("size") * 7, "sectors_written": F.col("size")})
+    space = C.data_disk(base, base.withColumns(counts)).groupBy("mount_point").agg(F.count("*").alias("n"), F.sum("total_bytes").alias("total"))
+    act = C.disk_activity(base, disk).groupBy("mount_point").agg(F.sum("sectors_read").alias("sectors"))
+    return space.join(act, "mount_point")
 
 
 def _statements(spark, sf):
@@ -579,14 +572,14 @@ def drift_known_hash(spark, sf):
 
 @query(
     "hba_drift",
-    """with h as (select p_type as host, p_size as snap, md5(string_agg(concat('host', case when p_partkey % 3 = 0 then '<<NULL>>' else p_brand end, p_name, '<<NULL>>', '<<NULL>>', 'md5', '<<NULL>>'), ',' order by p_partkey)) as hash from part group by 1, 2)
+    """with h as (select concat('h', cast(p_partkey // 50 as varchar)) as host, 1 as snap, md5(string_agg(concat('host', case when p_partkey % 3 = 0 then '<<NULL>>' else p_brand end, p_name, '<<NULL>>', '<<NULL>>', 'md5', '<<NULL>>'), ',' order by p_partkey)) as hash from part group by 1, 2)
     select host, snap, hash from h""",
 )
 def hba_drift(spark, sf):
     p = table(spark, sf, "part")
     none = F.lit(None).cast("string")
     rules = p.select(
-        F.col("p_type").alias("host"), F.col("p_size").alias("snapshot_ts"), F.col("p_partkey").alias("line_number"), F.lit("host").alias("type"),
+        F.concat(F.lit("h"), F.floor(F.col("p_partkey") / 50).cast("string")).alias("host"), F.lit(1).alias("snapshot_ts"), F.col("p_partkey").alias("line_number"), F.lit("host").alias("type"),
         F.when(F.col("p_partkey") % 3 != 0, F.array("p_brand")).alias("database"), F.array("p_name").alias("user_name"), none.alias("address"), none.alias("netmask"),
         F.lit("md5").alias("auth_method"), F.lit(None).cast("array<string>").alias("options"),
     )

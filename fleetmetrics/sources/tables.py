@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
+from ..operators.neighbours import running_total
 from ..session import prepare
 
 
@@ -41,12 +41,9 @@ def event_samples(events: DataFrame) -> DataFrame:
 
 
 def event_counters(samples: DataFrame) -> DataFrame:
-    """Running totals per series that restart every day.
-
-    The sort is per (series, day); it stands for counters that a scraped process keeps itself.
-    """
-    w = Window.partitionBy("series_key", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn("value", F.sum("value").over(w))
+    """Running totals per series that restart every day, as a scraped process would keep them."""
+    total = running_total(samples, ["series_key"], "ts", "value", ["event_id"])
+    return total.withColumn("value", F.round("value", 2))  # the parts have two decimals
 
 
 def as_labelled(samples: DataFrame) -> DataFrame:
