@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import grouping, joining, ranges, scalars, selecting, snapshots  # noqa: F401
+from . import alerting, grouping, joining, ranges, scalars, selecting, snapshots  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

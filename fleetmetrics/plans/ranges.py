@@ -85,10 +85,10 @@ def rate_raw(spark, sf):
     epoch_us(f - (t - interval 1 day)) / 1e6 as h0, epoch_us(t - l) / 1e6 as e0 from s),
   e2 as (select *, case when h0 >= av * 1.1 then av / 2 else h0 end as h1, case when e0 >= av * 1.1 then av / 2 else e0 end as e1,
     case when inc > 0 and fv >= 0 then obs * (fv / inc) end as z from e)
-  select series_key, cast(epoch(t) as bigint) as t, round(inc * ((obs + least(h1, coalesce(z, h1)) + e1) / obs), 4) as value from e2""",
+  select series_key, cast(epoch(t) as bigint) as t, round(inc * ((obs + least(h1, coalesce(z, h1)) + e1) / obs), 7) as value from e2""",
 )
 def increase_extrap(spark, sf):
-    return W.increase(ctr(spark, sf), GRID, RANGE).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+    return W.increase(ctr(spark, sf), GRID, RANGE).select("series_key", epoch().alias("t"), r("value", 7).alias("value"))
 
 
 _LAST2 = """w as (select series_key, t, ts, value, row_number() over (partition by series_key, t order by ts desc, event_id desc) as n
