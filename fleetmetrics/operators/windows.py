@@ -224,9 +224,14 @@ def range_states(
     grid buckets and spread over the windows, all three on one partitioning by series.
     """
     w = micros(window)
+    fine = gcd(gcd(grid.step, w), micros(chunk))
+    states = counter_states(_in_reach(samples, keys, grid, w, value, ts, micros(offset)), keys, fine)
+    return window_states(link_states(states, keys), fine, grid, w, keys)
+
+
+def window_states(linked: DataFrame, fine: int, grid: Grid, w: int, keys: Sequence[str]) -> DataFrame:
+    """Linked states of width ``fine`` folded to one state for each (series, grid instant)."""
     g = gcd(grid.step, w)
-    fine = gcd(g, micros(chunk))
-    linked = link_states(counter_states(_in_reach(samples, keys, grid, w, value, ts, micros(offset)), keys, fine), keys)
     if fine != g:
         linked = _fold(linked.withColumn("_b", ceil_div(F.col("_b") * F.lit(fine), g)), [*keys, "_b"])
     state = _fold(_spread(linked, grid, g, w), [*keys, "_k"])
@@ -261,8 +266,12 @@ def _extrapolation(w: int) -> Column:
 
 def increase(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_key",), extrapolate: bool = True, **kw) -> DataFrame:
     """Reset-aware growth of a counter over the window; needs two samples."""
-    st = range_states(samples, grid, window, keys, **kw).where((F.col("n") >= 2) & (F.col("last_u") > F.col("first_u")))
-    v = _increase() * _extrapolation(micros(window)) if extrapolate else _increase()
+    return increase_of(range_states(samples, grid, window, keys, **kw), micros(window), keys, extrapolate)
+
+
+def increase_of(states: DataFrame, w: int, keys: Sequence[str], extrapolate: bool = True) -> DataFrame:
+    st = states.where((F.col("n") >= 2) & (F.col("last_u") > F.col("first_u")))
+    v = _increase() * _extrapolation(w) if extrapolate else _increase()
     return st.select(*keys, "t", v.alias("value"))
 
 
