@@ -69,3 +69,10 @@ def reset_times(counters: DataFrame, keys: Sequence[str], chunk="5m", value: str
     across = F.lag("last_v").over(Window.partitionBy(*keys).orderBy("_b"))
     edge = ends.withColumn("_q", across).withColumn("edge_u", F.when(F.col("first_v") < F.col("_q"), F.col("first_u")))
     return edge.groupBy(*keys).agg((F.coalesce(F.max(F.greatest("drop_u", "edge_u")), F.lit(0)) / 1e6).alias("time"))
+
+
+def reset_snapshot(counters: DataFrame, keys: Sequence[str] = ("host", "series_key")) -> DataFrame:
+    """Newest reset seen on each host up to the newest snapshot, as one row per host."""
+    t = reset_times(counters, keys)
+    newest = counters.groupBy("host").agg(F.max("ts").alias("snapshot_ts"))
+    return t.groupBy("host").agg(F.max("time").alias("time")).join(newest, "host")
