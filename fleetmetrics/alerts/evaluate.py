@@ -32,6 +32,14 @@ def labels_of(key: Column) -> Column:
     return F.from_json(key, "map<string,string>")
 
 
+_SMALL = 10_000
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """Broadcast a literal relation of known length; leave a long one to the optimizer."""
+    return F.broadcast(df) if n <= _SMALL else df
+
+
 def _uses(spark: SparkSession, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
     """One row for each metric a rule reads, with its matchers and matching labels."""
     rows = []
@@ -41,7 +49,7 @@ def _uses(spark: SparkSession, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
                 pats = [(n, anchored(v) if op in ("=~", "!~") else v, op) for n, op, v in r.matchers]
                 rows.append((i, r.kind, role, metric, [p[0] for p in pats], [p[1] for p in pats], [p[2] for p in pats], list(r.by)))
     schema = "rule_id int, kind string, role string, metric string, m_name array<string>, m_value array<string>, m_op array<string>, by array<string>"
-    return values(spark, rows, schema)
+    return _small(values(spark, rows, schema), len(rows))
 
 
 def _matches(labels: Column) -> Column:
@@ -56,7 +64,7 @@ def _matches(labels: Column) -> Column:
 
 def _attach(vector: DataFrame, uses: DataFrame) -> DataFrame:
     """Vector elements with every rule that reads them; rules without matchers skip the label map."""
-    joined = vector.join(F.broadcast(uses), "metric")
+    joined = vector.join(uses, "metric")
     return joined.where((F.size("m_name") == 0) | _matches(labels_of(F.col("series_key"))))
 
 
@@ -137,7 +145,7 @@ def _forecast(samples: DataFrame, vector: DataFrame, uses: DataFrame, spec: Data
     used = x.groupBy("rule_id", "series_key", "t").agg(
         F.max(F.when(F.col("role") == "a", F.col("value"))).alias("a"), F.max(F.when(F.col("role") == "b", F.col("value"))).alias("b")
     ).select("rule_id", "series_key", "t", F.when(F.col("b") != 0, 100 * ((F.col("b") - F.col("a")) / F.col("b"))).alias("used"))
-    both = line.join(used, ["rule_id", "series_key", "t"], "left").join(F.broadcast(spec.select("rule_id", "minimum")), "rule_id")
+    both = line.join(used, ["rule_id", "series_key", "t"], "left").join(spec.select("rule_id", "minimum"), "rule_id")
     ok = F.col("minimum").isNull() | (F.col("used") > F.col("minimum"))
     return both.where(ok).select("rule_id", "series_key", "t", F.col("p").alias("test"), F.col("p").alias("value"))
 
@@ -181,7 +189,7 @@ def evaluate(samples: DataFrame, rules: Iterable[Rule], grid: W.Grid, lookback="
     frames: list[DataFrame] = []
     if some := of(*_GROUPED):
         frame = _grouped(now(some), _uses(spark, some))
-        floor = F.broadcast(spec.select("rule_id", F.col("minimum").alias("least")))
+        floor = _small(spec.select("rule_id", F.col("minimum").alias("least")), len(numbered))
         frames.append(frame.join(floor, "rule_id").where(F.col("least").isNull() | (F.col("a") >= F.col("least"))).drop("a", "least"))
     if some := of("sum_free_pct"):
         frames.append(_sum_free(now(some), _uses(spark, some)))
@@ -210,7 +218,7 @@ def evaluate(samples: DataFrame, rules: Iterable[Rule], grid: W.Grid, lookback="
     for f in frames[1:]:
         out = out.unionByName(f)
     first = F.timestamp_micros(F.lit(grid.first * grid.step))
-    hits = out.where((F.col("t") >= first) & F.col("test").isNotNull()).join(F.broadcast(spec), "rule_id").where(_holds())
+    hits = out.where((F.col("t") >= first) & F.col("test").isNotNull()).join(_small(spec, len(numbered)), "rule_id").where(_holds())
     return hits.select(
         "rule_id", "alertname", "severity", "severity_num", "service", "hold", "summary", "series_key", labels_of(F.col("series_key")).alias("labels"), "t", "value"
     )

@@ -184,7 +184,7 @@ def conditional_maxima(spark, sf):
 @query(
     "panel_table",
     f"""with {M}, l as (select host, metric, arg_max(value, ts) as v, avg(value) as a from m group by 1, 2), x as (select host, metric, v, a from l)
-    select host as "Host", max(case when metric = 'click' then case when floor(v / 34) = 0 then 'DOWN' when floor(v / 34) = 1 then 'PRIMARY' when floor(v / 34) = 2 then 'REPLICA' else cast(floor(v / 34) as varchar) || '.0' end end) as "State",
+    select host as "Host", max(case when metric = 'click' then case when floor(v / 34) = 0 then 'DOWN' when floor(v / 34) = 1 then 'PRIMARY' when floor(v / 34) = 2 then 'REPLICA' else concat(cast(cast(floor(v / 34) as bigint) as varchar), '.0') end end) as "State",
     round(max(case when metric = 'view' then a end), 5) as "Mean", max(case when metric = 'view' then case when a >= 51 then 'red' when a >= 49 then 'orange' else 'green' end end) as "Band",
     max(concat('db: ', host, ', user: view')) as "Legend" from x group by 1""",
 )

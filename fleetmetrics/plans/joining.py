@@ -10,13 +10,17 @@ from ..sources.literal import values
 from ..sources.tables import as_labelled, table
 from .registry import M, m, query, r
 
-_DAY = F.date_format("ts", "yyyy-MM-dd").alias("day")
+
+def _day():
+    return F.date_format("ts", "yyyy-MM-dd").alias("day")
+
+
 _D = "strftime(ts, '%Y-%m-%d')"
 
 
 def _daily(spark, sf, *keys):
     """Sum and average for each day and key; every check below starts from this small frame."""
-    return m(spark, sf).groupBy(_DAY, *keys).agg(F.sum("value").alias("value"), F.avg("value").alias("avg"), F.count("*").alias("n"))
+    return m(spark, sf).groupBy(_day(), *keys).agg(F.sum("value").alias("value"), F.avg("value").alias("avg"), F.count("*").alias("n"))
 
 
 @query(
@@ -58,7 +62,7 @@ def vector_compare(spark, sf):
 )
 def ignoring_match(spark, sf):
     """Series of all hosts against the first host's, matched on all labels but host."""
-    d = m(spark, sf).groupBy(_DAY, "metric", "host").agg(F.floor(F.max("value") / 100).cast("double").alias("value"))
+    d = m(spark, sf).groupBy(_day(), "metric", "host").agg(F.floor(F.max("value") / 100).cast("double").alias("value"))
     lab = d.select("metric", "day", "value", F.create_map(F.lit("metric"), F.col("metric"), F.lit("host"), F.col("host")).alias("labels"))
     out = J.binary_ignoring(lab, lab.where(F.col("labels")["host"] == "h0"), "!=", ["host"], on_instant="day")
     return out.groupBy("metric").agg(F.count("*").alias("n")).where("n >= 1")
@@ -128,7 +132,7 @@ def absent_targets(spark, sf):
     e = table(spark, sf, "events")
     days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")))
     expected = e.select("user_id").distinct().select("user_id", days.alias("d")).select("user_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
-    return J.absent(expected, e.where("event_type = 'purchase'").select("user_id", _DAY), ["user_id", "day"])
+    return J.absent(expected, e.where("event_type = 'purchase'").select("user_id", _day()), ["user_id", "day"])
 
 
 @query("dim_join", "select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey group by 1")
@@ -146,7 +150,7 @@ def dim_join(spark, sf):
     select b.bucket, b.day, t.event_type, coalesce(c.n, 0) as "count" from b cross join t left join c on c.bucket = b.bucket and c.day = b.day and c.event_type = t.event_type""",
 )
 def zero_fill(spark, sf):
-    e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(10)).alias("bucket"), _DAY, F.lower("event_type").alias("event_type"))
+    e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(10)).alias("bucket"), _day(), F.lower("event_type").alias("event_type"))
     counts = e.groupBy("bucket", "day", "event_type").agg(F.count("*").alias("count"))
     dim = counts.select("bucket", "day").distinct()
     return J.zero_fill(dim, ["click", "view", "error", "purchase", "signup", "logout"], "event_type", counts, ["bucket", "day"])
@@ -203,7 +207,7 @@ def strings_per_group(spark, sf):
 )
 def distinct_core_count(spark, sf):
     """Load against a count of distinct inner groups: two levels of grouping, then a comparison."""
-    e = table(spark, sf, "events").select(_DAY, F.col("event_type").alias("metric"), "user_id")
+    e = table(spark, sf, "events").select(_day(), F.col("event_type").alias("metric"), "user_id")
     per_user = e.groupBy("day", "metric", "user_id").agg(F.count("*").alias("n"))
     c = per_user.groupBy("day", "metric").agg(F.sum("n").alias("n"), F.count("*").alias("users"))
     return c.where(F.col("n") > 1.2 * F.col("users")).select("day", "metric", "n", "users")

@@ -44,7 +44,7 @@ def _over(fn, digits=4):
     return run
 
 
-query("avg_over_time", _OVER.format(m=M, g=G, agg="round(avg(value), 6)"))(_over("avg", 6))
+query("avg_over_time", _OVER.format(m=M, g=G, agg="round(avg(value), 9)"))(_over("avg", 9))
 query("sum_over_time", _OVER.format(m=M, g=G, agg="round(sum(value), 4)"))(_over("sum", 4))
 query("max_over_time", _OVER.format(m=M, g=G, agg="max(value)"))(_over("max", 6))
 query("min_over_time", _OVER.format(m=M, g=G, agg="min(value)"))(_over("min", 6))

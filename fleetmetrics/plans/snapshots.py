@@ -28,7 +28,10 @@ def _next_day(c):
     return (F.date_trunc("day", c) + F.make_interval(days=F.lit(1))).alias("snapshot_ts")
 
 
-_T = F.date_format("snapshot_ts", "yyyy-MM-dd").alias("t")
+def _t():
+    return F.date_format("snapshot_ts", "yyyy-MM-dd").alias("t")
+
+
 _ACT = """a as (select concat('h', cast(o_custkey % 4 as varchar)) as host, date_trunc('month', o_orderdate) + interval 1 month as snap, o_orderdate as since,
     case o_orderstatus when 'F' then 'active' when 'O' then 'idle' else 'idle in transaction' end as state, case when o_orderpriority = '1-URGENT' then 'Lock' end as wait,
     case when o_custkey % 10 = 0 then 'autovacuum worker' else 'client backend' end as bt from orders)"""
@@ -61,7 +64,7 @@ def connection_stats(spark, sf):
     a = _activity(spark, sf)
     c = server.connection_stats(a, _settings(a, max_connections="100"))
     return c.select(
-        "host", _T, "total", "idle", "idle_in_txn", "active", F.col("max_idle_in_txn_time").alias("idle_txn_s"), F.col("max_query_time").alias("query_s"),
+        "host", _t(), "total", "idle", "idle_in_txn", "active", F.col("max_idle_in_txn_time").alias("idle_txn_s"), F.col("max_query_time").alias("query_s"),
         F.col("max_blocked_query_time").alias("blocked_s"), "max_connections",
     )
 
@@ -69,7 +72,7 @@ def connection_stats(spark, sf):
 @query("autovacuum_workers", f"with {_ACT} select host, strftime(snap, '%Y-%m-%d') as t, count(*) filter (bt = 'autovacuum worker') as count, 3 as max from a group by host, snap")
 def autovacuum_workers(spark, sf):
     a = _activity(spark, sf)
-    return server.autovacuum_workers(a, _settings(a, autovacuum_max_workers="3")).select("host", _T, "count", "max")
+    return server.autovacuum_workers(a, _settings(a, autovacuum_max_workers="3")).select("host", _t(), "count", "max")
 
 
 _EV = """e as (select concat('h', cast(user_id % 4 as varchar)) as host, date_trunc('day', ts) + interval 1 day as snap, * from events)"""
@@ -95,7 +98,7 @@ def lock_counts(spark, sf):
     held = e.select(*SNAP, F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 5).alias("database"), mode.alias("mode"))
     dbs = e.select(*SNAP).distinct().withColumn("oid", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")))
     dbs = dbs.withColumn("datname", F.concat(F.lit("db"), F.col("oid").cast("string")))
-    return server.locks(dbs, held).select("host", _T, "dbname", "mode", "count")
+    return server.locks(dbs, held).select("host", _t(), "dbname", "mode", "count")
 
 
 def _database_snapshot(spark, sf):
@@ -157,7 +160,7 @@ def archive_status(spark, sf):
     )
     a = server.archive_status(g)
     return a.select(
-        "host", _T, r("seconds_since_last_fail").alias("since_fail"), r("seconds_since_last_archive").alias("since_archive"),
+        "host", _t(), r("seconds_since_last_fail").alias("since_fail"), r("seconds_since_last_archive").alias("since_archive"),
         F.col("archived_count").alias("archived"), F.col("failed_count").alias("failed"),
     )
 
@@ -171,7 +174,7 @@ def checksum_failures(spark, sf):
     g = _events(spark, sf).groupBy(*SNAP, F.col("event_type").alias("datname")).agg(
         F.count("*").alias("checksum_failures"), F.max(F.when(F.col("value") > 90, F.col("ts"))).alias("checksum_last_failure")
     )
-    return server.checksum_failures(g).select("host", _T, "dbname", "count", r("time_since_last_failure_seconds").alias("since"))
+    return server.checksum_failures(g).select("host", _t(), "dbname", "count", r("time_since_last_failure_seconds").alias("since"))
 
 
 @query(
@@ -182,7 +185,7 @@ def checksum_failures(spark, sf):
 def recent_and_total(spark, sf):
     files = _events(spark, sf).select(*SNAP, F.floor(F.col("value") * 100).cast("bigint").alias("size"), F.col("ts").alias("modification"))
     w = server.wal_activity(files, minutes=240)
-    return w.select("host", _T, F.col("last_5_min_size_bytes").alias("recent"), F.col("total_size_bytes").alias("total"))
+    return w.select("host", _t(), F.col("last_5_min_size_bytes").alias("recent"), F.col("total_size_bytes").alias("total"))
 
 
 @query(
@@ -203,7 +206,7 @@ def setting_normalise(spark, sf):
     settings = e.select(*SNAP, F.col("event_type").alias("name"), (F.col("event_type") == "error").alias("pending_restart"))
     version = g.select(*SNAP, F.lit("server_version_num").alias("name"), (170000 + F.col("v") % 10).cast("string").alias("setting"))
     out = server.writers(g).join(server.pending_restart(settings), SNAP).join(server.recovery_status(g), SNAP).join(server.server_version(version), SNAP)
-    return out.select("host", _T, "num_timed", "buffers_clean", F.col("count").alias("pending"), "status", F.col("current").alias("version"))
+    return out.select("host", _t(), "num_timed", "buffers_clean", F.col("count").alias("pending"), "status", F.col("current").alias("version"))
 
 
 @query(
@@ -247,7 +250,7 @@ def settings_pivot(spark, sf):
     # one row per setting, as a catalogue has it
     top = _events(spark, sf).groupBy(*SNAP, name.alias("name")).agg(F.max(F.floor("value")).cast("string").alias("setting"))
     g = server.settings_gauge(top.where("name <> 'other'"))
-    return g.select("host", _T, "checkpoint_timeout", F.col("checkpoint_completion_target").alias("completion"), "shared_buffers")
+    return g.select("host", _t(), "checkpoint_timeout", F.col("checkpoint_completion_target").alias("completion"), "shared_buffers")
 
 
 @query(
@@ -274,7 +277,7 @@ def kv_pivot(spark, sf):
     )
     mode = F.when(F.col("host").isin("h0", "h2"), "legacy").otherwise("unified")
     mem = C.memory(top.select(*SNAP, mode.alias("mode"), F.inline(rows)))
-    return mem.select("host", _T, "shmem", "dirty", "cache", "limit")
+    return mem.select("host", _t(), "shmem", "dirty", "cache", "limit")
 
 
 @query(
@@ -464,7 +467,7 @@ def pool_state_counts(spark, sf):
     rows = _events(spark, sf).select(
         *SNAP, F.col("host").alias("pgbouncer_target_host"), F.lit("db").alias("database"), F.concat(F.lit("u"), F.pmod("user_id", F.lit(3)).cast("string")).alias("user"), F.col("event_type").alias("state")
     )
-    return pooler.clients(rows).select("host", _T, "conn_pool", "client_state", F.col("client_state_count").alias("n"))
+    return pooler.clients(rows).select("host", _t(), "conn_pool", "client_state", F.col("client_state_count").alias("n"))
 
 
 @query(
@@ -521,7 +524,7 @@ def _backups(spark, sf):
 def backup_last_info(spark, sf):
     i = B.last_info(_backups(spark, sf))
     return i.select(
-        "host", _T, "config_file", "stanza", "repo", "backup_type", F.col("backrest_repo_version").alias("version"), F.col("repo_total_size_bytes").alias("size"),
+        "host", _t(), "config_file", "stanza", "repo", "backup_type", F.col("backrest_repo_version").alias("version"), F.col("repo_total_size_bytes").alias("size"),
         F.col("backup_runtime_seconds").alias("runtime"), F.col("backup_error").alias("error"),
     )
 
@@ -535,7 +538,7 @@ def backup_last_info(spark, sf):
 def backup_ages(spark, sf):
     b = _backups(spark, sf)
     ages = B.time_since(b).join(B.oldest_full(b), B.REPO, "left")
-    return ages.select("host", _T, "stanza", "repo", F.col("time_seconds").alias("oldest"), *[F.col(f"{k}_time_since_completion_seconds").alias(f"{k}_age") for k in B.KINDS])
+    return ages.select("host", _t(), "stanza", "repo", F.col("time_seconds").alias("oldest"), *[F.col(f"{k}_time_since_completion_seconds").alias(f"{k}_age") for k in B.KINDS])
 
 
 # --- drift and refresh -------------------------------------------------------------------------
@@ -554,7 +557,7 @@ def drift_status(spark, sf):
     settings = e.groupBy(*SNAP, F.col("event_type").alias("name")).agg(F.floor(F.count("*") / 12).cast("string").alias("setting"))
     accepted = e.select("host").distinct().withColumn("accepted_at", F.lit("2024-01-15").cast("timestamp"))
     d = drift.drift_status(drift.settings_hash(settings), accepted)
-    return d.select("host", _T, "hash", "changed", "status")
+    return d.select("host", _t(), "hash", "changed", "status")
 
 
 @query(
@@ -567,7 +570,7 @@ def drift_known_hash(spark, sf):
     e = _events(spark, sf).where("host = 'h1'")
     settings = e.groupBy(*SNAP, F.col("event_type").alias("name")).agg(F.floor(F.count("*") / 40).cast("string").alias("setting"))
     known = e.select("host").distinct().withColumn("known_hash", F.md5(F.lit("click0,error0,purchase0,signup0,view0")))
-    return drift.drift_status(drift.settings_hash(settings), known=known).select("host", _T, "status")
+    return drift.drift_status(drift.settings_hash(settings), known=known).select("host", _t(), "status")
 
 
 @query(

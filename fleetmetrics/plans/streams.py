@@ -30,12 +30,12 @@ def stream_dedupe(spark, sf):
 
 @query(
     "stream_window",
-    f"""with {M}, {G} select series_key, cast(epoch(t) as bigint) as t, round(avg(value), 6) as avg, round(sum(value), 4) as sum, max(value) as max, count(*) as count
+    f"""with {M}, {G} select series_key, cast(epoch(t) as bigint) as t, round(avg(value), 9) as avg, round(sum(value), 4) as sum, max(value) as max, count(*) as count
     from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t where g.t <= (select max(ts) from m) - interval 1 hour group by series_key, t""",
 )
 def stream_window(spark, sf):
     out = ingest.run_to_table(ingest.window_stats(_stream(spark, sf), size="1 day", slide="6 hours", delay="1 hour"), "window")
-    return out.select("series_key", epoch().alias("t"), r("avg").alias("avg"), r("sum", 4).alias("sum"), "max", "count")
+    return out.select("series_key", epoch().alias("t"), r("avg", 9).alias("avg"), r("sum", 4).alias("sum"), "max", "count")
 
 
 @query(
@@ -65,7 +65,7 @@ _ISLANDS = """s as (select series_key, ts, case when lag(ts) over w is null or t
 )
 def stream_absence(spark, sf):
     """Closed sessions: up-time stretches, and the instants from which a series counts as absent."""
-    out = ingest.run_to_table(ingest.sessions(_stream(spark, sf), gap="4 hours", delay="1 hour"), "absence")
+    out = ingest.run_to_table(ingest.sessions(_stream(spark, sf), gap="4 hours", delay="1 hour"), "absence", conf=ingest.SESSION_CONF)
     return out.select("series_key", *[F.unix_micros(c).alias(c) for c in ("up_since", "last_seen", "absent_since")], "samples")
 
 
@@ -103,7 +103,17 @@ def stream_alert_state(spark, sf):
     return out.select("series_key", epoch().alias("t"), epoch("active_since").alias("active_since"), "alertstate")
 
 
-@query("stream_notifications")
+@query(
+    "stream_notifications",
+    f"""with {_STATES}, f as (select split_part(series_key, '|', 1) as a, series_key as s, t from st where t - since >= interval 1 day),
+  n as (select a, t, count(*) as c, count(*) filter (not exists (select 1 from f p where p.s = f.s and p.t = f.t - interval 1 day)) as new from f group by 1, 2),
+  e as (select a, t + interval 1 day as t, count(*) as resolved from f where t < (select max(t) from g where t <= (select max(ts) from m) - interval 1 hour)
+    and not exists (select 1 from f q where q.s = f.s and q.t = f.t + interval 1 day) group by 1, 2),
+  ch as (select coalesce(n.a, e.a) as a, coalesce(n.t, e.t) as t, coalesce(n.c, 0) as firing, coalesce(n.new, 0) as new, coalesce(e.resolved, 0) as resolved from n full join e on n.a = e.a and n.t = e.t),
+  x as (select ch.*, (select max(y.t) from ch y where y.a = ch.a and y.t <= ch.t and y.new + y.resolved > 0) as lc from ch)
+  select a as alertname, cast(epoch(t) as bigint) as sent_at, case when new + resolved > 0 then 'change' else 'repeat' end as reason, cast(firing as bigint) as firing, cast(new as bigint) as new,
+    cast(resolved as bigint) as resolved from x where new + resolved > 0 or (epoch(t - lc) / 86400) % 2 = 0""",
+)
 def stream_notifications(spark, sf):
     """Notification log of the streamed alert states, grouped by metric."""
     base = ingest.shared_dir(spark, "states")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # format: metric name, optional label block, value, optional millisecond stamp
 LINE = r'^\s*([A-Za-z_:][A-Za-z0-9_:]*)\s*(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$'
+_SEP = "\u0001"
 PAIR = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 
@@ -15,22 +16,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(lines: DataFrame, raw: str = "raw", scraped_at: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines to samples; comments and malformed lines fall out.  JVM expressions only."""
-    c = F.col(raw)
-    block = F.regexp_extract(c, LINE, 2)
-    names = F.regexp_extract_all(block, F.lit(PAIR), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(block, F.lit(PAIR), F.lit(2)), _unescape)
-    number = F.lower(F.regexp_extract(c, LINE, 3))
+    """Lines to samples; comments and malformed lines fall out.
+
+    The line expression runs once per line: it rewrites the line with separators, which is then
+    cut into name, label block, value and stamp.
+    """
+    marked = F.regexp_replace(F.col(raw), LINE, f"$1{_SEP}$3{_SEP}$4{_SEP}$2")
+    at = scraped_at if scraped_at is not None else F.lit(None).cast("timestamp")
+    cut = lines.select(*keep, at.alias("_at"), F.split(marked, _SEP, 4).alias("_p"))
+    part = [F.get("_p", F.lit(i)) for i in range(4)]
+    fields = F.struct(part[0].alias("metric"), F.lower(part[1]).alias("_n"), part[2].alias("_t"), part[3].alias("_b"))
+    flat = cut.select(*keep, "_at", F.inline_outer(F.array(F.when(F.size("_p") == 4, fields)))).where(F.col("metric").isNotNull())
+    n, block = F.col("_n"), F.col("_b")
     value = (
-        F.when(number.isin("+inf", "inf"), F.lit(float("inf"))).when(number == "-inf", F.lit(float("-inf")))
-        .when(number == "nan", F.lit(float("nan"))).otherwise(number.try_cast("double"))
+        F.when(n.isin("+inf", "inf"), F.lit(float("inf"))).when(n == "-inf", F.lit(float("-inf")))
+        .when(n == "nan", F.lit(float("nan"))).otherwise(n.try_cast("double"))
     )
-    stamp = F.timestamp_millis(F.regexp_extract(c, LINE, 4).try_cast("bigint"))
-    ts = F.coalesce(stamp, scraped_at) if scraped_at is not None else stamp
-    return lines.where(~F.ltrim(c).startswith("#") & c.rlike(LINE)).select(
-        *keep, F.regexp_extract(c, LINE, 1).alias("metric"), F.map_from_arrays(names, texts).alias("labels"),
-        ts.alias("ts"), value.alias("value"),
-    ).where(F.col("value").isNotNull())
+    names = F.regexp_extract_all(block, F.lit(PAIR), F.lit(1))
+    texts = F.regexp_extract_all(block, F.lit(PAIR), F.lit(2))
+    # undoing escapes is only paid for where there are any
+    texts = F.when(block.contains("\\"), F.transform(texts, _unescape)).otherwise(texts)
+    ts = F.coalesce(F.timestamp_millis(F.col("_t").try_cast("bigint")), F.col("_at"))
+    return flat.select(*keep, "metric", F.map_from_arrays(names, texts).alias("labels"), ts.alias("ts"), value.alias("value")).where(F.col("value").isNotNull())
 
 
 def render(metric: Column, labels: list[tuple[str, Column]], value: Column) -> Column:

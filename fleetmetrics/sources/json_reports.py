@@ -36,7 +36,8 @@ def backups(reports: DataFrame, keep: tuple[str, ...] = ("host", "snapshot_ts"))
 
     Every job over backup reports starts from this frame, so the JSON is parsed in one scan.
     """
-    stanza = reports.select(*keep, "config_file", F.inline(F.from_json("data", BACKUP_SCHEMA)))
+    # the outer form keeps the optimizer from adding a filter that parses the text again
+    stanza = reports.select(*keep, "config_file", F.inline_outer(F.from_json("data", BACKUP_SCHEMA))).where(F.col("name").isNotNull())
     b = stanza.select(*keep, "config_file", F.col("name").alias("stanza"), F.explode("backup").alias("b"))
     return b.select(
         *keep, "config_file", "stanza",

@@ -17,6 +17,7 @@ ESCAPES = {
     "r": ("remote", r"\S*"), "h": ("remote_host", r"\S*"), "p": ("pid", r"\d+"), "l": ("line_no", r"\d+"),
     "u": ("user_name", r"[^,\s]*"), "d": ("db", r"[^,\s]*"), "e": ("sqlstate", r"\w{5}"), "a": ("application", r".*?"),
 }
+_SEP = "\u0001"
 SYSTEM_DATABASES = ("postgres", "template0", "template1")
 
 
@@ -43,12 +44,20 @@ def prefix_regex(prefix: str = DEFAULT_PREFIX) -> tuple[str, list[str]]:
 
 
 def parse(lines: DataFrame, prefix: str = DEFAULT_PREFIX, raw: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
-    """Log lines to columns; lines without the prefix fall out."""
+    """Log lines to columns; lines without the prefix fall out.
+
+    All groups come from one run of the expression over the line: it rewrites the line with
+    separators, which is then cut.  The outer generator keeps the optimizer from inferring a
+    filter that would run the expression a second time.
+    """
     pattern, names = prefix_regex(prefix)
-    fields = [F.regexp_extract(F.col(raw), pattern, i + 1).alias(n) for i, n in enumerate(names)]
-    out = lines.where(F.col(raw).rlike(pattern)).select(*keep, *fields)
+    marked = F.regexp_replace(F.col(raw), pattern, _SEP.join(f"${i + 1}" for i in range(len(names))))
+    parts = lines.select(*keep, F.split(marked, _SEP, len(names)).alias("_p"))
+    fields = F.struct(*[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    out = parts.select(*keep, F.inline_outer(F.array(F.when(F.size("_p") == len(names), fields)))).where(F.col("level").isNotNull())
     if "log_time" in names:
-        out = out.withColumn("log_time", F.try_to_timestamp(F.regexp_extract("log_time", r"^(\S+ [0-9:.]+)", 1)))
+        # the zone abbreviation at the end is not part of the stamp
+        out = out.withColumn("log_time", F.try_to_timestamp(F.substring_index("log_time", " ", 2)))
     return out
 
 

@@ -12,19 +12,30 @@ from ..session import shared_dir
 from ..timeutil import micros
 
 
-def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+# sessions of a busy series are merged in every task before the shuffle
+SESSION_CONF = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
+def run_to_table(stream: DataFrame, name: str, path: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Process everything available into a Parquet table and read it back.
 
     Table and checkpoint lie in the cluster's shared folder; a restarted run with the same path
-    continues after the last committed batch.
+    continues after the last committed batch.  ``conf`` holds for this query only.
     """
     spark = stream.sparkSession
     base = path or shared_dir(spark, name)
-    q = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/table")
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    before = {k: spark.conf.get(k) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        q = (
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/table")
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return read_table(spark, f"{base}/table", stream.schema)
 
 
