@@ -153,7 +153,7 @@ def _forecast(samples: DataFrame, vector: DataFrame, uses: DataFrame, spec: Data
 def _absent(vector: DataFrame, uses: DataFrame, grid: W.Grid) -> DataFrame:
     """Rule and instant pairs without any matching element; equality matchers become labels."""
     seen = _attach(vector, uses).select("rule_id", "t").distinct()
-    ticks = F.explode(F.sequence(F.lit(grid.first), F.lit(grid.last)))
+    ticks = F.explode(F.sequence(F.lit(grid.first).cast("bigint"), F.lit(grid.last).cast("bigint")))
     equal = F.map_from_entries(F.transform(F.filter(F.arrays_zip("m_name", "m_value", "m_op"), lambda m: m["m_op"] == "="), lambda m: F.struct(m["m_name"], m["m_value"])))
     expected = uses.select("rule_id", F.to_json(equal).alias("series_key"), ticks.alias("k"))
     expected = expected.withColumn("t", F.timestamp_micros(F.col("k") * F.lit(grid.step))).drop("k")

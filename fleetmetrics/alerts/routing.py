@@ -82,7 +82,7 @@ def notifications(
     """Notification times of every group from the firing stretches ``(fired_at, resolved_at)``.
 
     A group lives from its first firing alert until a flush finds nothing firing.  It is flushed
-    ``wait`` after its start and every ``interval`` from then on.  A flush notifies when the set of
+    ``wait`` after its start and every ``interval`` from then on; ``until`` ends the log.  A flush notifies when the set of
     firing alerts changed since the one before, and again whenever ``repeat`` has passed without
     a notification.  Everything is grouping and windows over changes; alerts are never collected.
     """
@@ -104,13 +104,16 @@ def notifications(
     sent = per.withColumns({"firing": firing, "_at": at}).withColumn("_next", F.lead("_at").over(w))
     if not send_resolved:
         sent = sent.where("firing > 0 and new > 0")
-    end = F.col("_next") if until is None else F.coalesce(F.col("_next"), F.unix_micros(until) + F.lit(1))
-    repeats = F.when((F.col("firing") > 0) & end.isNotNull() & (F.col("_at") + F.lit(r_us) < end), F.sequence(F.col("_at") + F.lit(r_us), end - F.lit(1), F.lit(r_us)))
+    end = F.col("_next") if until is None else F.least(F.col("_next"), F.unix_micros(until) + F.lit(1))  # least() skips NULL
+    every = F.lit(r_us).cast("bigint")
+    repeats = F.when((F.col("firing") > 0) & end.isNotNull() & (F.col("_at") + every < end), F.sequence(F.col("_at") + every, end - F.lit(1), every))
     rows = F.concat(
         F.array(F.struct(F.col("_at").alias("at_us"), F.lit("change").alias("reason"))),
         F.coalesce(F.transform(repeats, lambda u: F.struct(u.alias("at_us"), F.lit("repeat").alias("reason"))), F.array().cast("array<struct<at_us:bigint,reason:string>>")),
     )
     out = sent.select(*group, "firing", "new", "resolved", F.inline(rows))
+    if until is not None:
+        out = out.where(F.col("at_us") <= F.unix_micros(until))
     zero = F.lit(0).cast("bigint")
     return out.select(
         *group, F.timestamp_micros("at_us").alias("sent_at"), "reason", "firing",

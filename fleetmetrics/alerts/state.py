@@ -22,7 +22,7 @@ def alert_states(hits: DataFrame, grid: Grid, keys: Sequence[str] = _ALERT, hold
     """
     k = F.unix_micros(t)
     w = Window.partitionBy(*keys).orderBy(t)
-    runs = hits.withColumn("_run", k - F.row_number().over(w) * F.lit(grid.step))
+    runs = hits.withColumn("_run", k - F.row_number().over(w).cast("bigint") * F.lit(grid.step))
     since = F.min(t).over(Window.partitionBy(*keys, "_run"))
     aged = runs.withColumn("active_since", since).drop("_run")
     lasted = F.unix_micros(t) - F.unix_micros("active_since")

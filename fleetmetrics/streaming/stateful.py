@@ -121,7 +121,7 @@ def notify_stream(states: DataFrame, group: Sequence[str], member: Sequence[str]
         fired = F.min(F.when(F.col("alertstate") == "firing", F.col("t")))
         ended = F.min(F.when(F.col("alertstate") == "resolved", F.col("t")))
         st = log.groupBy(*keys).agg(fired.alias("fired_at"), ended.alias("resolved_at")).where("fired_at is not null")
-        due = routing.notifications(st, group, member, until=F.lit(until), **timing).where(F.col("sent_at") <= F.lit(until))
+        due = routing.notifications(st, group, member, until=F.lit(until), **timing)
         if batch_id > 0:
             before = log.where(F.col("batch") < batch_id).agg(F.max("t")).first()[0]
             due = due if before is None else due.where(F.col("sent_at") > F.lit(before))
