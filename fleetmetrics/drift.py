@@ -65,6 +65,26 @@ def drift_status(hashes: DataFrame, accepted: DataFrame | None = None, known: Da
     return h
 
 
+def replica_status(hashes: DataFrame, history: DataFrame, primary_of: DataFrame) -> DataFrame:
+    """Status of replicas, which store nothing and read their primary's history.
+
+    ``history`` has (host, created_at, hash, valid) rows of primaries, ``primary_of`` maps host to
+    primary.  A replica snapshot is compared with the newest row stored up to then: a different
+    hash is drift, an equal one takes the stored status over, no row at all counts as valid.
+    """
+    mine = hashes.join(primary_of.select("host", "primary"), "host").select(
+        "primary", F.col("snapshot_ts").alias("at"), F.lit(1).alias("kind"), "host", "hash", F.lit(None).cast("string").alias("stored"), F.lit(None).cast("int").alias("valid"),
+    )
+    rows = history.select(
+        F.col("host").alias("primary"), F.col("created_at").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"),
+        F.lit(None).cast("string").alias("hash"), F.col("hash").alias("stored"), F.col("valid").cast("int").alias("valid"),
+    )
+    w = Window.partitionBy("primary").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = mine.unionByName(rows).withColumns({"_s": F.last("stored", ignorenulls=True).over(w), "_v": F.last("valid", ignorenulls=True).over(w)})
+    status = F.when(F.col("_s").isNull(), 0).when(F.col("hash") != F.col("_s"), 1).otherwise(F.col("_v"))
+    return both.where("kind = 1").select("host", F.col("at").alias("snapshot_ts"), "hash", status.alias("status"))
+
+
 def history_rows(hashes: DataFrame, status: DataFrame, replicas: DataFrame | None = None) -> DataFrame:
     """Rows to append to the stored history: the first state and every change; replicas store nothing."""
     first = F.row_number().over(Window.partitionBy("host", "epoch").orderBy("snapshot_ts")) == 1

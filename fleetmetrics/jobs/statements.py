@@ -60,7 +60,7 @@ def reset_times(counters: DataFrame, keys: Sequence[str], chunk="5m", value: str
     """
     base = counters.where(F.col(value).isNotNull()).select(*keys, F.unix_micros(ts).alias("_u"), F.col(value).cast("double").alias("_v"))
     size = micros(chunk)
-    inside = Window.partitionBy(*keys, "_b").orderBy("_u")
+    inside = Window.partitionBy("_b", *keys).orderBy("_u")
     marked = base.withColumn("_b", ceil_div(F.col("_u"), size)).withColumn("_p", F.lag("_v").over(inside))
     ends = marked.groupBy(*keys, "_b").agg(
         F.max(F.when(F.col("_v") < F.col("_p"), F.col("_u"))).alias("drop_u"), F.min("_u").alias("first_u"),

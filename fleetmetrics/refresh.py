@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .operators.selectors import overdue
 
 
-def due_list(registry: DataFrame, log: DataFrame, as_of: Column, key: str = "view_name") -> DataFrame:
+def due_list(registry: DataFrame, log: DataFrame, as_of: Column, key: str = "view_name", scope: str | None = None) -> DataFrame:
     """Active objects to refresh: never run, or last run strictly longer ago than their interval.
 
-    A negative interval (in seconds) switches an object off.
+    A negative interval (in seconds) switches an object off; ``scope`` restricts the list to
+    objects registered for that scope.
     """
+    if scope is not None:
+        registry = registry.where(F.col("scope") == scope)
     last = log.groupBy(key).agg(F.max("run_at").alias("last_run"))
     span = F.make_dt_interval(secs=F.col("run_seconds").cast("decimal(18,6)"))
     active = registry.where(F.col("active") & (F.col("run_seconds") >= 0))

@@ -57,6 +57,20 @@ def test_history_rows_are_first_state_and_changes(spark):
     assert drift.history_rows(h, st, replicas).count() == 1
 
 
+def test_replicas_read_their_primary(spark):
+    hist = values(spark, [("p", at(10), "x", 0), ("p", at(30), "y", 1)], "host string, created_at timestamp, hash string, valid int")
+    of = values(spark, [("r", "p"), ("q", "none")], "host string, primary string")
+    h = values(spark, [("r", at(5), "x"), ("r", at(10), "x"), ("r", at(20), "z"), ("r", at(40), "y"), ("q", at(1), "x")], H + "hash string")
+    got = drift.replica_status(h, hist, of).orderBy("host", "snapshot_ts").collect()
+    assert [(r["host"], r["status"]) for r in got] == [("q", 0), ("r", 0), ("r", 0), ("r", 1), ("r", 1)]
+
+
+def test_due_list_scope(spark):
+    reg = values(spark, [("a", 60, True, "global"), ("b", 60, True, "database")], "view_name string, run_seconds int, active boolean, scope string")
+    log = values(spark, [], "view_name string, run_at timestamp")
+    assert [r["view_name"] for r in refresh.due_list(reg, log, F.lit(at(0)).cast("timestamp"), scope="database").collect()] == ["b"]
+
+
 def test_due_list_boundaries(spark):
     reg = values(spark, [("never", 60, True), ("edge", 60, True), ("late", 60, True), ("off", -1, True), ("idle", 60, False)], "view_name string, run_seconds int, active boolean")
     log = values(spark, [("edge", at(0)), ("late", at(-1)), ("late", at(-500)), ("off", at(-9999))], "view_name string, run_at timestamp")

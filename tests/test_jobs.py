@@ -300,3 +300,11 @@ def test_scalar_functions(spark):
     assert t == "j=2.5 !"
     assert spark.range(1).select(X.percent_used(F.lit(29).cast("decimal(22,0)"), F.lit(200).cast("decimal(22,0)"))).first()[0] == 15  # 14.5 away from zero
     assert isinstance(spark.range(1).select(X.lsn(F.lit("0/1"))).first()[0], decimal.Decimal)
+
+
+def test_sql_functions(spark):
+    from fleetmetrics.functions.sql import register_sql_functions
+
+    assert "lsn_diff" in register_sql_functions(spark)
+    r = spark.sql("select lsn_diff('16/B374D848', '16/B374D000') d, version_key('2.5.1') v, half_even(2.5) h, counter_step(3, 9) c, label(map('a', 'b'), 'x') l, clean_query('  a\\nb ') q").first()
+    assert (int(r["d"]), r["v"], r["h"], r["c"], r["l"], r["q"]) == (0x848, "20501", 2.0, 3.0, "", "ab")

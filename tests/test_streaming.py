@@ -109,3 +109,14 @@ def test_notifications_are_sent_once_across_batches(spark, tmp_path):
     want = routing.notifications(st, ["g"], until=F.lit(at(90000)).cast("timestamp"))
     key = lambda df: sorted((r["sent_at"], r["reason"], r["firing"], r["new"], r["resolved"]) for r in df.collect())
     assert key(log) == key(want) and len(key(log)) == 3
+
+
+def test_stored_samples_stream(spark, tmp_path):
+    from helpers import labelled
+
+    from fleetmetrics.sources import samples as smp
+
+    path = str(tmp_path / "store")
+    smp.write_samples(labelled(spark, [("m", {"job": "a"}, t, t) for t in (10, 20)] + [("n", {"job": "b"}, 86400 + 5, 7)]), path)
+    out = ingest.run_to_table(smp.read_samples_stream(spark, path).select("metric", "ts", "value"), "copy")
+    assert sorted((r["metric"], r["value"]) for r in out.collect()) == [("m", 10.0), ("m", 20.0), ("n", 7.0)]
