@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import series_key
+from ..model import label_key, series_key
 from ..operators import windows as W
 from ..operators.selectors import anchored
 from ..sources.literal import values
@@ -25,7 +25,7 @@ _GROUPED = ("instant", "age", "ratio_pct", "free_pct", "max_by", "count_by", "od
 
 def as_series(samples: DataFrame) -> DataFrame:
     """Replace the label map by its text identity; ``labels_of`` turns it back."""
-    return samples.select("metric", series_key(F.col("labels")).alias("series_key"), "ts", "value")
+    return samples.select("metric", label_key(samples).alias("series_key"), "ts", "value")
 
 
 def labels_of(key: Column) -> Column:

@@ -46,6 +46,17 @@ def series_key(labels: Column, drop: Sequence[str] = ()) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(labels, keep)))))
 
 
+LABEL_KEY = "label_key"
+
+
+def label_key(df: DataFrame) -> Column:
+    """Text identity of the labels: the stored column where there is one, else built from the map.
+
+    Whatever changes the map has to drop the stored column, as the relabelling functions do.
+    """
+    return F.col(LABEL_KEY) if LABEL_KEY in df.columns else series_key(F.col("labels"))
+
+
 def with_series_key(df: DataFrame, include_metric: bool = True) -> DataFrame:
     key = series_key(F.col("labels"))
     if include_metric:

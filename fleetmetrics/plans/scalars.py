@@ -8,7 +8,7 @@ from ..functions import scalar as X
 from ..operators.neighbours import with_previous
 from ..sources.tables import table
 from ..timeutil import seconds_between
-from .registry import M, m, query, r
+from .registry import M, m, query
 
 
 @query(
@@ -64,9 +64,9 @@ def null_array_join(spark, sf):
     select o_orderkey, cast(gap as double) as gap, coalesce(gap > 5 * 86400.0, false) as late, strftime(o_orderdate + interval 90 minute, '%Y-%m-%d %H:%M:%S') as due from d""",
 )
 def epoch_interval(spark, sf):
-    """Seconds between consecutive orders of a customer; long histories are cut into years."""
+    """Seconds between consecutive orders of a customer; long histories are cut into pieces."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    o = with_previous(o, ["o_custkey"], "o_orderdate", ["o_orderdate"], ["o_orderkey"], chunk="52w")
+    o = with_previous(o, ["o_custkey"], "o_orderdate", ["o_orderdate"], ["o_orderkey"], chunk="4w")
     gap = seconds_between(F.col("o_orderdate"), F.col("prev_o_orderdate"))
     due = F.timestamp_seconds(F.unix_seconds("o_orderdate")) + F.make_interval(mins=F.lit(90))
     return o.select("o_orderkey", gap.alias("gap"), F.coalesce(gap > 5 * 86400, F.lit(False)).alias("late"), F.date_format(due, "yyyy-MM-dd HH:mm:ss").alias("due"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from .. import drift, refresh
 from ..jobs import backups as B
 from ..jobs import containers as C
-from ..jobs import maintenance, pooler, server, statements, storage
-from ..operators import windows as W
+from ..jobs import catalog, maintenance, pooler, server, statements, storage
 from ..sources import json_reports
 from ..sources.tables import table
 from .registry import CTR, M, ctr, m, query, r
@@ -363,7 +362,7 @@ def statement_top_wal(spark, sf):
     select series_key, round(coalesce(max(case when value < p then epoch_us(ts) end), 0) / 1e6, 6) as time from d group by 1""",
 )
 def counter_epoch(spark, sf):
-    return statements.reset_times(ctr(spark, sf), ["series_key"], chunk="6h").select("series_key", r("time").alias("time"))
+    return statements.reset_times(ctr(spark, sf), ["series_key"], chunk="1h").select("series_key", r("time").alias("time"))
 
 
 @query(
@@ -483,6 +482,75 @@ def pool_usage(spark, sf):
     return pooler.databases(rows).select("pool_db", F.col("host").cast("bigint").alias("k"), F.col("db_conn_perc_used").alias("pct"))
 
 
+@query(
+    "statement_top_max",
+    f"""with {_ST}, u as (select host, role, dbname, queryid, query, max(l_extendedprice) as ms from s group by 1, 2, 3, 4, 5)
+    select host, role, dbname, queryid, query, ms as exec_ms from u qualify row_number() over (partition by host order by ms desc, role, dbname, queryid, query) <= 20""",
+)
+def statement_top_max(spark, sf):
+    s = _statements(spark, sf).groupBy(*SNAP, *statements.ID).agg(F.max("max_exec_time").alias("max_time"))
+    return statements.top_max(s).select("host", *statements.ID, F.col("exec_time_ms").alias("exec_ms"))
+
+
+@query(
+    "postmaster_uptime",
+    f"""with {_EV} select host, strftime(snap, '%Y-%m-%d') as t, round(epoch_us(min(ts)) / 1e6, 6) as started, round(epoch_us(snap - min(ts)) / 1e6, 6) as uptime from e group by host, snap""",
+)
+def postmaster_uptime(spark, sf):
+    servers = _events(spark, sf).groupBy(*SNAP).agg(F.min("ts").alias("postmaster_start_time"))
+    return server.postmaster(servers).select("host", _t(), r("start_time_seconds").alias("started"), r("seconds").alias("uptime"))
+
+
+@query(
+    "container_cpu",
+    f"""with {_EV}, k as (select host, snap, max(case when event_type = 'click' then cast(floor(value) as bigint) end) as c, max(case when event_type = 'view' then cast(floor(value) as bigint) end) as v from e group by 1, 2)
+    select host, strftime(snap, '%Y-%m-%d') as t, c as period_us, case when host in ('h0', 'h2') then greatest(v - 50, 0) else v end as quota_us, case when host in ('h0', 'h2') then v else c * 1000 end as usage, epoch(snap) as usage_ts from k""",
+)
+def container_cpu(spark, sf):
+    """CPU quota and usage under the key names of both control-group versions."""
+    whole = F.floor(F.max(F.when(F.col("event_type") == "click", F.col("value")))).cast("bigint"), F.floor(F.max(F.when(F.col("event_type") == "view", F.col("value")))).cast("bigint")
+    g = _events(spark, sf).groupBy(*SNAP).agg(whole[0].alias("c"), whole[1].alias("v"))
+
+    def kv(file, key, val):
+        return F.struct(F.lit(file).alias("file"), F.lit(key).alias("key"), val.alias("val"))
+
+    c, v = F.col("c"), F.col("v")
+    old = F.array(kv("cpu.cfs_period_us", "", c), kv("cpu.cfs_quota_us", "", v - 50), kv("cpuacct.usage", "", v))
+    new = F.array(kv("cpu.max", "2", c), kv("cpu.max", "1", v), kv("cpu.stat", "usage_usec", c))
+    legacy = F.col("host").isin("h0", "h2")
+    rows = g.select(*SNAP, F.when(legacy, "legacy").otherwise("unified").alias("mode"), F.inline(F.when(legacy, old).otherwise(new)))
+    out = C.cpu_cfs(rows).join(C.cpu_acct(rows), SNAP)
+    return out.select("host", _t(), "period_us", "quota_us", "usage", "usage_ts")
+
+
+@query(
+    "pool_direct",
+    f"""with {_EV}, x as (select host, snap, event_type, cast(floor(sum(value)) as bigint) as wait, count(*) as n from e group by 1, 2, 3)
+    select 'ccp_pgbouncer_clients_wait_seconds' as metric, host, event_type as state, count(*) as n, cast(sum(wait) as double) as total from x group by 1, 2, 3""",
+)
+def pool_direct(spark, sf):
+    """Rows as shown by the pooler itself, melted into samples."""
+    rows = _events(spark, sf).groupBy(*SNAP, F.col("event_type").alias("state")).agg(F.floor(F.sum("value")).cast("bigint").alias("wait"))
+    rows = rows.withColumns({"database": F.lit("db"), "user": F.lit("u"), "application_name": F.lit("psql"), "link": F.lit("")})
+    s = catalog.direct_pooler_samples(rows, "clients")
+    lab = F.col("labels")
+    return s.groupBy("metric", lab["instance"].alias("host"), lab["state"].alias("state")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(
+    "drift_samples",
+    f"""with {_EV}, s as (select host, snap, event_type as name, count(*) // 12 as setting from e group by 1, 2, 3),
+    h as (select host, snap, md5(string_agg(concat(name, cast(setting as varchar)), ',' order by name)) as hash from s group by 1, 2),
+    c as (select *, coalesce(cast(hash <> lag(hash) over (partition by host order by snap) as int), 0) as changed from h),
+    x as (select host, max(changed) over (partition by host order by snap) as status from c)
+    select 'ccp_pg_settings_checksum_status' as metric, host, count(*) as n, cast(sum(status) as double) as drifted from x group by 2""",
+)
+def drift_samples(spark, sf):
+    settings = _events(spark, sf).groupBy(*SNAP, F.col("event_type").alias("name")).agg(F.floor(F.count("*") / 12).cast("string").alias("setting"))
+    s = catalog.drift_samples(drift.drift_status(drift.settings_hash(settings)))
+    return s.groupBy("metric", F.col("labels")["host"].alias("host")).agg(F.count("*").alias("n"), F.sum("value").alias("drifted"))
+
+
 # --- backups -----------------------------------------------------------------------------------
 
 _BK = f"""{_EV}, b as (select host, snap, concat('etc_', host, '.conf') as config_file, concat('s', cast(user_id % 2 as varchar)) as stanza, cast(event_id % 2 + 1 as varchar) as repo,

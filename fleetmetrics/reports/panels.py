@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..alerts.evaluate import labels_of
+from ..alerts.evaluate import as_series, labels_of
 from ..model import series_key
 from ..operators import windows as W
 from ..operators.aggregate import label_values
@@ -91,7 +91,7 @@ def evaluate_panel(samples: DataFrame, p: Panel, grid: W.Grid, lookback: str = "
     """One panel over samples ``(metric, labels, ts, value)``."""
     chosen = tuple((label, op, picked[arg]) for arg, label, op in p.vars if arg in picked)
     names = [p.metric, *([p.metric2] if p.metric2 else [])]
-    raw = select(samples, names, (*p.matchers, *chosen)).select("metric", series_key(F.col("labels")).alias("series_key"), "ts", "value")
+    raw = as_series(select(samples, names, (*p.matchers, *chosen)))
     v = _evaluate(raw, p, grid, lookback)
     if p.metric2 and p.agg_first:
         v = _combine(_aggregate(v, p, ["metric"]), p, (p.metric, p.metric2))
@@ -124,7 +124,7 @@ def _primaries(samples: DataFrame, v: DataFrame, grid: W.Grid, lookback: str) ->
         labels = labels_of(F.col("series_key"))
         return df.withColumns({n: F.coalesce(labels[n], F.lit("")) for n in ("job", "instance")})
 
-    role = select(samples, "ccp_is_in_recovery_status").select("metric", series_key(F.col("labels")).alias("series_key"), "ts", "value")
+    role = as_series(select(samples, "ccp_is_in_recovery_status"))
     return keep_if_primary(ids(v), ids(W.instant(role, grid, lookback, _KEYS)), ["job", "instance", "t"])
 
 

@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import SAMPLE_SCHEMA, label
+from ..model import LABEL_KEY, SAMPLE_SCHEMA, label, label_key
 from ..operators.selectors import anchored
 
-STORED_SCHEMA = T.StructType([*SAMPLE_SCHEMA.fields, T.StructField("date", T.DateType())])
+STORED_SCHEMA = T.StructType([*SAMPLE_SCHEMA.fields, T.StructField(LABEL_KEY, T.StringType()), T.StructField("date", T.DateType())])
 
 
 def write_samples(samples: DataFrame, path: str, promoted: Sequence[str] = (), mode: str = "append") -> None:
     """Append samples as Parquet partitioned by (date, metric), with hot labels promoted to columns.
 
+    The text identity of the labels is stored as well, so that readers need not build it for
+    every sample again.
     AQE rebalances the partitions before the write, so a metric with very many rows becomes
     several files and rare metrics do not become a file per task.
     """
-    out = samples.withColumns({n: label(samples, n) for n in promoted} | {"date": F.to_date("ts")})
+    out = samples.withColumns({n: label(samples, n) for n in promoted} | {"date": F.to_date("ts"), LABEL_KEY: label_key(samples)})
     out.hint("rebalance", "date", "metric").sortWithinPartitions("date", "metric", "ts").write.mode(mode).partitionBy("date", "metric").parquet(path)
 
 
@@ -63,7 +65,7 @@ def add_target_labels(samples: DataFrame, targets: DataFrame, on: Sequence[str]
         lambda k, v: v.isNotNull(),
     )
     own = F.map_filter(F.col("labels"), lambda k, v: ~k.isin(extra))
-    return joined.withColumn("labels", F.map_concat(own, added)).drop(*extra)
+    return joined.withColumn("labels", F.map_concat(own, added)).drop(*extra, LABEL_KEY)
 
 
 # --- relabelling ------------------------------------------------------------------------------
@@ -89,7 +91,7 @@ def replace_label(samples: DataFrame, source: Sequence[str], pattern: str, targe
         return samples.withColumn(target, F.when(hit, new).otherwise(old))
     rest = F.map_filter(F.col("labels"), lambda k, v: k != target)
     changed = F.when(new == "", rest).otherwise(F.map_concat(rest, F.create_map(F.lit(target), new)))
-    return samples.withColumn("labels", F.when(hit, changed).otherwise(F.col("labels")))
+    return samples.withColumn("labels", F.when(hit, changed).otherwise(F.col("labels"))).drop(LABEL_KEY)
 
 
 def join_labels(samples: DataFrame, source: Sequence[str], target: str, separator: str = ":") -> DataFrame:
@@ -109,4 +111,4 @@ def _set_label(samples: DataFrame, target: str, text: Column) -> DataFrame:
     if "labels" not in samples.columns:
         return samples.withColumn(target, text)
     rest = F.map_filter(F.col("labels"), lambda k, v: k != target)
-    return samples.withColumn("labels", F.map_concat(rest, F.create_map(F.lit(target), text)))
+    return samples.withColumn("labels", F.map_concat(rest, F.create_map(F.lit(target), text))).drop(LABEL_KEY)

@@ -18,56 +18,48 @@ from ..operators import windows as W
 from ..session import shared_dir
 from ..timeutil import micros
 
-_MARK = T.StructType([T.StructField("seen_us", T.LongType()), T.StructField("closed_us", T.LongType())])
-
-
-def _folder_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+# what a micro-batch leaves for the next one; ``open`` lists the batches with rows not folded yet
+_MARK = "seen_us bigint, closed_us bigint, open array<struct<batch:bigint,max_us:bigint>>"
 
 
 def rollup_counters(samples: DataFrame, bucket, keys: Sequence[str] = ("series_key",), delay="10m", value: str = "value", ts: str = "ts", path: str | None = None) -> DataFrame:
-    """Run the available samples into closed bucket states and return the state table."""
+    """Run the available samples into closed bucket states and return the state table.
+
+    A micro-batch reads the mark of the batch before it and the folders that still hold open
+    rows, so its work does not grow with the age of the stream.
+    """
     spark = samples.sparkSession
     base = path or shared_dir(spark, "rollup")
     size, late = micros(bucket), micros(delay)
     flat = samples.select(*keys, F.unix_micros(ts).alias("_u"), F.col(value).cast("double").alias("_v")).where("_v is not null")
-    raw = _folder_schema(flat.schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        mark = _last_mark(s, f"{base}/marks", batch_id)
-        seen, closed = (mark["seen_us"], mark["closed_us"]) if mark else (None, None)
+        mark = s.read.schema(_MARK).parquet(f"{base}/marks/batch={batch_id - 1}").first() if batch_id else None
+        seen, closed, held = (mark["seen_us"], mark["closed_us"], [tuple(x) for x in mark["open"]]) if mark else (None, None, [])
         fresh = batch if closed is None else batch.where(F.col("_u") > F.lit(closed))  # later than the watermark allows: dropped
-        fresh = fresh.groupBy(*keys, "_u").agg(F.max("_v").alias("_v"))
-        fresh.write.mode("overwrite").parquet(f"{base}/samples/batch={batch_id}")
-        stored = s.read.schema(raw).parquet(f"{base}/samples").where(F.col("batch") <= F.lit(batch_id))
+        fresh.groupBy(*keys, "_u").agg(F.max("_v").alias("_v")).write.mode("overwrite").parquet(f"{base}/samples/batch={batch_id}")
         newest = s.read.schema(flat.schema).parquet(f"{base}/samples/batch={batch_id}").agg(F.max("_u")).first()[0]
-        seen = max(x for x in (seen, newest) if x is not None) if (seen is not None or newest is not None) else None
-        if seen is not None:
-            upto = (seen - late) // size * size
-            if closed is None or upto > closed:
-                due = stored.where(F.col("_u") <= F.lit(upto))
-                due = due if closed is None else due.where(F.col("_u") > F.lit(closed))
-                # the same sample may have come in two batches
-                due = due.groupBy(*keys, "_u").agg(F.max("_v").alias("_v"))
-                W.counter_states(due, keys, size).write.mode("overwrite").parquet(f"{base}/states/batch={batch_id}")
-                closed = upto
-        elif batch_id == 0:
-            W.counter_states(fresh, keys, size).write.mode("overwrite").parquet(f"{base}/states/batch=0")
-        s.range(1).select(F.lit(seen).cast("bigint").alias("seen_us"), F.lit(closed).cast("bigint").alias("closed_us")).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+        if newest is not None:
+            held.append((batch_id, newest))
+            seen = newest if seen is None else max(seen, newest)
+        upto = None if seen is None else (seen - late) // size * size
+        if upto is not None and (closed is None or upto > closed):
+            due = s.read.schema(flat.schema).parquet(*[f"{base}/samples/batch={b}" for b, _ in held]).where(F.col("_u") <= F.lit(upto))
+            due = due if closed is None else due.where(F.col("_u") > F.lit(closed))
+            # the same sample may have come in two batches
+            due = due.groupBy(*keys, "_u").agg(F.max("_v").alias("_v"))
+            W.counter_states(due, keys, size).write.mode("overwrite").parquet(f"{base}/states/batch={batch_id}")
+            closed, held = upto, [(b, m) for b, m in held if m > upto]
+        elif batch_id == 0:  # an empty state table keeps readers simple
+            W.counter_states(fresh.limit(0), keys, size).write.mode("overwrite").parquet(f"{base}/states/batch=0")
+        s.createDataFrame([(seen, closed, held)], _MARK).coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
 
     q = flat.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return read_states(spark, base, flat.select(*keys).schema)
 
 
-def _last_mark(spark: SparkSession, path: str, before: int):
-    """The newest mark of an earlier batch: one row."""
-    if before == 0:
-        return None
-    return spark.read.schema(_folder_schema(_MARK)).parquet(path).where(F.col("batch") < before).orderBy(F.col("batch").desc()).first()
-
-
 _STATE = T.StructType(
     [
         T.StructField("_b", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first_u", T.LongType()), T.StructField("first_v", T.DoubleType()),

@@ -101,30 +101,31 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], name:
 def notify_stream(states: DataFrame, group: Sequence[str], member: Sequence[str] = ("series_key",), path: str | None = None, **timing) -> DataFrame:
     """Notification log from a stream of alert states ``(group, member, t, active_since, alertstate)``.
 
-    Every micro-batch stores its transitions and appends the notifications that fall due after
-    those already sent.  Batch folders are overwritten on replay, so nothing is sent twice.
+    Every micro-batch stores its firing stretches and appends the notifications that fall due
+    after those already sent.  Batch folders are overwritten on replay, so nothing is sent twice.
     """
     spark = states.sparkSession
     base = path or shared_dir(spark, "notify")
-    cols = [*group, *member, "active_since", "t", "alertstate"]
-    flat = states.select(*cols)
-    stored_schema = T.StructType([*flat.schema.fields, T.StructField("batch", T.LongType())])
+    keys = [*group, *member, "active_since"]
+    flat = states.select(*keys, "t", "alertstate")
+    schema = T.StructType([*flat.select(*keys).schema.fields, *[T.StructField(n, T.TimestampType()) for n in ("fired_at", "resolved_at", "seen")], T.StructField("batch", T.LongType())])
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{base}/states/batch={batch_id}")
-        log = s.read.schema(stored_schema).parquet(f"{base}/states").where(F.col("batch") <= batch_id)
-        until = log.agg(F.max("t")).first()[0]
-        if until is None:  # nothing has arrived yet: an empty log keeps readers simple
-            until = dt.datetime(1970, 1, 1)
-        keys = [*group, *member, "active_since"]
-        fired = F.min(F.when(F.col("alertstate") == "firing", F.col("t")))
-        ended = F.min(F.when(F.col("alertstate") == "resolved", F.col("t")))
-        st = log.groupBy(*keys).agg(fired.alias("fired_at"), ended.alias("resolved_at")).where("fired_at is not null")
+
+        def first(state: str):
+            return F.min(F.when(F.col("alertstate") == state, F.col("t")))
+
+        # one row for each stretch and batch, however many evaluations it has
+        new = batch.groupBy(*keys).agg(first("firing").alias("fired_at"), first("resolved").alias("resolved_at"), F.max("t").alias("seen"))
+        new.write.mode("overwrite").parquet(f"{base}/stretches/batch={batch_id}")
+        log = s.read.schema(schema).parquet(f"{base}/stretches").where(F.col("batch") <= batch_id)
+        ends = log.agg(F.max("seen").alias("now"), F.max(F.when(F.col("batch") < batch_id, F.col("seen"))).alias("before")).first()
+        until = ends["now"] or dt.datetime(1970, 1, 1)  # nothing has arrived yet: the log stays empty
+        st = log.groupBy(*keys).agg(F.min("fired_at").alias("fired_at"), F.min("resolved_at").alias("resolved_at")).where("fired_at is not null")
         due = routing.notifications(st, group, member, until=F.lit(until), **timing)
-        if batch_id > 0:
-            before = log.where(F.col("batch") < batch_id).agg(F.max("t")).first()[0]
-            due = due if before is None else due.where(F.col("sent_at") > F.lit(before))
+        if ends["before"] is not None:
+            due = due.where(F.col("sent_at") > F.lit(ends["before"]))
         due.write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
 
     each_batch(flat, advance, "notify", base)
