@@ -1,9 +1,9 @@
 """Instant and range vectors on a step grid.
 
 A sample at ``u`` belongs to the half-open window ``(t - w, t]`` of every grid instant
-``t = k * step`` with ``u <= t < u + w``.  Both plans below first fold samples into buckets of
+``t = k * step`` with ``u <= t < u + w``.  All plans below first fold samples into buckets of
 width ``gcd(step, w)`` and only then spread the small bucket states over the windows that contain
-them.  So the spread factor ``w / step`` multiplies buckets, not raw samples, the fold happens on
+them (or, for windows of very many buckets, merge them by doubling).  So the spread factor ``w / step`` multiplies buckets, not raw samples, the fold happens on
 the map side, and no range (theta) join is needed.  Buckets are keyed by (series, time), which
 also splits a series that holds a large share of all rows.
 
@@ -12,14 +12,14 @@ Samples must be unique per (series, ts); ``streaming.ingest.dedupe`` and ``dedup
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..timeutil import ceil_div, instant_micros, micros
+from ..timeutil import ceil_div, floor_div, instant_micros, micros
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,49 @@ def _spread(states: DataFrame, grid: Grid, g: int, w: int) -> DataFrame:
     )
 
 
+# windows that overlap more often than this are built by doubling instead of spreading
+MAX_SPREAD = 64
+
+
+def _slide(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """Bucket states merged to one state for each (series, ``_k``)."""
+    if w == g == grid.step:
+        return _spread(states, grid, g, w).drop("_b")
+    overlap = min(-(-w // grid.step), grid.last - grid.first + 1)
+    if overlap <= MAX_SPREAD:
+        return merge(_spread(states, grid, g, w), [*keys, "_k"])
+    return _doubled(states, keys, grid, g, w, merge)
+
+
+def _doubled(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """Windows of many buckets in about log2(buckets) merges instead of one copy per bucket.
+
+    Level i holds, at every index, the state of the 2**i buckets that end there; two neighbours
+    make the next level.  A window is the disjoint union of the levels that its length has as
+    binary digits.  Levels (``_r`` = 0) and finished parts of windows (``_r`` = 1) travel in one
+    frame, which is partitioned by series once; its size per series follows the time span.
+    """
+    length, per_step, last = w // g, grid.step // g, grid.last * (grid.step // g)
+    cols = [c for c in states.columns if c not in (*keys, "_b")]
+    cur = states.select(*keys, F.lit(0).alias("_r"), F.col("_b").alias("_x"), *cols).repartition(*keys)
+    done = 0
+    for i in range(length.bit_length()):
+        size, x = 1 << i, F.col("_x")
+        parts = []
+        if length >> (i + 1):
+            parts += [F.struct(F.lit(0).alias("r"), (x + F.lit(d)).alias("x")) for d in (0, size)]
+        if length >> i & 1:
+            parts.append(F.struct(F.lit(1).alias("r"), (x + F.lit(done)).alias("x")))
+            done += size
+        keep = F.array(F.struct(F.col("_r").alias("r"), x.alias("x")))
+        moved = cur.select(*keys, *cols, F.explode(F.when(F.col("_r") == 0, F.array(*parts)).otherwise(keep)).alias("_e"))
+        on_grid = (F.col("_e.r") == 0) | (F.pmod(F.col("_e.x"), F.lit(per_step)) == 0)
+        moved = moved.where((F.col("_e.x") <= F.lit(last)) & on_grid).select(*keys, *cols, F.col("_e.r").alias("_r"), F.col("_e.x").alias("_x"))
+        cur = merge(moved, [*keys, "_r", "_x"])
+    out = cur.where((F.col("_r") == 1) & (F.col("_x") >= F.lit(grid.first * per_step)))
+    return out.withColumn("_k", floor_div(F.col("_x"), per_step)).drop("_r", "_x")
+
+
 # partial state -> (per-bucket aggregate, merge of bucket aggregates)
 _PARTIAL = {
     "n": (lambda: F.count("_v"), lambda: F.sum("n")),
@@ -106,10 +149,8 @@ def over_time(
     parts = [p for p in _PARTIAL if any(p in _NEEDS[f] for f in fns)]
     base = _in_reach(samples, keys, grid, w, value, ts, d).withColumn("_b", ceil_div(F.col("_u"), g))
     states = base.groupBy(*keys, "_b").agg(*[_PARTIAL[p][0]().alias(p) for p in parts])
-    spread = _spread(states, grid, g, w)
-    if not w == g == grid.step:
-        spread = spread.groupBy(*keys, "_k").agg(*[_PARTIAL[p][1]().alias(p) for p in parts])
-    return spread.select(*keys, _instant_column(grid), *[_FINAL[f]().alias(f) for f in fns])
+    merged = _slide(states, keys, grid, g, w, lambda df, group: df.groupBy(*group).agg(*[_PARTIAL[p][1]().alias(p) for p in parts]))
+    return merged.select(*keys, _instant_column(grid), *[_FINAL[f]().alias(f) for f in fns])
 
 
 def instant(samples: DataFrame, grid: Grid, lookback="5m", keys: Sequence[str] = ("series_key",), offset=0, **kw) -> DataFrame:
@@ -204,6 +245,9 @@ def link_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+_FOLDED = ("n", "first_u", "first_v", "last_u", "last_v", "pen_u", "pen_v", "corr", "chg", "x_corr", "x_chg")
+
+
 def _fold(linked: DataFrame, group: Sequence[str]) -> DataFrame:
     """Merge linked states of neighbouring buckets into one state with the same columns."""
     return linked.groupBy(*group).agg(
@@ -235,7 +279,7 @@ def window_states(linked: DataFrame, fine: int, grid: Grid, w: int, keys: Sequen
     g = gcd(grid.step, w)
     if fine != g:
         linked = _fold(linked.withColumn("_b", ceil_div(F.col("_b") * F.lit(fine), g)), [*keys, "_b"])
-    state = _fold(_spread(linked, grid, g, w), [*keys, "_k"])
+    state = _slide(linked.select(*keys, "_b", *_FOLDED), keys, grid, g, w, _fold)
     # the step into the first sample of the window starts outside of it
     return state.withColumns({"corr": F.col("corr") - F.col("x_corr"), "chg": F.col("chg") - F.col("x_chg")}).select(
         *keys, _instant_column(grid), (F.col("_k") * F.lit(grid.step)).alias("_t"),

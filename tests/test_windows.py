@@ -121,9 +121,10 @@ def _brute(points, t, w, fn):
     return win[-1][1] - win[-2][1]
 
 
-@pytest.mark.parametrize("window,chunk", [("3m", "5m"), ("90s", "30s"), ("7m", "1m")])
-def test_against_brute_force(spark, window, chunk):
-    """Random counters with resets, gaps, repeats and samples on the very edges."""
+@pytest.mark.parametrize("window,chunk,spread", [("3m", "5m", 64), ("90s", "30s", 64), ("7m", "1m", 64), ("7m", "5m", 1), ("150s", "30s", 1), ("8m", "1m", 2), ("12m", "5m", 1)])
+def test_against_brute_force(spark, monkeypatch, window, chunk, spread):
+    """Random counters with resets, gaps, repeats and samples on the very edges; both window plans."""
+    monkeypatch.setattr(W, "MAX_SPREAD", spread)
     rng = random.Random(7)
     points = {}
     for name in "abcde":
@@ -147,6 +148,16 @@ def test_against_brute_force(spark, window, chunk):
         assert have == {k: v for k, v in want.items() if v is not None}, fn
 
 
+def test_long_windows_are_doubled(spark):
+    """A day-long window on a one-minute grid merges in a few levels, not in 1440 copies."""
+    s = series(spark, {"a": [(i * 600, 1) for i in range(1, 200)]})
+    v = W.over_time(s, W.Grid.of("60s", at(86400), at(2 * 86400)), "1d", ["sum", "count", "last"])
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("Aggregate") >= 11
+    got = by_time(v, value="sum")
+    assert got[("a", 86400)] == 144.0 and got[("a", 86400 + 60)] == 144.0 and got[("a", 2 * 86400)] == 199 - 144
+
+
 def test_increase_never_negative_and_equals_rate_times_window(spark):
     s = series(spark, {"a": [(i * 7, (i * 13) % 29) for i in range(1, 80)]})
     inc, rate = by_time(W.increase(s, GRID, "2m")), by_time(W.rate(s, GRID, "2m"))
