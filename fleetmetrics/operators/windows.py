@@ -71,20 +71,29 @@ def _spread(states: DataFrame, grid: Grid, g: int, w: int) -> DataFrame:
 
 
 # windows that overlap more often than this are built by doubling instead of spreading
-MAX_SPREAD = 64
+MAX_SPREAD = 32
 
+Merge = Callable[[DataFrame, Sequence[str]], DataFrame]
+Shift = Callable[[DataFrame, Column], DataFrame]
 
-def _slide(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
-    """Bucket states merged to one state for each (series, ``_k``)."""
+
+def _slide(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Merge, shift: Shift | None = None) -> DataFrame:
+    """Bucket states merged to one state for each (series, ``_k``).
+
+    ``shift`` re-bases states that are relative to their bucket end by a number of seconds.
+    """
     if w == g == grid.step:
         return _spread(states, grid, g, w).drop("_b")
     overlap = min(-(-w // grid.step), grid.last - grid.first + 1)
     if overlap <= MAX_SPREAD:
-        return merge(_spread(states, grid, g, w), [*keys, "_k"])
-    return _doubled(states, keys, grid, g, w, merge)
+        spread = _spread(states, grid, g, w)
+        if shift is not None:
+            spread = shift(spread, (F.col("_k") * F.lit(grid.step) - F.col("_b") * F.lit(g)) / F.lit(1e6))
+        return merge(spread, [*keys, "_k"])
+    return _doubled(states, keys, grid, g, w, merge, shift)
 
 
-def _doubled(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+def _doubled(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Merge, shift: Shift | None) -> DataFrame:
     """Windows of many buckets in about log2(buckets) merges instead of one copy per bucket.
 
     Level i holds, at every index, the state of the 2**i buckets that end there; two neighbours
@@ -105,9 +114,12 @@ def _doubled(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int,
             parts.append(F.struct(F.lit(1).alias("r"), (x + F.lit(done)).alias("x")))
             done += size
         keep = F.array(F.struct(F.col("_r").alias("r"), x.alias("x")))
-        moved = cur.select(*keys, *cols, F.explode(F.when(F.col("_r") == 0, F.array(*parts)).otherwise(keep)).alias("_e"))
+        moved = cur.select(*keys, *cols, "_x", F.explode(F.when(F.col("_r") == 0, F.array(*parts)).otherwise(keep)).alias("_e"))
         on_grid = (F.col("_e.r") == 0) | (F.pmod(F.col("_e.x"), F.lit(per_step)) == 0)
-        moved = moved.where((F.col("_e.x") <= F.lit(last)) & on_grid).select(*keys, *cols, F.col("_e.r").alias("_r"), F.col("_e.x").alias("_x"))
+        moved = moved.where((F.col("_e.x") <= F.lit(last)) & on_grid)
+        if shift is not None:
+            moved = shift(moved, (F.col("_e.x") - F.col("_x")) * F.lit(g) / F.lit(1e6))
+        moved = moved.select(*keys, *cols, F.col("_e.r").alias("_r"), F.col("_e.x").alias("_x"))
         cur = merge(moved, [*keys, "_r", "_x"])
     out = cur.where((F.col("_r") == 1) & (F.col("_x") >= F.lit(grid.first * per_step)))
     return out.withColumn("_k", floor_div(F.col("_x"), per_step)).drop("_r", "_x")
@@ -362,14 +374,17 @@ def predict_linear(samples: DataFrame, grid: Grid, window, ahead, keys: Sequence
         F.count("_v").cast("double").alias("n"), F.sum("_x").alias("sx"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
         F.sum("_v").alias("sy"), F.sum(F.col("_x") * F.col("_v")).alias("sxy"),
     )
-    d = (F.col("_k") * F.lit(grid.step) - F.col("_b") * F.lit(g)) / F.lit(1e6)
-    moved = _spread(moments, grid, g, w).withColumn("_d", d)
-    m = moved.groupBy(*keys, "_k").agg(
-        F.sum("n").alias("n"), F.sum("sy").alias("sy"),
-        F.sum(F.col("sx") - F.col("n") * F.col("_d")).alias("sx"),
-        F.sum(F.col("sxx") - 2 * F.col("_d") * F.col("sx") + F.col("n") * F.col("_d") * F.col("_d")).alias("sxx"),
-        F.sum(F.col("sxy") - F.col("_d") * F.col("sy")).alias("sxy"),
-    )
+
+    def shift(df: DataFrame, seconds: Column) -> DataFrame:
+        # all columns are taken from the state before the move
+        n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+        moved = {"sx": sx - n * seconds, "sxx": F.col("sxx") - 2 * seconds * sx + n * seconds * seconds, "sxy": F.col("sxy") - seconds * sy}
+        return df.withColumns(moved)
+
+    def merge(df: DataFrame, group: Sequence[str]) -> DataFrame:
+        return df.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "sxy")])
+
+    m = _slide(moments, keys, grid, g, w, merge, shift)
     var = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / var
     intercept = (F.col("sy") - slope * F.col("sx")) / F.col("n")

@@ -176,3 +176,27 @@ def reduce_last_mean(spark, sf):
     v = W.instant(m(spark, sf), GRID, RANGE)
     out = v.groupBy("series_key").agg(F.max_by("value", F.unix_micros("t")).alias("l"), F.avg("value").alias("a"))
     return out.select("series_key", r("l").alias("last_value"), r("a").alias("mean_value"))
+
+
+_HOURLY = "g as (select unnest(generate_series(timestamp '2024-01-01 06:00:00', timestamp '2024-01-31 00:00:00', interval 1 hour)) as t)"
+_LONG_GRID = W.Grid.of("1h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
+
+
+@query(
+    "long_window",
+    f"""with {M}, {_HOURLY} select series_key, cast(epoch(t) as bigint) as t, round(sum(value), 4) as sum, count(*) as count, min(value) as min, max(value) as max, round(arg_max(value, ts), 6) as last
+    from g join m on m.ts > g.t - interval 10 day and m.ts <= g.t group by series_key, t""",
+)
+def long_window(spark, sf):
+    """Ten days on an hourly grid: windows overlap so often that they are merged by doubling."""
+    v = W.over_time(m(spark, sf), _LONG_GRID, "10d", ["sum", "count", "min", "max", "last"])
+    return v.select("series_key", epoch().alias("t"), r("sum", 4).alias("sum"), "count", "min", "max", r("last").alias("last"))
+
+
+@query(
+    "long_increase",
+    f"""with {CTR}, {_HOURLY}, w as (select series_key, t, ts, value, lag(value) over (partition by series_key, t order by ts, event_id) as p from g join ctr on ctr.ts > g.t - interval 5 day and ctr.ts <= g.t)
+    select series_key, cast(epoch(t) as bigint) as t, round(sum(case when p is null then 0 when value < p then value else value - p end), 4) as value from w group by 1, 2 having count(*) >= 2""",
+)
+def long_increase(spark, sf):
+    return W.increase(ctr(spark, sf), _LONG_GRID, "5d", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))

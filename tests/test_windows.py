@@ -148,6 +148,15 @@ def test_against_brute_force(spark, monkeypatch, window, chunk, spread):
         assert have == {k: v for k, v in want.items() if v is not None}, fn
 
 
+@pytest.mark.parametrize("window", ["5m", "7m", "60s"])
+def test_predict_linear_is_the_same_under_both_plans(spark, monkeypatch, window):
+    s = series(spark, {"a": [(7 * i + (i % 3), (i * 37) % 41) for i in range(1, 120)], "b": [(100, 4), (400, 9), (401, 3)]})
+    grid = W.Grid.of("60s", at(60), at(1200))
+    spread = by_time(W.predict_linear(s, grid, window, "10m"))
+    monkeypatch.setattr(W, "MAX_SPREAD", 1)
+    assert spread and by_time(W.predict_linear(s, grid, window, "10m")) == pytest.approx(spread)
+
+
 def test_long_windows_are_doubled(spark):
     """A day-long window on a one-minute grid merges in a few levels, not in 1440 copies."""
     s = series(spark, {"a": [(i * 600, 1) for i in range(1, 200)]})
