@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +36,28 @@ def local_session(app: str = "fleetmetrics", cpus: int | str = "*", shuffle: int
     return prepare(spark)
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Runtime settings for the body only; a stream keeps those it was started with."""
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def state_partitions(spark: SparkSession) -> str:
+    """Partitions for streaming state: as configured, but no more than two for each core.
+
+    Adaptive execution does not merge small state partitions, and each one is committed in every
+    micro-batch, so a number far above the cores only adds work.
+    """
+    return str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import with_previous
-from ..session import shared_dir
+from ..session import settings, shared_dir, state_partitions
 from ..timeutil import micros
 
 
@@ -24,18 +24,12 @@ def run_to_table(stream: DataFrame, name: str, path: str | None = None, conf: di
     """
     spark = stream.sparkSession
     base = path or shared_dir(spark, name)
-    before = {k: spark.conf.get(k) for k in conf or {}}
-    for k, v in (conf or {}).items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, **{"spark.sql.shuffle.partitions": state_partitions(spark)} | (conf or {})):
         q = (
             stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/table")
             .trigger(availableNow=True).start()
         )
         q.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     return read_table(spark, f"{base}/table", stream.schema)
 
 

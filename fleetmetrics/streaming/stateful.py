@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..alerts import routing
-from ..session import shared_dir
+from ..session import settings, shared_dir, state_partitions
 from ..timeutil import micros
 
 
@@ -93,8 +93,10 @@ def drift_stream(hashes: DataFrame, keys: Sequence[str] = ("host",)) -> DataFram
 def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str, path: str | None = None) -> str:
     """Run ``step(batch, id)`` over everything available; returns the folder it works in."""
     base = path or shared_dir(stream.sparkSession, name)
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    spark = stream.sparkSession
+    with settings(spark, **{"spark.sql.shuffle.partitions": state_partitions(spark)}):
+        q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     return base
 
 
