@@ -11,8 +11,8 @@ documents. With P = 31 and six residues, 19 % of the positions are hashed.
    for each task and anchor leaves a task, so copies cost little.
 2. Anchors in two documents are joined back to their places. Where all surroundings agree, the match
    extends over all of them: every window over the anchor is in the smallest document as well, and
-   nothing else is compared. Else the anchor extends to the windows around it, whose 128-bit hashes
-   are aggregated to the smallest doc_id and joined back.
+   nothing else is compared. Else the anchor extends to the windows around it, but for those already
+   told that way, and their 128-bit hashes are aggregated to the smallest doc_id and joined back.
 3. The covered words of each document are removed.
 """
 
@@ -78,6 +78,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[doc]), pa.array(ties[doc]), pa.array(local.astype(np.int32))], ["a", "c", "id", "tie", "pos"])
 
 
+def _over(places: np.ndarray, last: int) -> np.ndarray:
+    """Whether the window at each start up to ``last`` holds one of the anchors at ``places``."""
+    mark = np.zeros(last + 2, np.int64)
+    np.add.at(mark, np.maximum(places - (PERIOD - 1), 0), 1)
+    np.add.at(mark, np.minimum(places, last) + 1, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
@@ -86,12 +94,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, owner = [], []
             for k, found in enumerate(piece.column("places")):
                 places = np.asarray(found.values)
-                mark = np.zeros(int(borders[k + 1] - borders[k]) + 2, np.int64)
-                some = places[places & 1 == 1] >> 1
-                last = borders[k + 1] - borders[k] - WINDOW
-                np.add.at(mark, np.maximum(some - (PERIOD - 1), 0), 1)
-                np.add.at(mark, np.minimum(some, last) + 1, -1)
-                s = np.flatnonzero(np.cumsum(mark) > 0)
+                last = int(borders[k + 1] - borders[k]) - WINDOW
+                s = np.flatnonzero(_over(places[places & 1 == 1] >> 1, last) & ~_over(places[places & 1 == 0] >> 1, last))
                 starts.append(s)
                 owner.append(np.full(len(s), k))
             s, k = np.concatenate(starts), np.concatenate(owner)
