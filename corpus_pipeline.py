@@ -6,31 +6,39 @@ the documents are a Parquet table in the shared folder, so a lost executor costs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetmetrics.llm import decontaminate, line_dedup, packing, quality_model, simhash
-from fleetmetrics.llm.common import ship, stored, table
+from fleetmetrics.llm.common import free_names, ship, stored, table
 
 #: No stage after the first can be told in SQL without the scores of a trained model.
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of at least one half)."""
     ship(spark)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, into="__score").where("__score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (score,) = free_names(docs, "score")
+    return quality_model.score(docs, model, into=score).where(F.col(score) >= 0.5).select(*_own(docs))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines. One that loses all its words that way goes; one
     that had none to begin with stays. ``n_chars`` follows a changed text."""
     ship(spark)
-    cut = line_dedup.dedup_lines(docs, removed="__removed")
-    left = cut.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    length = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return left.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    (removed,) = free_names(docs, "n_removed")
+    cut = line_dedup.dedup_lines(docs, removed=removed)
+    left = cut.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        left = left.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return left.select(*_own(docs))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +50,8 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (0.8 of its five-word shingles)."""
     ship(spark)
-    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), into="__hits")
-    return hits.where(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (hits,) = free_names(docs, "hits")
+    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), into=hits).where(F.size(hits) == 0).select(*_own(docs))
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

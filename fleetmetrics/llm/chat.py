@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 TURN, TEXT, END = b"<|turn|>", b"<|text|>", b"<|end|>\n"
 ESCAPE = 0x10
-#: Bytes after which an escape goes: itself, and the first of a control string. "<|" opens every
-#: mark above; the others are those that chat templates in common use put around turns.
-_BREAK = re.compile(rb"\x10|<(?=\||s>|/s>|<SYS>>|</SYS>>|start_of_turn>|end_of_turn>)|\[(?=/?INST\])")
+#: An escape goes after the first byte of each of these: the escape itself, and control strings. "<|"
+#: opens every mark above; the others are those that chat templates in common use put around turns.
+_BREAK = re.compile(rb"\x10|<(?:\||s>|/s>|<SYS>>|</SYS>>|start_of_turn>|end_of_turn>)|\[/?INST\]")
 SCHEMA = "conv_id long, turn long, seq long, n_turns long, formatted binary, loss array<struct<start:int,length:int>>"
 
 
@@ -48,7 +48,9 @@ def _escaped(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = (memoryview(data)[offsets[0] : offsets[-1]] if data is not None else b"")
     offsets = offsets - offsets[0]
     source = np.frombuffer(raw, np.uint8)
-    cut = np.fromiter((m.end() for m in _BREAK.finditer(raw)), np.int64)
+    found = np.array([m.span() for m in _BREAK.finditer(raw)], np.int64).reshape(-1, 2)
+    within = offsets[np.searchsorted(offsets, found[:, 0], side="right")] >= found[:, 1] if len(found) else np.zeros(0, bool)
+    cut = found[within, 0] + 1  # a match over the border of two values is none
     before = np.searchsorted(cut, offsets, side="right")  # escapes up to each border
     out = np.full(len(source) + len(cut), ESCAPE, np.uint8)
     out[np.arange(len(source)) + np.searchsorted(cut, np.arange(len(source)), side="right")] = source

@@ -45,6 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null becomes the empty text."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

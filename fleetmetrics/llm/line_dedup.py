@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, pieces, stored, text_bytes
+from .common import doc_key, free_names, pieces, stored, text_bytes
 
 MIN_WORDS = 8
 
@@ -153,10 +153,11 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     texts = docs.select(doc_key(doc_id).alias("id"), F.hash(text).alias("tie"), text_bytes(text).alias("t"))
     lines = stored(texts.mapInArrow(hashed, "id long, tie int, h array<long>, w array<int>").where(F.size("h") > 0), "lines")
     prints = lines.select("id", "h", "w").mapInArrow(select, "fp long, id long")
-    shared = prints.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("fp")
+    # stored, so that a join that meets a hot line has two plain sides and can be split
+    shared = stored(prints.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("fp"), "shared-lines")
     near = prints.join(shared, "fp").groupBy("id").agg(F.collect_set("fp").alias("near"))
     found = stored(lines.join(near, "id").select("id", "tie", "h", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie int, s int, e int"), "line-windows")
-    first = found.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
+    first = stored(found.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "first-lines")
     later = found.join(first, ["k1", "k2"]).where("id > lo").select("id", "tie", F.struct("s", "e").alias("run")).distinct()
     return later.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))
 
@@ -168,7 +169,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     rows with equal or null doc_id are not earlier than one another; equal rows lose the same lines.
     All other columns are kept, a column named as ``removed`` is replaced, an empty table stays empty.
     """
-    runs = stored(repeated_runs(docs, text, doc_id, min_words), "line-runs").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("runs").alias("__runs"))
+    found = stored(repeated_runs(docs, text, doc_id, min_words), "line-runs")
+    own_id, own_tie, id_, tie, runs, done = free_names(docs, "own_id", "own_tie", "id", "tie", "runs", "cut")
+    found = found.select(F.col("id").alias(id_), F.col("tie").alias(tie), F.col("runs").alias(runs))
 
     @F.pandas_udf("text string, n long")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -180,7 +183,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
             counts.append(len(gone))
         return pd.DataFrame({"text": out, "n": counts})
 
-    joined = docs.drop(removed).withColumns({"__key": doc_key(doc_id), "__hash": F.hash(text)}).join(runs, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left")
-    done = joined.withColumn("__cut", cut(text_bytes(text), F.col("__runs")))
-    kept = [F.when(F.col(text).isNotNull(), F.col("__cut.text")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != removed]
-    return done.select(*kept, F.col("__cut.n").alias(removed))
+    keyed = docs.withColumns({own_id: doc_key(doc_id), own_tie: F.hash(text)})
+    joined = keyed.join(found, (F.col(own_id) == F.col(id_)) & (F.col(own_tie) == F.col(tie)), "left")
+    made = joined.withColumn(done, cut(text_bytes(text), F.col(runs)))
+    kept = [F.when(F.col(text).isNotNull(), F.col(f"{done}.text")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != removed]
+    return made.select(*kept, F.col(f"{done}.n").alias(removed))

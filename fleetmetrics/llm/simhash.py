@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_key, stored, text_bytes
+from .common import NO_ID, doc_key, free_names, stored, text_bytes
 from .components import components
 
 # fixed values: generator polynomial of the (23, 12) Golay code, and the hash seed of the contract
@@ -118,7 +118,8 @@ def close_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
         return pd.Series(fuzzy_keys(f.to_numpy()))
 
     keyed = prints.select("fp", F.explode(keys("fp")).alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that a join that meets a hot key has two plain sides and can be split
+    crowd = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-crowds")
     shared = stored(keyed.join(crowd, "key"), "simhash-keys")
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     groups = shared.where(F.col("n") <= PAIRWISE).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
@@ -147,7 +148,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int) -
         roots = components(links)
         rooted = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
         named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
-    return marked.join(named, "fp")
+    return marked.join(stored(named, "simhash-names"), "fp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
@@ -174,9 +175,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """
     rows = stored(_grouped(docs, text, doc_id, shingle, bits).select("id", "tie", "component"), "simhash-groups")
     best = rows.where("id = component").groupBy("id").agg(F.min("tie").alias("tie"))
-    keyed = docs.withColumns({"__id": doc_key(doc_id), "__tie": F.hash(text)})
-    chosen = best.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"))
-    kept = keyed.join(chosen, ["__id", "__tie"], "left_semi")
+    id_, tie = free_names(docs, "id", "tie")
+    keyed = docs.withColumns({id_: doc_key(doc_id), tie: F.hash(text)})
+    kept = keyed.join(best.select(F.col("id").alias(id_), F.col("tie").alias(tie)), [id_, tie], "left_semi")
     if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id", "__tie"])
+        kept = kept.dropDuplicates([id_, tie])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

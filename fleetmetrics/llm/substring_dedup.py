@@ -120,13 +120,15 @@ def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (id, tie, t): (id, tie, places) of anchors that matter, and (id, tie, starts) of windows that
     a smaller id has, apart from those that the places tell already."""
     found = texts.mapInArrow(_anchor_rows, "a long, c long, id long, tie int, pos int")
-    shared = found.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("lo < hi").select("a", "lo", (F.col("c0") != F.col("c1")).alias("several"))
+    known = found.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("lo < hi")
+    # stored, so that a join that meets a hot anchor or window has two plain sides and can be split
+    shared = stored(known.select("a", "lo", (F.col("c0") != F.col("c1")).alias("several")), "shared-anchors")
     at = found.select("a", "id", "tie", "pos").join(shared, "a").where("several or id > lo")
     place = F.col("pos").cast("long") * 2 + F.col("several").cast("int")
     places = stored(at.groupBy("id", "tie").agg(F.collect_list(place).alias("places")), "anchors")
     open_ = places.where(F.exists("places", lambda x: x % 2 == 1))
     windows = stored(texts.join(open_, ["id", "tie"]).select("id", "tie", "t", "places").mapInArrow(_window_rows, "k1 long, k2 long, id long, tie int, s int"), "windows")
-    first = windows.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
+    first = stored(windows.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "first-windows")
     starts = windows.join(first, ["k1", "k2"]).where("id > lo").groupBy("id", "tie").agg(F.collect_list("s").alias("starts"))
     return places, stored(starts, "starts")
 
