@@ -19,16 +19,22 @@ NO_ID = 2**63 - 1
 #: The bytes that separate words; ``bytes.split()`` splits on exactly these.
 SPACE = "\x20\t\n\x0b\x0c\r"
 #: Arrow batches are worked on in pieces of about this many bytes of text.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Entries a worker keeps in a cache before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch. Texts are long, and a worker holds a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, which may run where it is not installed."""
+    """Give this package to the executors, which may run where it is not installed, and keep the
+    session's Arrow batches small."""
+    for name, most in BATCH.items():
+        if not 0 < int(spark.conf.get(name, "0")) <= most:
+            spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -84,8 +90,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about PIECE_BYTES in ``column``, one row at least."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes in ``column``, one row at least."""
     sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]) if batch.num_rows and pa.types.is_binary(batch.schema.field(column).type) else None
     if sizes is None:
         if batch.num_rows:
@@ -95,7 +101,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:
         base = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + PIECE_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(total, base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
 

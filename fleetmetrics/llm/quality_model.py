@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "t"):
+            for piece in pieces(batch, "t", 512 << 10):
                 x, bags = passages(piece.column("t").to_pylist())
                 cut = np.cumsum(bags)
                 kept = [x[e - b : e][np.unique(np.linspace(0, b - 1, min(b, bag)).astype(int))] for e, b in zip(cut, bags, strict=True)]
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             for t in batch:
                 texts.append(t)
                 size += len(t)
-                if size > 2 << 20:
+                if size > 512 << 10:
                     out.append(model.scores(texts))
                     texts, size = [], 0
             if texts:
