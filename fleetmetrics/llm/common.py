@@ -33,7 +33,7 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the executors, which may run where it is not installed, and keep the
     session's Arrow batches small."""
     for name, most in BATCH.items():
-        if not 0 < int(spark.conf.get(name, "0")) <= most:
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
             spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
