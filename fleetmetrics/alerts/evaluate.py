@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import label_key, series_key
 from ..operators import windows as W
-from ..operators.selectors import anchored
+from ..operators.selectors import anchored, compare, divide, largest
 from ..sources.literal import values
 from ..timeutil import micros
 from .rules import Rule, rule_frame
@@ -80,12 +80,12 @@ def _grouped(vector: DataFrame, uses: DataFrame) -> DataFrame:
     key = F.when(by_group, _group_key(F.col("by"), F.col("series_key"))).otherwise(F.col("series_key"))
     x = _attach(vector, uses).withColumn("key", key)
     a, b = F.when(F.col("role") == "a", F.col("value")), F.when(F.col("role") == "b", F.col("value"))
-    g = x.groupBy("rule_id", "kind", "key", "t").agg(F.max(a).alias("a"), F.max(b).alias("b"), F.count(a).alias("n"))
+    g = x.groupBy("rule_id", "kind", "key", "t").agg(largest(a).alias("a"), largest(b).alias("b"), F.count(a).alias("n"))
     kind, a, b = F.col("kind"), F.col("a"), F.col("b")
     now = F.unix_micros("t") / 1e6
     test = (
         F.when(kind.isin("instant", "max_by"), a).when(kind == "age", now - a)
-        .when(kind == "ratio_pct", F.when(b != 0, 100 * (a / b))).when(kind == "free_pct", F.when(b != 0, 100 - 100 * (a / b)))
+        .when(kind == "ratio_pct", 100 * divide(a, b)).when(kind == "free_pct", 100 - 100 * divide(a, b))
         .when(kind == "count_by", F.col("n").cast("double")).when(kind == "odd_count", (F.col("n") % 2).cast("double"))
         # matching by group keeps the larger of several right-hand elements
         .when(kind == "and_min", b).when(kind == "max_both", F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
@@ -97,8 +97,8 @@ def _sum_free(vector: DataFrame, uses: DataFrame) -> DataFrame:
     x = _attach(vector, uses)
     pair = x.groupBy("rule_id", "by", "series_key", "t").agg(
         F.max(F.when(F.col("role") == "a", F.col("value"))).alias("a"), F.max(F.when(F.col("role") == "b", F.col("value"))).alias("b")
-    ).where("a is not null and b <> 0")
-    g = pair.groupBy("rule_id", _group_key(F.col("by"), F.col("series_key")).alias("series_key"), "t").agg((100 - 100 * F.sum(F.col("a") / F.col("b"))).alias("test"))
+    ).where("a is not null and b is not null")
+    g = pair.groupBy("rule_id", _group_key(F.col("by"), F.col("series_key")).alias("series_key"), "t").agg((100 - 100 * F.sum(divide(F.col("a"), F.col("b")))).alias("test"))
     return g.select("rule_id", "series_key", "t", "test", F.col("test").alias("value"))
 
 
@@ -162,10 +162,10 @@ def _absent(vector: DataFrame, uses: DataFrame, grid: W.Grid) -> DataFrame:
 
 def _holds() -> Column:
     t, x = F.col("threshold"), F.col("test")
-    return (
-        F.when(F.col("op") == ">", x > t).when(F.col("op") == ">=", x >= t).when(F.col("op") == "<", x < t).when(F.col("op") == "<=", x <= t)
-        .when(F.col("op") == "==", x == t).when(F.col("op") == "!=", x != t).otherwise(x.isNotNull())
-    )
+    out = F.when(F.lit(False), F.lit(False))
+    for op in (">", ">=", "<", "<=", "==", "!="):
+        out = out.when(F.col("op") == op, compare(x, op, t))
+    return out.otherwise(x.isNotNull())
 
 
 def evaluate(samples: DataFrame, rules: Iterable[Rule], grid: W.Grid, lookback="5m") -> DataFrame:

@@ -94,7 +94,7 @@ for _args in [
     ("stat_io_bgwriter", server.writers, ["writer_stats"], ["writes", "fsyncs"]),
     ("data_checksum_failure", server.checksum_failures, ["database_stats"], ["count", "time_since_last_failure_seconds"], _DB),
     ("database_size", storage.database_size, ["databases"], ["bytes"], _DB),
-    ("table_size", storage.table_size, ["relations", "namespaces"], ["size_bytes"], _REL),
+    ("table_size", storage.published_table_size, ["relations", "namespaces"], ["bytes"], _REL),
     ("stat_user_tables", storage.user_tables, ["user_tables"], storage.TABLE_COUNTERS, _REL),
     ("bloat_check", storage.bloat, ["bloat_stats"], ["size_bytes", "total_wasted_space_bytes"], ("dbname", "schemaname", "objectname")),
     ("sequence_exhaustion", storage.sequence_exhaustion, ["sequences"], ["count"]),

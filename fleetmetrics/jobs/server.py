@@ -65,6 +65,7 @@ def settings_gauge(settings: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: counters of a database
 DATABASE_COUNTERS = (
     "xact_commit", "xact_rollback", "blks_read", "blks_hit", "tup_returned", "tup_fetched", "tup_inserted",
     "tup_updated", "tup_deleted", "conflicts", "temp_files", "temp_bytes", "deadlocks",

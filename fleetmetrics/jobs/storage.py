@@ -20,6 +20,12 @@ def table_size(relations: DataFrame, namespaces: DataFrame) -> DataFrame:
     return rel.join(own, [*SNAP, "dbname", "relnamespace"]).select(*SNAP, "dbname", "schemaname", "relname", "size_bytes")
 
 
+def published_table_size(relations: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """Table sizes under the name that panels read."""
+    return table_size(relations, namespaces).withColumnRenamed("size_bytes", "bytes")
+
+
+# fixed values: counters of a table
 TABLE_COUNTERS = (
     "seq_scan", "seq_tup_read", "idx_scan", "idx_tup_fetch", "n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd",
     "n_tup_newpage_upd", "n_live_tup", "n_dead_tup", "vacuum_count", "autovacuum_count", "analyze_count", "autoanalyze_count",

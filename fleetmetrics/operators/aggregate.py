@@ -6,10 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import label, series_key
+from .selectors import largest
 
-_FN = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
+# NaN is the largest double in an order, but the smallest number is already never NaN beside others
+_FN = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": lambda v: largest(F.col(v)), "count": F.count}
 
 
 def _aggs(fns: Sequence[str], value: str) -> list[Column]:
@@ -42,7 +45,9 @@ def top_n(df: DataFrame, order: str, n: int, ties: Sequence[str], within: Sequen
     Overall this is a bounded heap per task; within groups the rank filter lets Spark cut every
     group to n rows before the shuffle.
     """
-    by = [F.col(order).desc(), *[F.col(c).asc() for c in ties]]
+    # NaN counts as smaller than any number
+    number = isinstance(df.schema[order].dataType, (T.DoubleType, T.FloatType))
+    by = [*([F.isnan(order).asc()] if number else []), F.col(order).desc(), *[F.col(c).asc() for c in ties]]
     if not within:
         return df.orderBy(*by).limit(n)
     rank = F.row_number().over(Window.partitionBy(*within).orderBy(*by))
@@ -50,9 +55,14 @@ def top_n(df: DataFrame, order: str, n: int, ties: Sequence[str], within: Sequen
 
 
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Newest row of each group: a maximum of structs, so it is combined before the shuffle."""
-    best = F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("_s")
-    return df.groupBy(*by).agg(best).select(*by, *[F.col(f"_s.{c}").alias(c) for c in columns])
+    """Newest row of each group; ties are settled by the other columns.
+
+    A rank of one lets Spark cut every group to one row in each task, before the shuffle.
+    """
+    newest = [F.col(c).desc() for c in (*order, *[c for c in columns if c not in order])]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*newest))
+    picked = [*by, *[c for c in columns if c not in by]]
+    return df.select(*dict.fromkeys([*by, *order, *columns])).withColumn("_rank", rank).where("_rank = 1").select(*picked)
 
 
 def label_values(df: DataFrame, name: str) -> DataFrame:

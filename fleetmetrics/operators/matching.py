@@ -8,20 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import series_key
-from .selectors import compare
+from .selectors import compare, divide
 
 _ARITH = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
-    "/": lambda a, b: F.when(b != 0, a / b),
+    "/": divide,
 }
 
 
 def pivot_metrics(vector: DataFrame, metrics: Sequence[str], keys: Sequence[str], value: str = "value", require_all: bool = True) -> DataFrame:
     """One-to-one match on ``keys``: the metrics side by side, in one pass and without a join.
 
-    ``keys`` identify an element apart from the metric name (series labels and instant).
+    ``keys`` identify an element apart from the metric name (series labels and instant). Where several
+    elements of a metric share a key the match is not one-to-one, and the job fails.
     """
-    agg = [F.max(F.when(F.col("metric") == m, F.col(value))).alias(m) for m in metrics]
+
+    def only(m: str) -> Column:
+        own = F.when(F.col("metric") == m, F.col(value))
+        return F.when(F.count(own) > 1, F.raise_error(F.lit(f"several elements of {m} share a matching key"))).otherwise(F.max(own))
+
+    agg = [only(m).alias(m) for m in metrics]
     out = vector.where(F.col("metric").isin(list(metrics))).groupBy(*keys).agg(*agg)
     if require_all:
         for m in metrics:

@@ -23,10 +23,17 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence
     row = F.struct(*columns)
     inner = cut.withColumn("_p", F.lag(row).over(w))
     carried = _chunk_ends(cut, keys, ts, columns, ties, row).select(*keys, "_c", F.lag("_row").over(Window.partitionBy(*keys).orderBy("_c")).alias("_q"))
-    joined = inner.join(carried, [*keys, "_c"], "left").withColumn("_p", F.coalesce("_p", "_q"))
+    joined = _rejoin(inner, carried, [*keys, "_c"]).withColumn("_p", F.coalesce("_p", "_q"))
     return joined.select(*df.columns, *[F.col(f"_p.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
+def _rejoin(rows: DataFrame, carried: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be NULL, which is a key like any other."""
+    other = carried.withColumnsRenamed({c: f"_k_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on]
+    return rows.join(other, same, "left").drop(*[f"_k_{c}" for c in on])
+
+
 def _chunk_ends(cut: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], ties: Sequence[str], row: Column) -> DataFrame:
     """The last row of every (series, chunk).  Fixed-width maxima are hash-aggregated; structs need a sort."""
     if list(columns) == [ts]:
@@ -48,5 +55,5 @@ def running_total(df: DataFrame, keys: Sequence[str], ts: str, value: str, ties:
     totals = cut.groupBy(*keys, "_e", "_c").agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*keys, "_e").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     offset = totals.select(*keys, "_c", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_o"))
-    joined = inner.join(offset, [*keys, "_c"], "left")
+    joined = _rejoin(inner, offset, [*keys, "_c"])
     return joined.withColumn(value, F.col("_s") + F.col("_o")).select(*df.columns)

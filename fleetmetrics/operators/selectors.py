@@ -60,7 +60,21 @@ _COMPARE = {
 
 
 def compare(left: Column, op: str, right: Column | float) -> Column:
-    return _COMPARE[op](left, right if isinstance(right, Column) else F.lit(right))
+    """Comparison of numbers; with NaN on either side only ``!=`` holds."""
+    right = right if isinstance(right, Column) else F.lit(right)
+    odd, holds = F.isnan(left) | F.isnan(right), _COMPARE[op](left, right)
+    return (holds | odd) if op == "!=" else (holds & ~odd)
+
+
+def divide(a: Column, b: Column) -> Column:
+    """Floating-point division: x/0 is infinite, 0/0 is NaN; NULL stays NULL."""
+    by_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b != 0, a / b).when(b == 0, by_zero)
+
+
+def largest(v: Column) -> Column:
+    """Aggregate: the largest number; NaN only if there is nothing else."""
+    return F.coalesce(F.max(F.when(~F.isnan(v), v)), F.max(v))
 
 
 def filter_value(df: DataFrame, op: str, threshold: Column | float, value: str = "value") -> DataFrame:

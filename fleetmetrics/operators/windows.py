@@ -1,11 +1,12 @@
 """Instant and range vectors on a step grid.
 
 A sample at ``u`` belongs to the half-open window ``(t - w, t]`` of every grid instant
-``t = k * step`` with ``u <= t < u + w``.  All plans below first fold samples into buckets of
-width ``gcd(step, w)`` and only then spread the small bucket states over the windows that contain
-them (or, for windows of very many buckets, merge them by doubling).  So the spread factor ``w / step`` multiplies buckets, not raw samples, the fold happens on
-the map side, and no range (theta) join is needed.  Buckets are keyed by (series, time), which
-also splits a series that holds a large share of all rows.
+``t = k * step`` with ``u <= t < u + w``.  The time line is cut at every grid instant and, if the
+window is no whole number of steps, also where windows begin, ``w mod step`` before it.  Every
+window is then a whole number of these buckets, of which a step has two at most, whatever window and
+step are.  Samples are folded into buckets first, on the map side, and windows are put together from
+bucket states by doubling: about log2(buckets) merges on one partitioning, without a range join.
+Buckets are keyed by (series, time), which also splits a series that holds a large share of all rows.
 
 Samples must be unique per (series, ts); ``streaming.ingest.dedupe`` and ``dedupe`` below see to it.
 """
@@ -14,12 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..timeutil import ceil_div, floor_div, instant_micros, micros
+from .selectors import largest
 
 
 @dataclass(frozen=True)
@@ -57,53 +58,61 @@ def _in_reach(samples: DataFrame, keys: Sequence[str], grid: Grid, w: int, value
     )
 
 
-def _spread(states: DataFrame, grid: Grid, g: int, w: int) -> DataFrame:
-    """Copy each bucket to the grid instants whose window contains it."""
-    end = F.col("_b") * F.lit(g)
-    lo = F.greatest(ceil_div(end, grid.step), F.lit(grid.first))
-    hi = F.least(ceil_div(end + F.lit(w), grid.step) - F.lit(1), F.lit(grid.last))
-    if w == g == grid.step:
-        return states.withColumn("_k", F.col("_b")).where(F.col("_b").between(grid.first, grid.last))
-    return (
-        states.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo") <= F.col("_hi"))
-        .withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-    )
+@dataclass(frozen=True)
+class Cuts:
+    """Numbered buckets that every window of length ``w`` on a grid of ``step`` is a whole number of."""
 
+    step: int
+    w: int
 
-# windows that overlap more often than this are built by doubling instead of spreading
-MAX_SPREAD = 32
+    @property
+    def rest(self) -> int:
+        return self.w % self.step
 
-Merge = Callable[[DataFrame, Sequence[str]], DataFrame]
-Shift = Callable[[DataFrame, Column], DataFrame]
+    @property
+    def per_step(self) -> int:
+        return 2 if self.rest else 1
 
+    @property
+    def length(self) -> int:
+        """Buckets of a window; its last bucket ends at the grid instant."""
+        whole = self.w // self.step
+        return 2 * whole + 1 if self.rest else whole
 
-def _slide(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Merge, shift: Shift | None = None) -> DataFrame:
-    """Bucket states merged to one state for each (series, ``_k``).
+    def index(self, u: Column) -> Column:
+        """The bucket that holds the instant ``u``."""
+        k = ceil_div(u, self.step)
+        if not self.rest:
+            return k
+        return k * 2 - (u <= k * F.lit(self.step) - F.lit(self.rest)).cast("bigint")
 
-    ``shift`` re-bases states that are relative to their bucket end by a number of seconds.
-    """
-    if w == g == grid.step:
-        return _spread(states, grid, g, w).drop("_b")
-    overlap = min(-(-w // grid.step), grid.last - grid.first + 1)
-    if overlap <= MAX_SPREAD:
-        spread = _spread(states, grid, g, w)
-        if shift is not None:
-            spread = shift(spread, (F.col("_k") * F.lit(grid.step) - F.col("_b") * F.lit(g)) / F.lit(1e6))
-        return merge(spread, [*keys, "_k"])
-    return _doubled(states, keys, grid, g, w, merge, shift)
+    def end(self, x: Column) -> Column:
+        """The instant at which bucket ``x`` ends."""
+        if not self.rest:
+            return x * F.lit(self.step)
+        return ceil_div(x, 2) * F.lit(self.step) - F.pmod(x, F.lit(2)) * F.lit(self.rest)
+
+
+Merge = Callable[[DataFrame, Sequence[str]], DataFrame]
+Shift = Callable[[DataFrame, Column], DataFrame]
 
 
-def _doubled(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int, merge: Merge, shift: Shift | None) -> DataFrame:
-    """Windows of many buckets in about log2(buckets) merges instead of one copy per bucket.
+def _slide(states: DataFrame, keys: Sequence[str], grid: Grid, cuts: Cuts, merge: Merge, shift: Shift | None = None) -> DataFrame:
+    """States of buckets ``_x`` merged to one state for each (series, grid number ``_k``).
 
-    Level i holds, at every index, the state of the 2**i buckets that end there; two neighbours
-    make the next level.  A window is the disjoint union of the levels that its length has as
-    binary digits.  Levels (``_r`` = 0) and finished parts of windows (``_r`` = 1) travel in one
-    frame, which is partitioned by series once; its size per series follows the time span.
+    Level i holds, at every bucket, the state of the 2**i buckets that end there; two neighbours make
+    the next level.  A window is the disjoint union of the levels that its length has as binary
+    digits.  Levels (``_r`` = 0) and finished parts of windows (``_r`` = 1) travel in one frame,
+    which is partitioned by series once; its size per series follows the time span.  ``shift``
+    re-bases states that are relative to their bucket end by a number of seconds.
     """
-    length, per_step, last = w // g, grid.step // g, grid.last * (grid.step // g)
-    cols = [c for c in states.columns if c not in (*keys, "_b")]
-    cur = states.select(*keys, F.lit(0).alias("_r"), F.col("_b").alias("_x"), *cols).repartition(*keys)
+    length, per_step = cuts.length, cuts.per_step
+    first, last = grid.first * per_step, grid.last * per_step
+    if length == 1:
+        own = states.where(F.col("_x").between(first, last) & (F.pmod("_x", F.lit(per_step)) == 0))
+        return own.withColumn("_k", floor_div(F.col("_x"), per_step)).drop("_x")
+    cols = [c for c in states.columns if c not in (*keys, "_x")]
+    cur = states.select(*keys, F.lit(0).alias("_r"), "_x", *cols).repartition(*keys)
     done = 0
     for i in range(length.bit_length()):
         size, x = 1 << i, F.col("_x")
@@ -118,10 +127,10 @@ def _doubled(states: DataFrame, keys: Sequence[str], grid: Grid, g: int, w: int,
         on_grid = (F.col("_e.r") == 0) | (F.pmod(F.col("_e.x"), F.lit(per_step)) == 0)
         moved = moved.where((F.col("_e.x") <= F.lit(last)) & on_grid)
         if shift is not None:
-            moved = shift(moved, (F.col("_e.x") - F.col("_x")) * F.lit(g) / F.lit(1e6))
+            moved = shift(moved, (cuts.end(F.col("_e.x")) - cuts.end(F.col("_x"))) / F.lit(1e6))
         moved = moved.select(*keys, *cols, F.col("_e.r").alias("_r"), F.col("_e.x").alias("_x"))
         cur = merge(moved, [*keys, "_r", "_x"])
-    out = cur.where((F.col("_r") == 1) & (F.col("_x") >= F.lit(grid.first * per_step)))
+    out = cur.where((F.col("_r") == 1) & (F.col("_x") >= F.lit(first)))
     return out.withColumn("_k", floor_div(F.col("_x"), per_step)).drop("_r", "_x")
 
 
@@ -130,7 +139,7 @@ _PARTIAL = {
     "n": (lambda: F.count("_v"), lambda: F.sum("n")),
     "s": (lambda: F.sum("_v"), lambda: F.sum("s")),
     "lo_v": (lambda: F.min("_v"), lambda: F.min("lo_v")),
-    "hi_v": (lambda: F.max("_v"), lambda: F.max("hi_v")),
+    "hi_v": (lambda: largest(F.col("_v")), lambda: largest(F.col("hi_v"))),
     "last_u": (lambda: F.max("_u"), lambda: F.max("last_u")),
     "last_v": (lambda: F.max_by("_v", "_u"), lambda: F.max_by("last_v", "last_u")),
     "first_u": (lambda: F.min("_u"), lambda: F.min("first_u")),
@@ -157,11 +166,11 @@ def over_time(
 ) -> DataFrame:
     """``<fn>_over_time`` on the grid for any of avg, sum, count, min, max, last, last_ts, first."""
     w, d = micros(window), micros(offset)
-    g = gcd(grid.step, w)
+    cuts = Cuts(grid.step, w)
     parts = [p for p in _PARTIAL if any(p in _NEEDS[f] for f in fns)]
-    base = _in_reach(samples, keys, grid, w, value, ts, d).withColumn("_b", ceil_div(F.col("_u"), g))
-    states = base.groupBy(*keys, "_b").agg(*[_PARTIAL[p][0]().alias(p) for p in parts])
-    merged = _slide(states, keys, grid, g, w, lambda df, group: df.groupBy(*group).agg(*[_PARTIAL[p][1]().alias(p) for p in parts]))
+    base = _in_reach(samples, keys, grid, w, value, ts, d).withColumn("_x", cuts.index(F.col("_u")))
+    states = base.groupBy(*keys, "_x").agg(*[_PARTIAL[p][0]().alias(p) for p in parts])
+    merged = _slide(states, keys, grid, cuts, lambda df, group: df.groupBy(*group).agg(*[_PARTIAL[p][1]().alias(p) for p in parts]))
     return merged.select(*keys, _instant_column(grid), *[_FINAL[f]().alias(f) for f in fns])
 
 
@@ -212,7 +221,7 @@ def with_offset(vector: DataFrame, grid: Grid, offset, keys: Sequence[str] = ("s
 
 
 def counter_states(samples: DataFrame, keys: Sequence[str], bucket: int) -> DataFrame:
-    """Fold ``(_u, _v)`` samples into ordered bucket states.
+    """Fold ``(_u, _v)`` samples into ordered states of buckets ``_b``, cut further by ``_x`` if given.
 
     ``corr`` sums the values lost at counter resets between neighbours inside the bucket, ``chg``
     counts differing neighbours, and ``pen_*`` is the last but one sample.  The sort runs per
@@ -220,12 +229,13 @@ def counter_states(samples: DataFrame, keys: Sequence[str], bucket: int) -> Data
     reuses the partitioning of the sort.  The bucket number leads the sort: comparing it settles
     most pairs, where series keys share long prefixes.
     """
-    w = Window.partitionBy("_b", *keys).orderBy("_u")
+    at = ["_b", *(["_x"] if "_x" in samples.columns else [])]
+    w = Window.partitionBy(*at, *keys).orderBy("_u")
     prev = F.lag("_v").over(w)
     ordered = samples.withColumn("_b", ceil_div(F.col("_u"), bucket)).select(
-        *keys, "_b", "_u", "_v", prev.alias("_pv"), F.lag("_u").over(w).alias("_pu"),
+        *keys, *at, "_u", "_v", prev.alias("_pv"), F.lag("_u").over(w).alias("_pu"),
     )
-    return ordered.groupBy(*keys, "_b").agg(
+    return ordered.groupBy(*keys, *at).agg(
         F.count("_v").alias("n"),
         F.min("_u").alias("first_u"), F.min_by("_v", "_u").alias("first_v"),
         F.max("_u").alias("last_u"), F.max_by("_v", "_u").alias("last_v"),
@@ -240,7 +250,7 @@ def link_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     This window sorts buckets, not samples: at most (time span / bucket) rows for each series.
     """
-    w = Window.partitionBy(*keys).orderBy("_b")
+    w = Window.partitionBy(*keys).orderBy("_b", *(["_x"] if "_x" in states.columns else []))
     prev_v, prev_u = F.lag("last_v").over(w), F.lag("last_u").over(w)
     return (
         states.withColumns({"_qv": prev_v, "_qu": prev_u})
@@ -277,21 +287,24 @@ def range_states(
 ) -> DataFrame:
     """Ordered state of every (series, grid instant).
 
-    Samples are sorted per (series, chunk); the chunk states are linked per series, folded to
-    grid buckets and spread over the windows, all three on one partitioning by series.
+    Samples are sorted per (series, chunk, bucket); the states are linked per series, folded to
+    buckets and merged to windows, all three on one partitioning by series.
     """
     w = micros(window)
-    fine = gcd(gcd(grid.step, w), micros(chunk))
-    states = counter_states(_in_reach(samples, keys, grid, w, value, ts, micros(offset)), keys, fine)
-    return window_states(link_states(states, keys), fine, grid, w, keys)
+    reach = _in_reach(samples, keys, grid, w, value, ts, micros(offset)).withColumn("_x", Cuts(grid.step, w).index(F.col("_u")))
+    return window_states(link_states(counter_states(reach, keys, micros(chunk)), keys), micros(chunk), grid, w, keys)
 
 
 def window_states(linked: DataFrame, fine: int, grid: Grid, w: int, keys: Sequence[str]) -> DataFrame:
-    """Linked states of width ``fine`` folded to one state for each (series, grid instant)."""
-    g = gcd(grid.step, w)
-    if fine != g:
-        linked = _fold(linked.withColumn("_b", ceil_div(F.col("_b") * F.lit(fine), g)), [*keys, "_b"])
-    state = _slide(linked.select(*keys, "_b", *_FOLDED), keys, grid, g, w, _fold)
+    """Linked states merged to one state for each (series, grid instant).
+
+    States without ``_x`` are of width ``fine``, of which step and window are multiples.
+    """
+    cuts = Cuts(grid.step, w)
+    if "_x" not in linked.columns:
+        linked = linked.withColumn("_x", cuts.index(F.col("_b") * F.lit(fine)))
+    folded = _fold(linked, [*keys, "_x"])
+    state = _slide(folded.select(*keys, "_x", *_FOLDED), keys, grid, cuts, _fold)
     # the step into the first sample of the window starts outside of it
     return state.withColumns({"corr": F.col("corr") - F.col("x_corr"), "chg": F.col("chg") - F.col("x_chg")}).select(
         *keys, _instant_column(grid), (F.col("_k") * F.lit(grid.step)).alias("_t"),
@@ -367,12 +380,12 @@ def predict_linear(samples: DataFrame, grid: Grid, window, ahead, keys: Sequence
     the numbers stay small and the samples are read once, however many windows overlap.
     """
     w, s = micros(window), micros(ahead) / 1e6
-    g = gcd(grid.step, w)
-    x = (F.col("_u") - F.col("_b") * F.lit(g)) / F.lit(1e6)
-    base = _in_reach(samples, keys, grid, w, value, ts, 0).withColumn("_b", ceil_div(F.col("_u"), g)).withColumn("_x", x)
-    moments = base.groupBy(*keys, "_b").agg(
-        F.count("_v").cast("double").alias("n"), F.sum("_x").alias("sx"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
-        F.sum("_v").alias("sy"), F.sum(F.col("_x") * F.col("_v")).alias("sxy"),
+    cuts = Cuts(grid.step, w)
+    before = (F.col("_u") - cuts.end(F.col("_x"))) / F.lit(1e6)
+    base = _in_reach(samples, keys, grid, w, value, ts, 0).withColumn("_x", cuts.index(F.col("_u"))).withColumn("_d", before)
+    moments = base.groupBy(*keys, "_x").agg(
+        F.count("_v").cast("double").alias("n"), F.sum("_d").alias("sx"), F.sum(F.col("_d") * F.col("_d")).alias("sxx"),
+        F.sum("_v").alias("sy"), F.sum(F.col("_d") * F.col("_v")).alias("sxy"),
     )
 
     def shift(df: DataFrame, seconds: Column) -> DataFrame:
@@ -384,7 +397,7 @@ def predict_linear(samples: DataFrame, grid: Grid, window, ahead, keys: Sequence
     def merge(df: DataFrame, group: Sequence[str]) -> DataFrame:
         return df.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "sxy")])
 
-    m = _slide(moments, keys, grid, g, w, merge, shift)
+    m = _slide(moments, keys, grid, cuts, merge, shift)
     var = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / var
     intercept = (F.col("sy") - slope * F.col("sx")) / F.col("n")

@@ -85,16 +85,17 @@ def inhibit(spark, sf):
 _TREE = R.Route(
     R.DEFAULT_RECEIVER,
     routes=(
-        R.Route("dba-team", match_re={"service": "^(postgresql|mysql|oracle)$"}, routes=(R.Route("pagerduty-dba", match={"severity": "critical"}),)),
-        R.Route("sre-team", match={"service": "system"}, routes=(R.Route("pagerduty-sre", match={"severity": "critical"}),)),
+        R.Route("night-desk", match={"severity": "critical"}),
+        R.Route("ticket-queue", match_re={"alertname": ".*(Click|View).*", "service": "post.+"}),
+        R.Route("mailing-list", match_re={"service": "post.+|sys.+"}),
     ),
 )
 
 
 @query(
     "route",
-    f"""with {_S} select case when service = 'postgresql' and severity = 'critical' then 'pagerduty-dba' when service = 'postgresql' then 'dba-team'
-    when service = 'system' and severity = 'critical' then 'pagerduty-sre' when service = 'system' then 'sre-team' else 'default-receiver' end as receiver, alertname, count(*) as n
+    f"""with {_S} select case when severity = 'critical' then 'night-desk' when regexp_full_match(alertname, '.*(Click|View).*') and regexp_full_match(service, 'post.+') then 'ticket-queue'
+    when regexp_full_match(service, 'post.+|sys.+') then 'mailing-list' else 'default-receiver' end as receiver, alertname, count(*) as n
     from st where alertstate = 'firing' group by 1, 2""",
 )
 def route(spark, sf):

@@ -200,3 +200,26 @@ def long_window(spark, sf):
 )
 def long_increase(spark, sf):
     return W.increase(ctr(spark, sf), _LONG_GRID, "5d", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+
+
+_UNEVEN = "interval 86401 second"
+
+
+@query(
+    "uneven_window",
+    f"""with {M}, {_HOURLY} select series_key, cast(epoch(t) as bigint) as t, round(sum(value), 4) as sum, count(*) as count, min(value) as min, max(value) as max, round(arg_max(value, ts), 6) as last
+    from g join m on m.ts > g.t - {_UNEVEN} and m.ts <= g.t group by series_key, t""",
+)
+def uneven_window(spark, sf):
+    """A day and a second on an hourly grid: the window is no whole number of steps."""
+    v = W.over_time(m(spark, sf), _LONG_GRID, "86401s", ["sum", "count", "min", "max", "last"])
+    return v.select("series_key", epoch().alias("t"), r("sum", 4).alias("sum"), "count", "min", "max", r("last").alias("last"))
+
+
+@query(
+    "uneven_increase",
+    f"""with {CTR}, {_HOURLY}, w as (select series_key, t, ts, value, lag(value) over (partition by series_key, t order by ts, event_id) as p from g join ctr on ctr.ts > g.t - {_UNEVEN} and ctr.ts <= g.t)
+    select series_key, cast(epoch(t) as bigint) as t, round(sum(case when p is null then 0 when value < p then value else value - p end), 4) as value from w group by 1, 2 having count(*) >= 2""",
+)
+def uneven_increase(spark, sf):
+    return W.increase(ctr(spark, sf), _LONG_GRID, "86401s", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))

@@ -129,11 +129,47 @@ def archive_files(spark, sf):
     path = shared_dir(spark, "archive")
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("db"), "o_orderdate")
     kept = logs.archive(o, "o_orderdate", o.agg(F.max("o_orderdate")).scalar(), path)
-    old = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{path}/archive")
+    old = logs.read_archive(spark, path)
     both = kept.select("db", F.lit("kept").alias("place"), "o_orderdate").unionByName(old.select("db", F.lit("archive").alias("place"), "o_orderdate"))
     return both.groupBy("db", "place").agg(F.count("*").alias("n"), F.date_format(F.max("o_orderdate"), "yyyy").alias("last_year"))
 
 
+@query(
+    "archive_two_runs",
+    """with x as (select o_orderstatus as db, strftime(o_orderdate, '%Y-%m') as month, o_orderdate < (select max(o_orderdate) from orders) - interval 13 day as old from orders)
+    select db, month, count(*) filter (old) as archived, count(*) filter (not old) as kept from x group by 1, 2""",
+)
+def archive_two_runs(spark, sf):
+    """Two cut-offs ten days apart, the first run repeated: no row is lost or doubled."""
+    path = shared_dir(spark, "archive")
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("db"), "o_orderdate")
+    newest = o.agg(F.max("o_orderdate")).scalar()
+    early = newest - F.make_interval(days=F.lit(23))
+    logs.archive(o, "o_orderdate", early, path, days=0)
+    kept = logs.archive(o, "o_orderdate", early, path, days=0)
+    kept = logs.archive(kept, "o_orderdate", newest - F.make_interval(days=F.lit(13)), path, days=0)
+    both = kept.select("db", "o_orderdate", F.lit(0).alias("old")).unionByName(logs.read_archive(spark, path).select("db", "o_orderdate", F.lit(1).alias("old")))
+    return both.groupBy("db", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("old").alias("archived"), F.sum(1 - F.col("old")).alias("kept"))
+
+
+@query(
+    "log_multiline",
+    """select cast(user_id % 3 as varchar) as shape, count(*) as lines, round(sum(value), 4) as total_ms from events where cast(ts as date) = date '2024-01-15' and event_type <> 'error' group by 1""",
+)
+def log_multiline(spark, sf):
+    """A day of log files whose statements run over several lines, read back as whole records."""
+    path = shared_dir(spark, "logs")
+    e = table(spark, sf, "events").where("cast(ts as date) = date'2024-01-15'")
+    text = F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC [10.0.0.1(5432)] [7]: [1-1] user=u,db="), F.col("event_type"), F.lit(",e=00000 LOG:  duration: "), F.col("value").cast("string"),
+        F.lit(" ms  statement: select a\n\tfrom t\nwhere x = "), (F.col("user_id") % 3).cast("string"), F.lit(" and y = 'b'"),
+    )
+    e.select(text.alias("value")).write.text(path)
+    log = logs.select(logs.parse(logs.read_day(spark, path, "2024-01-15", pattern="part-*")), exclude_db=["error"])
+    shape = F.regexp_extract(logs.statement(F.col("message")), r"(?s)^select a\s+from t\s+where x = (\d)", 1)
+    return log.groupBy(shape.alias("shape")).agg(F.count("*").alias("lines"), r(F.sum(logs.duration_ms(F.col("message"))), 4).alias("total_ms"))
+
+
 @query("refresh_files", f"with {M} select strftime(ts, '%Y-%m-%d') as day, metric, count(*) as n, round(sum(value), 4) as total from m group by 1, 2")
 def refresh_files(spark, sf):
     """A stored result brought up to date by replacing only the partitions that changed."""

@@ -257,3 +257,39 @@ def label_values(spark, sf):
 @query("label_values_chained", f"with {M} select distinct host from m where metric = 'click' and value > 90")
 def label_values_chained(spark, sf):
     return A.label_values(S.select(m(spark, sf), "click").where("value > 90"), "host")
+
+
+_ODD = f"{M}, o as (select metric, host, event_id, case when event_id % 7 = 0 then 'nan'::double else value end as value, case when event_id % 5 = 0 then 0.0 else value end as other from m)"
+
+
+def _odd(spark, sf):
+    """Events with NaN in one column and zero in another."""
+    s = m(spark, sf)
+    return s.select("metric", "host", "event_id", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value")).alias("value"), F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("value")).alias("other"))
+
+
+@query("nan_compare", f"""with {_ODD} select metric, count(*) filter (not isnan(value) and value > 50) as above, count(*) filter (not isnan(value) and value <= 50) as upto,
+    count(*) filter (isnan(value) or value <> 50) as differs, count(*) filter (not isnan(value) and value = value) as same from o group by 1""")
+def nan_compare(spark, sf):
+    """NaN is neither above nor below anything, equals nothing and differs from everything."""
+    v, n = F.col("value"), F.count_if
+    return _odd(spark, sf).groupBy("metric").agg(
+        n(S.compare(v, ">", 50.0)).alias("above"), n(S.compare(v, "<=", 50.0)).alias("upto"), n(S.compare(v, "!=", 50.0)).alias("differs"), n(S.compare(v, "==", v)).alias("same")
+    )
+
+
+@query("max_nan", f"""with {_ODD} select host, coalesce(max(value) filter (not isnan(value)), 'nan'::double) as max, min(value) filter (not isnan(value)) as min from o where metric <> 'error' or event_id % 7 = 0 group by 1""")
+def max_nan(spark, sf):
+    from ..operators.aggregate import agg_by
+
+    return agg_by(_odd(spark, sf).where("metric <> 'error' or event_id % 7 = 0"), ["host"], ["max", "min"])
+
+
+@query("div_zero_rule", f"""with {_ODD}, d as (select metric, value, other, case when isnan(value) then 'nan'::double when other <> 0 then 100 * value / other when value = 0 then 'nan'::double else 'inf'::double end as q from o)
+    select metric, count(*) filter (not isnan(q) and q > 90) as fires, count(*) filter (q = 'inf'::double) as infinite, count(*) filter (isnan(q)) as undefined from d group by 1""")
+def div_zero_rule(spark, sf):
+    """x/0 is infinite and lies above any threshold; 0/0 and NaN do not."""
+    q = 100 * S.divide(F.col("value"), F.col("other"))
+    return _odd(spark, sf).withColumn("q", q).groupBy("metric").agg(
+        F.count_if(S.compare(F.col("q"), ">", 90.0)).alias("fires"), F.count_if(F.col("q") == float("inf")).alias("infinite"), F.count_if(F.isnan("q")).alias("undefined")
+    )

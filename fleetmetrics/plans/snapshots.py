@@ -667,10 +667,10 @@ def hba_drift(spark, sf):
 def due_list(spark, sf):
     c = table(spark, sf, "customer")
     registry = c.select(
-        F.col("c_name").alias("view_name"), F.col("c_custkey"), (F.col("c_custkey") % 3 != 0).alias("active"),
+        F.col("c_name").alias("view_name"), F.concat(F.lit("s"), F.col("c_nationkey")).alias("view_schema"), F.col("c_custkey"), (F.col("c_custkey") % 3 != 0).alias("active"),
         F.when(F.col("c_custkey") % 5 == 0, -1).otherwise(F.col("c_custkey") * 86400).alias("run_seconds"),
     )
-    log = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("run_at")).join(registry.select("c_custkey", "view_name"), "c_custkey")
+    log = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("run_at")).join(registry.select("c_custkey", "view_schema", "view_name"), "c_custkey")
     due = refresh.due_list(registry, log, F.lit("2001-08-01").cast("timestamp"))
     return due.select("view_name", F.col("last_run").isNull().alias("never"))
 

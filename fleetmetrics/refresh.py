@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,29 +10,46 @@ from pyspark.sql import functions as F
 from .operators.selectors import overdue
 
 
-def due_list(registry: DataFrame, log: DataFrame, as_of: Column, key: str = "view_name", scope: str | None = None) -> DataFrame:
+def due_list(registry: DataFrame, log: DataFrame, as_of: Column, key: str | Sequence[str] = ("view_schema", "view_name"), scope: str | None = None) -> DataFrame:
     """Active objects to refresh: never run, or last run strictly longer ago than their interval.
 
+    An object is known by its schema and name; one run of it is appended by ``run_log``.
+
     A negative interval (in seconds) switches an object off; ``scope`` restricts the list to
     objects registered for that scope.
     """
     if scope is not None:
         registry = registry.where(F.col("scope") == scope)
-    last = log.groupBy(key).agg(F.max("run_at").alias("last_run"))
+    key = [key] if isinstance(key, str) else list(key)
+    last = log.groupBy(*key).agg(F.max("run_at").alias("last_run"))
     span = F.make_dt_interval(secs=F.col("run_seconds").cast("decimal(18,6)"))
     active = registry.where(F.col("active") & (F.col("run_seconds") >= 0))
     return active.join(last, key, "left").where(overdue(F.col("last_run"), span, as_of))
 
 
+def run_log(done: DataFrame, started: Column, seconds: Column, key: Sequence[str] = ("view_schema", "view_name"), replica: bool = False) -> DataFrame:
+    """Log rows of the objects just refreshed: key, start and duration; a replica refreshes nothing."""
+    rows = done.select(*key, started.alias("run_at"), seconds.cast("double").alias("run_time_seconds"))
+    return rows.where(F.lit(not replica))
+
+
 def refresh_partitions(
     spark: SparkSession, source: DataFrame, target: str, partition: str, changed: DataFrame, compute: Callable[[DataFrame], DataFrame],
 ) -> None:
     """Recompute only the changed partitions of a stored result and replace them in place.
 
-    The source is cut to the changed partitions before ``compute``, so the work follows the change.
+    The source is cut to the changed partitions before ``compute``, so the work follows the change. A
+    changed partition without rows left is deleted: its folder is the only thing that names it, so
+    the few names are taken to the driver.
     """
-    part = source.join(changed.select(partition).distinct(), partition, "left_semi")
-    compute(part).hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+    names = changed.select(partition).distinct()
+    part = source.join(names, partition, "left_semi")
+    fresh = compute(part)
+    fresh.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+    gone = names.join(part.select(partition).distinct(), partition, "left_anti").where(F.col(partition).isNotNull())
+    for row in gone.select(F.col(partition).cast("string")).toLocalIterator():
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"{partition}={row[0]}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def merge_refreshed(kept: DataFrame, fresh: DataFrame, changed: DataFrame, partition: str) -> DataFrame:

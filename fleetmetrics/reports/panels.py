@@ -18,7 +18,7 @@ from ..model import series_key
 from ..operators import windows as W
 from ..operators.aggregate import label_values
 from ..operators.matching import keep_if_primary
-from ..operators.selectors import clamp_max, clamp_min, select
+from ..operators.selectors import clamp_max, clamp_min, compare, divide, largest, select
 from ..timeutil import instant_micros, micros
 
 _KEYS = ["metric", "series_key"]
@@ -45,10 +45,10 @@ class Panel:
 
 
 def _form(name: str, a: Column, b: Column) -> Column:
-    safe = F.when(b != 0, a / b)
+    safe = divide(a, b)
     return {
         "ratio": safe, "pct": 100 * safe, "free_pct": 100 - 100 * safe, "one_minus": 1 - safe, "minus": a - b, "plus": a + b,
-        "state": 100 * a + b, "used_pct": F.when(b != 0, (b - a) * 100 / b), "rate_pct": F.when(b != 0, (a / 1e9) / b * 100),
+        "state": 100 * a + b, "used_pct": divide((b - a) * 100, b), "rate_pct": divide(a / 1e9, b) * 100,
     }[name]
 
 
@@ -75,7 +75,7 @@ def _aggregate(v: DataFrame, p: Panel, extra: Sequence[str] = ()) -> DataFrame:
         key = F.lit("{}")
     if p.agg == "groups":  # count(count by (labels) (v))
         return v.select(key.alias("_g"), "t").distinct().groupBy("t").agg(F.count("*").cast("double").alias("value")).withColumn("series_key", F.lit("{}"))
-    agg = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[p.agg]("value")
+    agg = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": lambda v: largest(F.col(v)), "count": F.count}[p.agg]("value")
     return v.groupBy(*extra, key.alias("series_key"), "t").agg(agg.cast("double").alias("value"))
 
 
@@ -106,7 +106,7 @@ def evaluate_panel(samples: DataFrame, p: Panel, grid: W.Grid, lookback: str = "
     if p.scale != 1.0 or p.base:
         v = v.withColumn("value", F.lit(p.base) + F.col("value") * F.lit(p.scale))
     if p.above is not None:
-        v = v.where(F.col("value") > p.above)
+        v = v.where(compare(F.col("value"), ">", p.above))
     return v.select("series_key", "t", "value")
 
 
@@ -141,11 +141,9 @@ def report(samples: DataFrame, name: str, grid: W.Grid, lookback: str = "5m", **
 
 
 def range_report(samples: DataFrame, name: str, at, span, lookback: str = "5m", **picked: str) -> DataFrame:
-    """An instant panel whose window is the whole dashboard range."""
-    end, width = instant_micros(at), micros(span)
-    if end % width:
-        raise ValueError("the range has to end at a multiple of its length")
-    return evaluate_panel(samples, replace(PANELS[name], window=span), W.Grid(width, end, end), lookback, **picked)
+    """An instant panel whose window is the whole dashboard range, of any length and end."""
+    end = instant_micros(at)
+    return evaluate_panel(samples, replace(PANELS[name], window=span), W.Grid(end, end, end), lookback, **picked)
 
 
 # --- fixed values: the panels of the fleet dashboards -------------------------------------------

@@ -50,23 +50,21 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 
 def state_partitions(spark: SparkSession) -> str:
-    """Partitions for streaming state: as configured, but no more than two for each core.
-
-    Adaptive execution does not merge small state partitions, and each one is committed in every
-    micro-batch, so a number far above the cores only adds work.
-    """
-    return str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    """Partitions for streaming state, as configured: the number stays with the checkpoint for ever, so
+    it must not follow the size of the cluster that happens to start the stream."""
+    return spark.conf.get("spark.sql.shuffle.partitions")
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Without that setting a local session falls back to a private temporary folder; any other
-    master is refused, because executors could not see a folder on the driver's disk.
+    A local session that leaves the setting empty gets a folder of its own for it; any other master is
+    refused, because executors could not see a folder on the driver's disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="fleetmetrics-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

@@ -37,7 +37,9 @@ def parse(lines: DataFrame, raw: str = "raw", scraped_at: Column | None = None,
     # undoing escapes is only paid for where there are any
     texts = F.when(block.contains("\\"), F.transform(texts, _unescape)).otherwise(texts)
     ts = F.coalesce(F.timestamp_millis(F.col("_t").try_cast("bigint")), F.col("_at"))
-    return flat.select(*keep, "metric", F.map_from_arrays(names, texts).alias("labels"), ts.alias("ts"), value.alias("value")).where(F.col("value").isNotNull())
+    # a line that names a label twice is malformed
+    labels = F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, texts))
+    return flat.select(*keep, "metric", labels.alias("labels"), ts.alias("ts"), value.alias("value")).where(F.col("value").isNotNull() & F.col("labels").isNotNull())
 
 
 def render(metric: Column, labels: list[tuple[str, Column]], value: Column) -> Column:

@@ -27,6 +27,8 @@ def _sql(v: object) -> str:
         return "null"
     if isinstance(v, bool):
         return str(v).lower()
+    if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))):
+        return f"double('{v}')"
     if isinstance(v, (int, float)):
         return repr(v)
     if isinstance(v, (list, tuple)):

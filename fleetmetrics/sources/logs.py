@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# fixed value: the line prefix that servers are set up with
 DEFAULT_PREFIX = "%t [%r] [%p]: [%l-1] user=%u,db=%d,e=%e "
 # prefix escapes: column name and pattern
 ESCAPES = {
@@ -21,9 +22,16 @@ _SEP = "\u0001"
 SYSTEM_DATABASES = ("postgres", "template0", "template1")
 
 
-def read_day(spark: SparkSession, folder: str, day: str, stem: str = "postgresql-") -> DataFrame:
-    """All log files of one day, picked by file name; other days are not listed into the scan."""
-    return spark.read.option("pathGlobFilter", f"{stem}{day}*").text(folder).withColumnRenamed("value", "raw")
+def read_day(spark: SparkSession, folder: str, day: str, stem: str = "postgresql-", pattern: str | None = None) -> DataFrame:
+    """All records of the log files of one day, picked by file name; other days are not listed.
+
+    A record begins with a line that starts with the day; lines that do not belong to the record
+    before them. The reader splits at such beginnings, so large files are still read in parallel.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern or f"{stem}{day}*").option("lineSep", f"\n{day}")
+    text = F.col("value")
+    whole = F.when(text.startswith(day), text).otherwise(F.concat(F.lit(day), text))  # the separator took the day
+    return reader.text(folder).select(F.regexp_replace(whole, r"\n+\z", "").alias("raw")).where("raw <> ''")
 
 
 def prefix_regex(prefix: str = DEFAULT_PREFIX) -> tuple[str, list[str]]:
@@ -121,13 +129,23 @@ def split_by_age(df: DataFrame, when: str, as_of: Column, days: int = 30) -> Dat
 
 
 def archive(df: DataFrame, when: str, as_of: Column, out: str, db: str = "db", days: int = 30, folder: str = "archive") -> DataFrame:
-    """Write old rows to ``<out>/<folder>`` by (db, year, month); return the rows that stay."""
+    """Move old rows to ``<out>/<folder>`` by (run, db, year, month); return the rows that stay.
+
+    The run is named by its cut-off, and a run replaces only what a run with the same cut-off wrote:
+    a repeated job changes nothing, and a later one adds to a month that has rows already.
+    """
     marked = split_by_age(df, when, as_of, days)
-    old = marked.where("archived").drop("archived")
+    run = F.date_format(as_of - F.make_interval(days=F.lit(days)), "yyyyMMdd'T'HHmmss")
+    old = marked.where("archived").drop("archived").withColumn("run", run)
     (
         old.hint("rebalance", db, "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(db, "year", "month").parquet(f"{out}/{folder}")
+        .partitionBy("run", db, "year", "month").parquet(f"{out}/{folder}")
     )
     return marked.where("not archived").drop("archived", "year", "month")
 
 
+def read_archive(spark: SparkSession, out: str, folder: str = "archive") -> DataFrame:
+    """The archived rows of all runs, with the text columns run, db, year and month."""
+    return spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{out}/{folder}")
+
+

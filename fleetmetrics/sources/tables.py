@@ -16,13 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """The same table as a file stream (schema taken from the files' footer)."""
+    """The same table as a file stream (schema taken from the files' footer, which fails if there is none).
+
+    A table is one file or a folder of part files; the stream of a single file watches its folder for
+    that name only.
+    """
     prepare(spark)
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return _zoned(reader.parquet(sf_dir))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return _zoned(reader.parquet(path))
+    return _zoned(reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
 def _zoned(df: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pandas import Timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import with_previous
+from ..operators.selectors import largest
 from ..session import settings, shared_dir, state_partitions
 from ..timeutil import micros
 
@@ -50,12 +52,21 @@ def window_stats(samples: DataFrame, keys: Sequence[str] = ("series_key",), size
     """avg, sum, min, max and count over ``(t - size, t]`` for every multiple ``t`` of ``slide``.
 
     Built-in windows are closed at the start; event time moved back by one microsecond gives the
-    windows that are closed at the end.  Rows are partially aggregated before the shuffle.
+    windows that are closed at the end.  Samples are first folded into panes one slide wide, and only
+    panes are copied to the windows that hold them.
     """
-    moved = samples.withColumn("_w", F.col(ts) - F.expr("interval 1 microsecond"))
-    g = moved.withWatermark("_w", delay).groupBy(*keys, F.window("_w", size, slide))
-    out = g.agg(F.avg(value).alias("avg"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count"))
-    return out.select(*keys, F.col("window.end").alias("t"), "avg", "sum", "min", "max", "count")
+    moved = samples.withColumn("_w", F.col(ts) - F.expr("interval 1 microsecond")).withWatermark("_w", delay)
+    panes = moved.groupBy(*keys, F.window("_w", slide).alias("_pane")).agg(
+        F.sum(value).alias("sum"), F.min(value).alias("min"), largest(F.col(value)).alias("max"), F.count(value).alias("count")
+    )
+    if Timedelta(size) % Timedelta(slide):
+        raise ValueError("the size has to be a multiple of the slide")
+    if Timedelta(size) == Timedelta(slide):
+        out = panes.withColumnRenamed("_pane", "window")
+    else:
+        g = panes.groupBy(*keys, F.window(F.window_time("_pane"), size, slide))
+        out = g.agg(F.sum("sum").alias("sum"), F.min("min").alias("min"), largest(F.col("max")).alias("max"), F.sum("count").alias("count"))
+    return out.select(*keys, F.col("window.end").alias("t"), (F.col("sum") / F.col("count")).alias("avg"), "sum", "min", "max", "count")
 
 
 def sessions(samples: DataFrame, keys: Sequence[str] = ("series_key",), gap="5 minutes", delay="10 minutes", ts: str = "ts") -> DataFrame:

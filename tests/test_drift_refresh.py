@@ -66,15 +66,15 @@ def test_replicas_read_their_primary(spark):
 
 
 def test_due_list_scope(spark):
-    reg = values(spark, [("a", 60, True, "global"), ("b", 60, True, "database")], "view_name string, run_seconds int, active boolean, scope string")
-    log = values(spark, [], "view_name string, run_at timestamp")
+    reg = values(spark, [("s", "a", 60, True, "global"), ("s", "b", 60, True, "database")], "view_schema string, view_name string, run_seconds int, active boolean, scope string")
+    log = values(spark, [], "view_schema string, view_name string, run_at timestamp")
     assert [r["view_name"] for r in refresh.due_list(reg, log, F.lit(at(0)).cast("timestamp"), scope="database").collect()] == ["b"]
 
 
 def test_due_list_boundaries(spark):
     reg = values(spark, [("never", 60, True), ("edge", 60, True), ("late", 60, True), ("off", -1, True), ("idle", 60, False)], "view_name string, run_seconds int, active boolean")
     log = values(spark, [("edge", at(0)), ("late", at(-1)), ("late", at(-500)), ("off", at(-9999))], "view_name string, run_at timestamp")
-    due = refresh.due_list(reg, log, F.lit(at(60)).cast("timestamp"))
+    due = refresh.due_list(reg, log, F.lit(at(60)).cast("timestamp"), key="view_name")
     assert {r["view_name"] for r in due.collect()} == {"never", "late"}
 
 
@@ -86,3 +86,19 @@ def test_refresh_replaces_only_changed_partitions(spark, tmp_path):
     two = values(spark, [("a", 10), ("b", 20)], "p string, x int")
     refresh.refresh_partitions(spark, two, path, "p", two.where("p = 'b'"), compute)
     assert {(r["p"], r["s"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 20)}
+
+
+def test_due_list_tells_schemas_apart(spark):
+    reg = values(spark, [("s", "v", 60, True), ("t", "v", 60, True)], "view_schema string, view_name string, run_seconds int, active boolean")
+    ran = refresh.run_log(reg.where("view_schema = 's'"), F.lit(at(60)).cast("timestamp"), F.lit(2))
+    assert [r["view_schema"] for r in refresh.due_list(reg, ran, F.lit(at(90)).cast("timestamp")).collect()] == ["t"]
+    assert refresh.run_log(reg, F.lit(at(60)).cast("timestamp"), F.lit(2), replica=True).count() == 0
+
+
+def test_refresh_deletes_partitions_without_rows(spark, tmp_path):
+    path = str(tmp_path / "v")
+    compute = lambda d: d.groupBy("p").agg(F.sum("x").alias("s"))
+    one = values(spark, [("a", 1), ("b", 2)], "p string, x int")
+    refresh.refresh_partitions(spark, one, path, "p", one, compute)
+    refresh.refresh_partitions(spark, one.where("p = 'b'"), path, "p", one.where("p = 'a'"), compute)
+    assert {r["p"] for r in spark.read.parquet(path).collect()} == {"b"}

@@ -143,6 +143,58 @@ def test_archive_by_age(spark, tmp_path):
     assert {(r["db"], str(r["year"]), r["id"]) for r in spark.read.parquet(f"{out}/archive").collect()} == {("a", "2024", 1), ("b", "2023", 3)}
 
 
+def test_archive_runs_add_up(spark, tmp_path):
+    days = values(spark, [("a", d, f"2024-01-{d:02d} 00:00:00") for d in range(1, 32)], "db string, id int, at timestamp")
+    out = str(tmp_path / "o")
+    for late in ("2024-02-14", "2024-02-14", "2024-02-15", "2024-02-15"):
+        kept = logs.archive(days, "at", F.lit(late).cast("timestamp"), out)
+        days = values(spark, [tuple(r) for r in kept.withColumn("at", F.col("at").cast("string")).collect()], "db string, id int, at timestamp")
+        both = sorted([r["id"] for r in days.collect()] + [r["id"] for r in logs.read_archive(spark, out).collect()])
+        assert both == list(range(1, 32))
+    assert days.count() == 16
+
+
+def test_records_over_several_lines(spark, tmp_path):
+    (tmp_path / "postgresql-2024-01-01_a.log").write_text(f"left over\n{LINE}\n\tfrom t\nwhere x = 1\n{LINE}\n\n")
+    (tmp_path / "postgresql-2024-01-02.log").write_text(LINE.replace("2024-01-01", "2024-01-02"))
+    day = logs.read_day(spark, str(tmp_path), "2024-01-01")
+    got = [r["message"] for r in logs.parse(day).collect()]
+    whole = logs.parse(spark.createDataFrame([(LINE,)], "raw string")).first()["message"]
+    assert sorted(got) == sorted([whole, f"{whole}\n\tfrom t\nwhere x = 1"])
+
+
+def test_a_label_named_twice_drops_its_line_only(spark):
+    from fleetmetrics.sources import exposition
+
+    lines = spark.createDataFrame([('a{x="1",x="2"} 3',), ('a{x="1",y="2"} 4',), ("b 5",)], "raw string")
+    assert sorted(r["value"] for r in exposition.parse(lines).collect()) == [4.0, 5.0]
+
+
+def test_nan_and_zero(spark):
+    nan, inf = float("nan"), float("inf")
+    v = values(spark, [("a", 1.0), ("a", nan), ("b", nan)], "k string, value double")
+    assert {(r["k"], str(r["max"])) for r in A.agg_by(v, ["k"], ["max"]).collect()} == {("a", "1.0"), ("b", "nan")}
+    assert [r["value"] for r in S.filter_value(v, ">", 0.5).collect()] == [1.0] and S.filter_value(v, "!=", 1.0).count() == 2
+    assert [str(r["value"]) for r in A.top_n(v, "value", 2, ["k"]).collect()] == ["1.0", "nan"]
+    q = values(spark, [(5.0, 0.0), (-5.0, 0.0), (0.0, 0.0), (nan, 0.0), (None, 0.0), (6.0, 3.0)], "a double, b double").select(S.divide(F.col("a"), F.col("b")).alias("q"))
+    assert [str(r["q"]) for r in q.collect()] == [str(inf), str(-inf), "nan", "nan", "None", "2.0"]
+
+
+def test_running_total_of_a_null_key(spark):
+    from fleetmetrics.operators.neighbours import running_total, with_previous
+
+    s = values(spark, [(None, "2024-01-01 00:10:00", 1.0), (None, "2024-01-01 02:10:00", 2.0), ("k", "2024-01-01 02:10:00", 4.0)], "key string, ts timestamp, value double")
+    assert sorted(r["value"] for r in running_total(s, ["key"], "ts", "value").collect()) == [1.0, 3.0, 4.0]
+    assert sorted(str(r["prev_value"]) for r in with_previous(s, ["key"], "ts", ["value"]).collect()) == ["1.0", "None", "None"]
+
+
+def test_a_match_with_several_partners_fails(spark):
+    v = values(spark, [("a", "x", 1.0), ("b", "x", 2.0), ("b", "x", 3.0)], "metric string, k string, value double")
+    assert J.pivot_metrics(v.where("value < 3"), ["a", "b"], ["k"]).first()["b"] == 2.0
+    with pytest.raises(Exception, match="several elements of b"):
+        J.pivot_metrics(v, ["a", "b"], ["k"]).collect()
+
+
 def test_report_rerun_replaces_only_its_day(spark, tmp_path):
     path = str(tmp_path / "r")
     log = logs.parse(spark.createDataFrame([(LINE,), (LINE.replace("2024-01-01", "2024-01-02"),)], "raw string"))
@@ -154,7 +206,7 @@ def test_report_rerun_replaces_only_its_day(spark, tmp_path):
 def test_vector_matching(spark):
     a = values(spark, [("x", 1, 6.0), ("y", 1, 8.0)], "k string, t int, value double")
     b = values(spark, [("x", 1, 2.0), ("y", 1, 0.0), ("z", 1, 1.0)], "k string, t int, value double")
-    assert {(r["k"], r["value"]) for r in J.binary(a, b, "/", ["k", "t"]).collect()} == {("x", 3.0), ("y", None)}
+    assert {(r["k"], r["value"]) for r in J.binary(a, b, "/", ["k", "t"]).collect()} == {("x", 3.0), ("y", float("inf"))}
     assert [r["k"] for r in J.binary(a, b, ">", ["k", "t"]).where("k = 'x'").collect()] == ["x"]
     assert {r["k"] for r in J.unless(b, a, ["k", "t"]).collect()} == {"z"}
     role = values(spark, [("x", 2.0), ("y", 1.0)], "k string, value double")

@@ -120,3 +120,20 @@ def test_stored_samples_stream(spark, tmp_path):
     smp.write_samples(labelled(spark, [("m", {"job": "a"}, t, t) for t in (10, 20)] + [("n", {"job": "b"}, 86400 + 5, 7)]), path)
     out = ingest.run_to_table(smp.read_samples_stream(spark, path).select("metric", "ts", "value"), "copy")
     assert sorted((r["metric"], r["value"]) for r in out.collect()) == [("m", 10.0), ("m", 20.0), ("n", 7.0)]
+
+
+def test_tables_of_one_file_and_of_many_stream_alike(spark, tmp_path):
+    from fleetmetrics.sources.tables import table_stream
+
+    df = series(spark, {"a": [(10 * i, i) for i in range(30)]})
+    whole, split = tmp_path / "whole", tmp_path / "split"
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    whole.mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(whole / "events.parquet")
+    df.repartition(5).write.parquet(str(split / "events.parquet"))
+    for folder in (whole, split):
+        for files in (None, 1):
+            out = ingest.run_to_table(ingest.dedupe(table_stream(spark, str(folder), "events", files)), "t")
+            assert out.count() == 30
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        table_stream(spark, str(whole), "orders")

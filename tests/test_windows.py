@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import at, by_time, series
 
 from fleetmetrics.operators import windows as W
@@ -121,10 +122,9 @@ def _brute(points, t, w, fn):
     return win[-1][1] - win[-2][1]
 
 
-@pytest.mark.parametrize("window,chunk,spread", [("3m", "5m", 64), ("90s", "30s", 64), ("7m", "1m", 64), ("7m", "5m", 1), ("150s", "30s", 1), ("8m", "1m", 2), ("12m", "5m", 1)])
-def test_against_brute_force(spark, monkeypatch, window, chunk, spread):
-    """Random counters with resets, gaps, repeats and samples on the very edges; both window plans."""
-    monkeypatch.setattr(W, "MAX_SPREAD", spread)
+@pytest.mark.parametrize("window,chunk", [("3m", "5m"), ("90s", "30s"), ("7m", "1m"), ("59s", "5m"), ("61s", "30s"), ("150s", "30s"), ("481s", "1m"), ("12m", "5m"), ("60s", "7s")])
+def test_against_brute_force(spark, window, chunk):
+    """Random counters with resets, gaps, repeats and samples on the very edges, for any window."""
     rng = random.Random(7)
     points = {}
     for name in "abcde":
@@ -148,13 +148,29 @@ def test_against_brute_force(spark, monkeypatch, window, chunk, spread):
         assert have == {k: v for k, v in want.items() if v is not None}, fn
 
 
-@pytest.mark.parametrize("window", ["5m", "7m", "60s"])
-def test_predict_linear_is_the_same_under_both_plans(spark, monkeypatch, window):
-    s = series(spark, {"a": [(7 * i + (i % 3), (i * 37) % 41) for i in range(1, 120)], "b": [(100, 4), (400, 9), (401, 3)]})
-    grid = W.Grid.of("60s", at(60), at(1200))
-    spread = by_time(W.predict_linear(s, grid, window, "10m"))
-    monkeypatch.setattr(W, "MAX_SPREAD", 1)
-    assert spread and by_time(W.predict_linear(s, grid, window, "10m")) == pytest.approx(spread)
+@pytest.mark.parametrize("window", ["5m", "7m", "60s", "61s", "333s"])
+def test_predict_linear_against_least_squares(spark, window):
+    points = {"a": [(7 * i + (i % 3), (i * 37) % 41) for i in range(1, 120)], "b": [(100, 4), (400, 9), (401, 3)]}
+    got = by_time(W.predict_linear(series(spark, points), W.Grid.of("60s", at(60), at(1200)), window, "10m"))
+    w, want = W.micros(window) / 1e6, {}
+    for k, ps in points.items():
+        for t in range(60, 1201, 60):
+            win = [(u - t, v) for u, v in ps if t - w < u <= t]
+            mx, my = (sum(p[i] for p in win) / max(1, len(win)) for i in (0, 1))
+            var = sum((x - mx) ** 2 for x, _ in win)
+            if len(win) > 1 and var:
+                want[k, t] = my + sum((x - mx) * (y - my) for x, y in win) / var * (600 - mx)
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("window", ["1d", "86401s"])
+def test_uneven_windows_make_few_buckets(spark, window):
+    """Whatever window and step are, a step has two buckets at most."""
+    cuts = W.Cuts(600 * 10**6, W.micros(window))
+    u = spark.range(0, 86400, 7).select((F.col("id") * 10**6).alias("u"))
+    x = u.select(cuts.index(F.col("u")).alias("x"), "u").withColumn("e", cuts.end(F.col("x")))
+    assert x.select("x").distinct().count() <= 2 * 145 and x.where("u > e").count() == 0
+    assert cuts.length <= 2 * 144 + 1
 
 
 def test_long_windows_are_doubled(spark):
