@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import alerting, grouping, joining, ranges, reporting, scalars, selecting, snapshots, streams  # noqa: F401
+from . import alerting, fleet, grouping, joining, ranges, reporting, scalars, selecting, snapshots, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
