@@ -350,22 +350,25 @@ def rate(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_
     return increase(samples, grid, window, keys, extrapolate, **kw).withColumn("value", F.col("value") / F.lit(micros(window) / 1e6))
 
 
-def _last_two(samples: DataFrame, grid: Grid, window, keys: Sequence[str], **kw) -> DataFrame:
-    st = range_states(samples, grid, window, keys, **kw)
+def _last_two(st: DataFrame) -> DataFrame:
     return st.where((F.col("n") >= 2) & (F.col("last_u") > F.col("pen_u")))
 
 
 def irate(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_key",), **kw) -> DataFrame:
     """Per-second growth between the last two samples of the window; after a reset the new value counts."""
+    return irate_of(range_states(samples, grid, window, keys, **kw), keys)
+
+
+def irate_of(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     step = F.when(F.col("last_v") < F.col("pen_v"), F.col("last_v")).otherwise(F.col("last_v") - F.col("pen_v"))
     v = step / ((F.col("last_u") - F.col("pen_u")) / F.lit(1e6))
-    return _last_two(samples, grid, window, keys, **kw).select(*keys, "t", v.alias("value"))
+    return _last_two(states).select(*keys, "t", v.alias("value"))
 
 
 def idelta(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_key",), **kw) -> DataFrame:
     """Difference of the last two samples of the window; may be negative."""
     v = F.col("last_v") - F.col("pen_v")
-    return _last_two(samples, grid, window, keys, **kw).select(*keys, "t", v.alias("value"))
+    return _last_two(range_states(samples, grid, window, keys, **kw)).select(*keys, "t", v.alias("value"))
 
 
 def changes(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_key",), **kw) -> DataFrame:

@@ -16,8 +16,8 @@ def _stream(spark, sf):
     return event_samples(table_stream(spark, sf, "events"))
 
 
-def _newest(spark, sf):
-    return table(spark, sf, "events").agg(F.max("ts")).scalar()
+def _batch(spark, sf):
+    return event_samples(table(spark, sf, "events"))
 
 
 @query("stream_dedupe", f"with {M} select series_key, count(*) as n, round(sum(value), 4) as total from m group by 1")
@@ -30,27 +30,43 @@ def stream_dedupe(spark, sf):
 
 @query(
     "stream_window",
-    f"""with {M}, {G} select series_key, cast(epoch(t) as bigint) as t, round(avg(value), 9) as avg, round(sum(value), 4) as sum, max(value) as max, count(*) as count
-    from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t where g.t <= (select max(ts) from m) - interval 1 hour group by series_key, t""",
+    f"""with {M}, g as (select unnest(generate_series(time_bucket(interval 6 hour, min(ts)), max(ts) + interval 1 day, interval 6 hour)) as t from m)
+    select series_key, cast(epoch(t) as bigint) as t, round(avg(value), 9) as avg, round(sum(value), 4) as sum, max(value) as max, count(*) as count
+    from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t group by series_key, t""",
 )
 def stream_window(spark, sf):
-    out = ingest.run_to_table(ingest.window_stats(_stream(spark, sf), size="1 day", slide="6 hours", delay="1 hour"), "window")
+    def stats(samples):
+        return ingest.window_stats(samples, size="1 day", slide="6 hours", delay="1 hour")
+
+    out = ingest.with_open(ingest.run_to_table(stats(_stream(spark, sf)), "window"), stats(_batch(spark, sf)), ["series_key", "t"])
     return out.select("series_key", epoch().alias("t"), r("avg", 9).alias("avg"), r("sum", 4).alias("sum"), "max", "count")
 
 
 @query(
     "stream_rate",
     f"""with {M}, {G}, w as (select series_key, t, ts, value, lag(value) over (partition by series_key, t order by ts, event_id) as p
-    from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t where g.t <= date_trunc('hour', (select max(ts) from m) - interval 10 minute))
+    from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t)
     select series_key, cast(epoch(t) as bigint) as t, round(sum(case when p is null then 0 when value < p then value else value - p end), 4) as value from w group by 1, 2 having count(*) >= 2""",
 )
 def stream_rate(spark, sf):
     """Samples roll up into hourly counter states; daily growth is read from the states."""
-    states = rollup.rollup_counters(_stream(spark, sf), "1h", delay="10m")
+    states = rollup.rollup_counters(_stream(spark, sf), "1h", delay="10m", flush=True)
     grid = W.Grid.of("6h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
     v = rollup.increase_from_states(states, "1h", grid, "1d", extrapolate=False)
-    closed = F.date_trunc("hour", _newest(spark, sf) - F.make_interval(mins=F.lit(10)))
-    return v.where(F.col("t") <= closed).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+    return v.select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+
+
+@query(
+    "stream_irate",
+    f"""with {M}, {G}, w as (select series_key, t, ts, value, lag(value) over v as p, lag(ts) over v as q, row_number() over (partition by series_key, t order by ts desc, event_id desc) as i
+    from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t window v as (partition by series_key, t order by ts, event_id))
+    select series_key, cast(epoch(t) as bigint) as t, round(case when value < p then value else value - p end / (epoch_us(ts) - epoch_us(q)) * 1e6, 9) as value from w where i = 1 and q < ts""",
+)
+def stream_irate(spark, sf):
+    """Growth between the last two samples of a day, read from streamed states."""
+    states = rollup.rollup_counters(_stream(spark, sf), "1h", delay="10m", flush=True)
+    grid = W.Grid.of("6h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
+    return rollup.irate_from_states(states, "1h", grid, "1d").select("series_key", epoch().alias("t"), r("value", 9).alias("value"))
 
 
 _ISLANDS = """s as (select series_key, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 4 hour then 1 else 0 end as b from m window w as (partition by series_key order by ts, event_id)),
@@ -60,12 +76,15 @@ _ISLANDS = """s as (select series_key, ts, case when lag(ts) over w is null or t
 
 @query(
     "stream_absence",
-    f"""with {M}, {_ISLANDS} select series_key, epoch_us(a) as up_since, epoch_us(z) as last_seen, epoch_us(z + interval 4 hour) as absent_since, c as samples from x
-    where z + interval 4 hour <= (select max(ts) from m) - interval 1 hour""",
+    f"""with {M}, {_ISLANDS} select series_key, epoch_us(a) as up_since, epoch_us(z) as last_seen, epoch_us(z + interval 4 hour) as absent_since, c as samples from x""",
 )
 def stream_absence(spark, sf):
-    """Closed sessions: up-time stretches, and the instants from which a series counts as absent."""
-    out = ingest.run_to_table(ingest.sessions(_stream(spark, sf), gap="4 hours", delay="1 hour"), "absence", conf=ingest.SESSION_CONF)
+    """Sessions: up-time stretches, and the instants from which a series counts as absent."""
+    def stretches(samples):
+        return ingest.sessions(samples, gap="4 hours", delay="1 hour")
+
+    out = ingest.run_to_table(stretches(_stream(spark, sf)), "absence", conf=ingest.SESSION_CONF)
+    out = ingest.with_open(out, stretches(_batch(spark, sf)), ["series_key", "up_since"])
     return out.select("series_key", *[F.unix_micros(c).alias(c) for c in ("up_since", "last_seen", "absent_since")], "samples")
 
 
@@ -81,15 +100,18 @@ def session_islands(spark, sf):
 
 def _alert_table(spark, sf):
     """Daily averages stream into a table, which streams through the alert state machine."""
-    daily = ingest.window_stats(_stream(spark, sf), size="1 day", slide="1 day", delay="1 hour")
+    def daily(samples):
+        return ingest.window_stats(samples, size="1 day", slide="1 day", delay="1 hour")
+
     base = ingest.shared_dir(spark, "daily")
-    table_ = ingest.run_to_table(daily, "daily", base)
-    evals = spark.readStream.schema(table_.schema).parquet(f"{base}/table").select("series_key", "t", (F.col("avg") > 49).alias("active"))
+    days = ingest.with_open(ingest.run_to_table(daily(_stream(spark, sf)), "daily"), daily(_batch(spark, sf)), ["series_key", "t"])
+    days.write.parquet(base)
+    evals = spark.readStream.schema(days.schema).parquet(base).select("series_key", "t", (F.col("avg") > 49).alias("active"))
     return ingest.run_to_table(stateful.alert_state_stream(evals, "1d", "1d", delay="1 hour"), "alerts")
 
 
 _STATES = f"""{M}, g as (select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-31', interval 1 day)) as t),
-  h as (select series_key, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t where g.t <= (select max(ts) from m) - interval 1 hour group by 1, 2 having avg(value) > 49),
+  h as (select series_key, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2 having avg(value) > 49),
   i as (select *, t - row_number() over (partition by series_key order by t) * interval 1 day as run from h),
   st as (select series_key, t, min(t) over (partition by series_key, run) as since from i)"""
 
@@ -107,7 +129,7 @@ def stream_alert_state(spark, sf):
     "stream_notifications",
     f"""with {_STATES}, f as (select split_part(series_key, '|', 1) as a, series_key as s, t from st where t - since >= interval 1 day),
   n as (select a, t, count(*) as c, count(*) filter (not exists (select 1 from f p where p.s = f.s and p.t = f.t - interval 1 day)) as new from f group by 1, 2),
-  e as (select a, t + interval 1 day as t, count(*) as resolved from f where t < (select max(t) from g where t <= (select max(ts) from m) - interval 1 hour)
+  e as (select a, t + interval 1 day as t, count(*) as resolved from f where t < (select max(t) from g)
     and not exists (select 1 from f q where q.s = f.s and q.t = f.t + interval 1 day) group by 1, 2),
   ch as (select coalesce(n.a, e.a) as a, coalesce(n.t, e.t) as t, coalesce(n.c, 0) as firing, coalesce(n.new, 0) as new, coalesce(e.resolved, 0) as resolved from n full join e on n.a = e.a and n.t = e.t),
   x as (select ch.*, (select max(y.t) from ch y where y.a = ch.a and y.t <= ch.t and y.new + y.resolved > 0) as lc from ch)
@@ -126,7 +148,7 @@ def stream_notifications(spark, sf):
 
 @query(
     "stream_drift",
-    """with e as (select concat('h', cast(user_id % 4 as varchar)) as host, date_trunc('day', ts) + interval 1 day as snap, event_type from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour),
+    """with e as (select concat('h', cast(user_id % 4 as varchar)) as host, date_trunc('day', ts) + interval 1 day as snap, event_type from events),
     s as (select host, snap, event_type as name, count(*) // 12 as setting from e group by 1, 2, 3),
     h as (select host, snap, md5(string_agg(concat(name, cast(setting as varchar)), ',' order by name)) as hash from s group by 1, 2),
     c as (select *, coalesce(cast(hash <> lag(hash) over (partition by host order by snap) as int), 0) as changed from h)
@@ -134,8 +156,9 @@ def stream_notifications(spark, sf):
 )
 def stream_drift(spark, sf):
     """Settings stream in, closed days are hashed, and the hashes stream through the drift state."""
-    e = _stream(spark, sf).withWatermark("ts", "1 hour").groupBy("host", "metric", F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    settings = e.select("host", F.col("window.end").alias("snapshot_ts"), F.col("metric").alias("name"), F.floor(F.col("n") / 12).cast("string").alias("setting"))
+    def snapshots(samples):
+        e = samples.withWatermark("ts", "1 hour").groupBy("host", "metric", F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+        return e.select("host", F.col("window.end").alias("snapshot_ts"), F.col("metric").alias("name"), F.floor(F.col("n") / 12).cast("string").alias("setting"))
 
     base = ingest.shared_dir(spark, "drift")
 
@@ -143,7 +166,10 @@ def stream_drift(spark, sf):
         # a day closes as a whole, so every snapshot is complete within its micro-batch
         drift.settings_hash(batch).select("host", "snapshot_ts", "hash").write.mode("overwrite").parquet(f"{base}/hashes/batch={batch_id}")
 
-    stateful.each_batch(settings, hashes, "drift", base)
+    stateful.each_batch(snapshots(_stream(spark, sf)), hashes, "drift", base)
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("snapshot_ts", T.TimestampType()), T.StructField("hash", T.StringType()), T.StructField("batch", T.LongType())])
+    closed = spark.read.schema(schema).parquet(f"{base}/hashes").drop("batch")
+    open_ = drift.settings_hash(snapshots(_batch(spark, sf))).select("host", "snapshot_ts", "hash").join(closed.select("host", "snapshot_ts"), ["host", "snapshot_ts"], "left_anti")
+    open_.write.parquet(f"{base}/hashes/batch=-1")
     out = ingest.run_to_table(stateful.drift_stream(spark.readStream.schema(schema).parquet(f"{base}/hashes")), "drift-status")
     return out.select("host", F.date_format("snapshot_ts", "yyyy-MM-dd").alias("t"), "hash", "changed", "status")

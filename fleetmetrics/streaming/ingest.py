@@ -40,6 +40,16 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def with_open(closed: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Final flush of a finished input: the rows a stream has emitted, and those it still holds open.
+
+    A stream emits a window or session once its watermark has passed it, so the newest ones stay in
+    its state. ``batch`` is the same frame over the stored samples; of it the rows that the stream
+    has not emitted are added. They are not stored: a stream that goes on will emit them itself.
+    """
+    return closed.unionByName(batch.select(*closed.columns).join(closed.select(*keys), list(keys), "left_anti"))
+
+
 def dedupe(samples: DataFrame, keys: Sequence[str] = ("series_key",), ts: str = "ts", delay="10 minutes") -> DataFrame:
     """First sample per (series, ts); state is dropped once the watermark has passed.
 

@@ -22,9 +22,14 @@ from ..timeutil import micros
 _MARK = "seen_us bigint, closed_us bigint, open array<struct<batch:bigint,max_us:bigint>>"
 
 
-def rollup_counters(samples: DataFrame, bucket, keys: Sequence[str] = ("series_key",), delay="10m", value: str = "value", ts: str = "ts", path: str | None = None) -> DataFrame:
+def rollup_counters(
+    samples: DataFrame, bucket, keys: Sequence[str] = ("series_key",), delay="10m", value: str = "value", ts: str = "ts", path: str | None = None, flush: bool = False,
+) -> DataFrame:
     """Run the available samples into closed bucket states and return the state table.
 
+    With ``flush`` the buckets that are still open are folded as well, on reading and without being
+    stored, for inputs that are known to be finished.
+
     A micro-batch reads the mark of the batch before it and the folders that still hold open
     rows, so its work does not grow with the age of the stream.
     """
@@ -57,7 +62,16 @@ def rollup_counters(samples: DataFrame, bucket, keys: Sequence[str] = ("series_k
 
     q = flat.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return read_states(spark, base, flat.select(*keys).schema)
+    states = read_states(spark, base, flat.select(*keys).schema)
+    if not flush:
+        return states
+    batch = spark.read.schema("batch bigint, seen_us bigint, closed_us bigint, open array<struct<batch:bigint,max_us:bigint>>").parquet(f"{base}/marks").orderBy(F.desc("batch")).first()
+    if batch is None or not batch["open"]:
+        return states
+    held = spark.read.schema(flat.schema).parquet(*[f"{base}/samples/batch={x['batch']}" for x in batch["open"]])
+    held = held if batch["closed_us"] is None else held.where(F.col("_u") > F.lit(batch["closed_us"]))
+    due = held.groupBy(*keys, "_u").agg(F.max("_v").alias("_v"))
+    return states.unionByName(W.counter_states(due, keys, size).select(*states.columns))
 
 
 _STATE = T.StructType(
@@ -74,11 +88,26 @@ def read_states(spark: SparkSession, base: str, key_schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(f"{base}/states").drop("batch")
 
 
+def irate_from_states(states: DataFrame, bucket, grid: W.Grid, window, keys: Sequence[str] = ("series_key",)) -> DataFrame:
+    """``irate`` on any grid and window that are multiples of the bucket."""
+    return W.irate_of(_windows(states, bucket, grid, window, keys), keys)
+
+
+def rate_from_states(states: DataFrame, bucket, grid: W.Grid, window, keys: Sequence[str] = ("series_key",), extrapolate: bool = True) -> DataFrame:
+    """``rate``: the increase per second of the window."""
+    v = increase_from_states(states, bucket, grid, window, keys, extrapolate)
+    return v.withColumn("value", F.col("value") / F.lit(micros(window) / 1e6))
+
+
 def increase_from_states(states: DataFrame, bucket, grid: W.Grid, window, keys: Sequence[str] = ("series_key",), extrapolate: bool = True) -> DataFrame:
     """``increase`` on any grid and window that are multiples of the bucket."""
+    return W.increase_of(_windows(states, bucket, grid, window, keys), micros(window), keys, extrapolate)
+
+
+def _windows(states: DataFrame, bucket, grid: W.Grid, window, keys: Sequence[str]) -> DataFrame:
     size, w = micros(bucket), micros(window)
     if grid.step % size or w % size:
         raise ValueError("step and window have to be multiples of the bucket")
     lo, hi = grid.first * grid.step - w, grid.last * grid.step
     need = states.where((F.col("_b") * F.lit(size) > F.lit(lo)) & (F.col("_b") * F.lit(size) <= F.lit(hi)))
-    return W.increase_of(W.window_states(W.link_states(need, keys), size, grid, w, keys), w, keys, extrapolate)
+    return W.window_states(W.link_states(need, keys), size, grid, w, keys)
