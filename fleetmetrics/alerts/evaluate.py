@@ -182,24 +182,27 @@ def evaluate(samples: DataFrame, rules: Iterable[Rule], grid: W.Grid, lookback="
         names = sorted({m for _, r in some for m in (r.metric, r.metric2) if m})
         return series.where(F.col("metric").isin(names))
 
-    def now(some, extra: str = "0s"):
-        g = W.Grid(grid.step, grid.start - micros(extra), grid.end)
-        return W.instant(read(some), g, lookback, _KEYS)
+    # One instant vector for all families that read newest values, from one scan: it begins as much
+    # earlier as the longest look at the past needs, and is not filtered by family, which would make
+    # a plan of its own for each; a family takes its metrics when its rules are attached.
+    back = max([0, *(micros(r.window) for _, r in of("changed", "delta", "role_change"))])
+    latest = of(*_GROUPED, "sum_free_pct", "load", "changed", "delta", "role_change", "forecast", "absent")
+    vector = W.instant(read(latest), W.Grid(grid.step, grid.start - back, grid.end), lookback, _KEYS) if latest else None
 
     frames: list[DataFrame] = []
     if some := of(*_GROUPED):
-        frame = _grouped(now(some), _uses(spark, some))
+        frame = _grouped(vector, _uses(spark, some))
         floor = _small(spec.select("rule_id", F.col("minimum").alias("least")), len(numbered))
         frames.append(frame.join(floor, "rule_id").where(F.col("least").isNull() | (F.col("a") >= F.col("least"))).drop("a", "least"))
     if some := of("sum_free_pct"):
-        frames.append(_sum_free(now(some), _uses(spark, some)))
+        frames.append(_sum_free(vector, _uses(spark, some)))
     if some := of("load"):
-        frames.append(_load(now(some), _uses(spark, some)))
+        frames.append(_load(vector, _uses(spark, some)))
     for window in sorted({r.window for _, r in of("changed", "delta")}):
         some = of("changed", "delta", window=window)
-        frames.append(_changed(now(some, window), _uses(spark, some), grid, window))
+        frames.append(_changed(vector, _uses(spark, some), grid, window))
     for i, r in of("role_change"):
-        frames.append(_role_change(now([(i, r)], r.window), _uses(spark, [(i, r)]), grid, r.window, r.extra.get("ignoring", ())))
+        frames.append(_role_change(vector, _uses(spark, [(i, r)]), grid, r.window, r.extra.get("ignoring", ())))
     for window in sorted({r.window for _, r in of("avg_over_time")}):
         some = of("avg_over_time", window=window)
         v = W.over_time(read(some), grid, window, ["avg"], _KEYS).withColumnRenamed("avg", "value")
@@ -210,9 +213,9 @@ def evaluate(samples: DataFrame, rules: Iterable[Rule], grid: W.Grid, lookback="
         frames.append(_attach(v, _uses(spark, some)).select("rule_id", "series_key", "t", F.col("value").alias("test"), "value"))
     for window, ahead in sorted({(r.window, r.ahead) for _, r in of("forecast")}):
         some = [(i, r) for i, r in of("forecast") if (r.window, r.ahead) == (window, ahead)]
-        frames.append(_forecast(read(some), now(some), _uses(spark, some), spec, grid, window, ahead))
+        frames.append(_forecast(read(some), vector, _uses(spark, some), spec, grid, window, ahead))
     if some := of("absent"):
-        frames.append(_absent(now(some), _uses(spark, some), grid))
+        frames.append(_absent(vector, _uses(spark, some), grid))
 
     out = frames[0]
     for f in frames[1:]:

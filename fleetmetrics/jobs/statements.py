@@ -20,6 +20,7 @@ TIME_ALIASES = {"total_exec_time": ("total_time",), "mean_exec_time": ("mean_tim
 
 
 def _prepared(statements: DataFrame) -> DataFrame:
+    """Current column names, and texts cut to their label before anything is shuffled."""
     return normalize_columns(statements, TIME_ALIASES).withColumn("query", clean_query(F.col("query")))
 
 
@@ -30,6 +31,11 @@ def totals(statements: DataFrame) -> DataFrame:
     )
 
 
+def by_statement(statements: DataFrame) -> DataFrame:
+    """Total time per statement, where a snapshot has several rows of one (one for each node or plan)."""
+    return _prepared(statements).groupBy(*SNAP, *ID).agg(F.sum("total_exec_time").alias("total_exec_time"))
+
+
 def _top(df: DataFrame, order: str, n: int) -> DataFrame:
     return top_n(df, order, n, ID, SNAP)
 

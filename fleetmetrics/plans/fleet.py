@@ -12,11 +12,11 @@ from ..sources.tables import table
 from .registry import M, m, query
 from .snapshots import _EV, SNAP, _events, _t
 
-_AT = F.lit("2024-01-31")
+_AT = "2024-01-31"
 
 
 def _parts(spark, sf):
-    return table(spark, sf, "part").withColumns({"host": F.lit("h0"), "snapshot_ts": _AT.cast("timestamp")})
+    return table(spark, sf, "part").withColumns({"host": F.lit("h0"), "snapshot_ts": F.lit(_AT).cast("timestamp")})
 
 
 @query("replication_lag_size", "select p_name as replica, p_partkey as replica_port, cast(4294967296 + p_partkey * 4095 as decimal(20, 0)) as bytes from part")

@@ -51,7 +51,7 @@ def panel_ratio(spark, sf):
 @query(
     "panel_ratio_of_sums",
     f"""with {_I} select '{{}}' as series_key, cast(epoch(t) as bigint) as t, round(100 * (sum(case when metric = 'click' then v end) / sum(case when metric = 'view' then v end)), 5) as value
-    from i where metric in ('click', 'view') group by t""",
+    from i where metric in ('click', 'view') group by t having count(distinct metric) = 2""",
 )
 def panel_ratio_of_sums(spark, sf):
     return _panel(_one_kind(m(spark, sf)), Panel("click", metric2="view", form="pct", agg="sum", agg_first=True))

@@ -242,7 +242,7 @@ def replication_slots(spark, sf):
 @query(
     "settings_pivot",
     f"""with {_EV} select host, strftime(snap, '%Y-%m-%d') as t, cast(max(case when event_type = 'click' then cast(floor(value) as bigint) end) as int) as checkpoint_timeout,
-    max(case when event_type = 'view' then cast(floor(value) as bigint) end)::double as completion, 8192 * max(case when event_type = 'error' then cast(floor(value) as bigint) end) as shared_buffers from e group by host, snap""",
+    max(case when event_type = 'view' then cast(floor(value) as bigint) end)::double as completion, 8192 * max(case when event_type = 'error' then cast(floor(value) as bigint) end) as shared_buffers from e where event_type in ('click', 'view', 'error') group by host, snap""",
 )
 def settings_pivot(spark, sf):
     name = F.when(F.col("event_type") == "click", "checkpoint_timeout").when(F.col("event_type") == "view", "checkpoint_completion_target").when(F.col("event_type") == "error", "shared_buffers").otherwise("other")
@@ -330,7 +330,7 @@ def statement_totals(spark, sf):
 )
 def statement_top_total(spark, sf):
     s = _statements(spark, sf)
-    u = s.groupBy(*SNAP, *statements.ID).agg(r(F.sum("total_exec_time"), 2).alias("total_exec_time"))
+    u = statements.by_statement(s).withColumn("total_exec_time", r("total_exec_time", 2))
     return statements.top_total(u).select("host", *statements.ID, F.col("exec_time_ms").alias("exec_ms"))
 
 
@@ -504,7 +504,7 @@ def postmaster_uptime(spark, sf):
 @query(
     "container_cpu",
     f"""with {_EV}, k as (select host, snap, max(case when event_type = 'click' then cast(floor(value) as bigint) end) as c, max(case when event_type = 'view' then cast(floor(value) as bigint) end) as v from e group by 1, 2)
-    select host, strftime(snap, '%Y-%m-%d') as t, c as period_us, case when host in ('h0', 'h2') then greatest(v - 50, 0) else v end as quota_us, case when host in ('h0', 'h2') then v else c * 1000 end as usage, epoch(snap) as usage_ts from k""",
+    select host, strftime(snap, '%Y-%m-%d') as t, c as period_us, greatest(case when host in ('h0', 'h2') then v - 50 else v end, 0) as quota_us, case when host in ('h0', 'h2') then v else c * 1000 end as usage, epoch(snap) as usage_ts from k""",
 )
 def container_cpu(spark, sf):
     """CPU quota and usage under the key names of both control-group versions."""

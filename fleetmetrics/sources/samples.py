@@ -14,16 +14,26 @@ from ..operators.selectors import anchored
 STORED_SCHEMA = T.StructType([*SAMPLE_SCHEMA.fields, T.StructField(LABEL_KEY, T.StringType()), T.StructField("date", T.DateType())])
 
 
-def write_samples(samples: DataFrame, path: str, promoted: Sequence[str] = (), mode: str = "append") -> None:
+def write_samples(samples: DataFrame, path: str, promoted: Sequence[str] = (), mode: str = "append", run: str | None = None) -> None:
     """Append samples as Parquet partitioned by (date, metric), with hot labels promoted to columns.
 
+    A job that may be repeated names its ``run``: it becomes a third partition column, and the run
+    replaces what it has written before instead of adding it a second time.
+
     The text identity of the labels is stored as well, so that readers need not build it for
     every sample again.
     AQE rebalances the partitions before the write, so a metric with very many rows becomes
     several files and rare metrics do not become a file per task.
     """
     out = samples.withColumns({n: label(samples, n) for n in promoted} | {"date": F.to_date("ts"), LABEL_KEY: label_key(samples)})
-    out.hint("rebalance", "date", "metric").sortWithinPartitions("date", "metric", "ts").write.mode(mode).partitionBy("date", "metric").parquet(path)
+    if run is not None:
+        out = out.withColumn("run", F.lit(run))
+    by = ["date", "metric", *(["run"] if run is not None else [])]
+    writer = out.hint("rebalance", "date", "metric").sortWithinPartitions("date", "metric", "ts").write.partitionBy(*by)
+    if run is not None:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode(mode).parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, start=None, end=None, metrics: Sequence[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -46,9 +56,18 @@ def read_samples_stream(spark: SparkSession, path: str, schema: T.StructType = S
 
 
 def retain(samples: DataFrame, days: int = 7, as_of: Column | None = None, ts: str = "ts") -> DataFrame:
-    """The newest ``days`` of samples, counted back from ``as_of`` (default: the newest sample)."""
-    now = as_of if as_of is not None else samples.agg(F.max(ts)).scalar()
-    return samples.where(F.col(ts) >= now - F.make_interval(days=F.lit(days)))
+    """The newest ``days`` of samples, counted back from ``as_of`` (default: the newest sample).
+
+    On the stored layout the newest sample is sought in the newest day only, and older days are
+    pruned.
+    """
+    stored = "date" in samples.columns
+    if as_of is None:
+        newest = samples.where(F.col("date") == samples.agg(F.max("date")).scalar()) if stored else samples
+        as_of = newest.agg(F.max(ts)).scalar()
+    since = as_of - F.make_interval(days=F.lit(days))
+    kept = samples.where(F.col(ts) >= since)
+    return kept.where(F.col("date") >= F.to_date(since)) if stored else kept
 
 
 def add_target_labels(samples: DataFrame, targets: DataFrame, on: Sequence[str] = ("instance",), into_map: bool = True) -> DataFrame:
