@@ -42,7 +42,9 @@ BESIDE = frozenset(
     cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay disclaimer paywall
     newsletter subscribe subscription signup login signin register search searchbox form feedback survey
     comment comments commentlist disqus respond reply replies discussion responses
-    share sharing social follow related recommended recommendations recommend teaser teasers more trending popular tags tagcloud metadata byline""".split())
+    share sharing social follow related recommended recommendations recommend teaser teasers trending popular tagcloud""".split())
+#: A header with one of these before it is the article's own.
+OWN = frozenset("article content entry post story".split())
 REGION = frozenset({"article", "main"})
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…،。，、؛؟¿¡]")
@@ -53,6 +55,8 @@ def _beside(attributes: str) -> bool:
         value = m[1] or m[2] or m[3] or ""
         for token in value.split():
             words = [w.lower() for w in _WORDS.findall(token)]
+            if len(words) > 1 and words[0] in OWN and words[-1] == "header":
+                continue
             if words and (words[0] in BESIDE or words[-1] in BESIDE):
                 return True
     return bool(_HIDDEN.search(attributes))

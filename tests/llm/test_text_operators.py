@@ -197,3 +197,9 @@ def test_every_page_gives_its_article(spark):
         inside = re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1]
         plain = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inside))
         assert r.text == " ".join(html.unescape(plain).split())
+
+
+def test_the_articles_own_header_stays():
+    body = f"<div class='entry-header'><h1>The headline</h1><p class='byline'>By someone.</p></div><div class='entry-content'><p>{ARTICLE}</p></div><div class='page-header'><p>The site, daily.</p></div>"
+    for inner in (f"<article>{body}</article>", f"<main><div class='post'>{body}</div></main>"):
+        assert main_text.main_text(page(inner)) == "The headline By someone. First words, of the story. They go on, with some marks & signs."
