@@ -55,6 +55,10 @@ def state_partitions(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.shuffle.partitions")
 
 
+#: Scratch folders of local sessions without the setting, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -65,6 +69,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="fleetmetrics-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="fleetmetrics-"))
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
