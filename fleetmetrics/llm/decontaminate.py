@@ -9,13 +9,13 @@ documents with too few shingles for a partition skip it. Candidates are then ver
 containment, shingle by shingle as strings.
 
 The items are the stated query set: they are broadcast in blocks of bounded size, and every block
-is searched against all documents in one map-side pass, without a shuffle of documents.
+is searched against all documents in a map-side pass of its own, without a shuffle of documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, WordHashes, mixed, text_bytes
+from .common import PIECE_BYTES, WordHashes, free_names, mixed, stored, text_bytes
 
 #: Bytes of item texts in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -117,7 +117,7 @@ def _blocks(items: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[in
     total = sized.agg(F.coalesce(F.sum(F.length("t") + 64), F.lit(0)).alias("b")).first().b
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
-        yield [(r.i, bytes(r.t)) for r in sized.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()]
+        yield [(r.i, bytes(r.t)) for r in sized.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k).collect()]
 
 
 def _searcher(sent: Broadcast):
@@ -140,6 +140,12 @@ def _searcher(sent: Broadcast):
     return search
 
 
+def _searches(items: DataFrame, text: str, item_id: str, n: int, share: float) -> Iterator[Callable[[Column], Column]]:
+    """For each block of items the search as a function of a column of texts."""
+    for block in _blocks(items, text, item_id):
+        yield _searcher(items.sparkSession.sparkContext.broadcast(Block(block, n, share)))
+
+
 def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", n: int = 5, share: float = 0.8, into: str = "hits") -> DataFrame:
     """Add the items of which a document holds at least ``share`` of the ``n``-word shingles.
 
@@ -147,15 +153,25 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
     one shingle, so such an item is found in texts equal to it; null and empty items and texts have
     none and give no hit. Repeated items are found each; a null item_id stays null; a column named as
     ``into`` is replaced; empty tables give no hit.
-    """
-    found: list[Column] = []
-    for block in _blocks(items, item_text, item_id):
-        sent = docs.sparkSession.sparkContext.broadcast(Block(block, n, share))
-        found.append(_searcher(sent)(text_bytes(text)))
-    return docs.withColumn(into, reduce(F.concat, found) if len(found) > 1 else found[0])
 
-
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared) for every hit."""
-    named = with_hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(options.get("text", "text")).alias("text")), items, **{k: v for k, v in options.items() if k != "text"})
-    return named.where(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+    A task holds one block of items. Further blocks each take a pass over the stored result of the
+    one before.
+    """
+    (held,) = free_names(docs, "held_hits")
+    out: DataFrame | None = None
+    for search in _searches(items, item_text, item_id, n, share):
+        if out is None:
+            out = docs.withColumn(held, search(text_bytes(text)))
+        else:
+            out = stored(out, "hits").withColumn(held, F.concat(F.col(held), search(text_bytes(text))))
+    same = [c for c in docs.columns if c.lower() == into.lower()]
+    own = [F.col(held).alias(into) if c in same else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own, *([] if same else [F.col(held).alias(into)]))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text", item_id: str = "item_id", n: int = 5, share: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared) for every hit: one pass over the documents for each block
+    of items. Cases are as in ``with_hits``."""
+    whole = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("t"))
+    passes = [whole.select("doc_id", F.explode(search(F.col("t"))).alias("h")).select("doc_id", "h.*") for search in _searches(items, item_text, item_id, n, share)]
+    return reduce(DataFrame.unionAll, passes)
