@@ -138,7 +138,7 @@ def close_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int) -> DataFrame:
     """(id, tie, fp, component) of every row, with NO_ID for null; tie tells rows of one doc_id apart."""
-    ids = docs.select(doc_key(doc_id).alias("id"), F.hash(text).alias("tie"), F.col(text).alias("t"))
+    ids = docs.select(doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
     marked = stored(with_fingerprint(ids, "t", shingle, "fp").select("id", "tie", "fp"), "simhash-prints")
     prints = marked.groupBy("fp").agg(F.min("id").alias("first"))
     links = stored(close_pairs(prints.select("fp"), bits), "simhash-links")
@@ -146,8 +146,10 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int) -
         named = prints.select("fp", F.col("first").alias("component"))
     else:
         roots = components(links)
-        rooted = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
+        # stored, so that a component that holds very many fingerprints can be split in the join
+        rooted = stored(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+        least = stored(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-components")
+        named = rooted.join(least, "root").select("fp", "component")
     return marked.join(stored(named, "simhash-names"), "fp")
 
 
@@ -176,7 +178,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     rows = stored(_grouped(docs, text, doc_id, shingle, bits).select("id", "tie", "component"), "simhash-groups")
     best = rows.where("id = component").groupBy("id").agg(F.min("tie").alias("tie"))
     id_, tie = free_names(docs, "id", "tie")
-    keyed = docs.withColumns({id_: doc_key(doc_id), tie: F.hash(text)})
+    keyed = docs.withColumns({id_: doc_key(doc_id), tie: F.xxhash64(text)})
     kept = keyed.join(best.select(F.col("id").alias(id_), F.col("tie").alias(tie)), [id_, tie], "left_semi")
     if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_, tie])
