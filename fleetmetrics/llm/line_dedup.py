@@ -147,16 +147,16 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
                     keys.append(key)
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["k1", "k2", "id", "tie", "s", "e"])
 
-    texts = docs.select(doc_key(doc_id).alias("id"), F.hash(text).alias("tie"), text_bytes(text).alias("t"))
-    lines = stored(texts.mapInArrow(hashed, "id long, tie int, h array<long>, w array<int>").where(F.size("h") > 0), "lines")
+    texts = docs.select(doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), text_bytes(text).alias("t"))
+    lines = stored(texts.mapInArrow(hashed, "id long, tie long, h array<long>, w array<int>").where(F.size("h") > 0), "lines")
     prints = lines.select("id", "h", "w").mapInArrow(select, "fp long, id long")
     # stored, so that a join that meets a hot line has two plain sides and can be split
     shared = stored(prints.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("fp"), "shared-lines")
     near = prints.join(shared, "fp").groupBy("id").agg(F.collect_set("fp").alias("near"))
-    found = stored(lines.join(near, "id").select("id", "tie", "h", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie int, s int, e int"), "line-windows")
+    found = stored(lines.join(near, "id").select("id", "tie", "h", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie long, s int, e int"), "line-windows")
     first = stored(found.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "first-lines")
     later = found.join(first, ["k1", "k2"]).where("id > lo").select("id", "tie", F.struct("s", "e").alias("run")).distinct()
     return later.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))
@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
             counts.append(len(gone))
         return pd.DataFrame({"text": out, "n": counts})
 
-    keyed = docs.withColumns({own_id: doc_key(doc_id), own_tie: F.hash(text)})
+    keyed = docs.withColumns({own_id: doc_key(doc_id), own_tie: F.xxhash64(text)})
     joined = keyed.join(found, (F.col(own_id) == F.col(id_)) & (F.col(own_tie) == F.col(tie)), "left")
     made = joined.withColumn(done, cut(text_bytes(text), F.col(runs)))
     kept = [F.when(F.col(text).isNotNull(), F.col(f"{done}.text")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != removed]

@@ -119,7 +119,7 @@ def covered(n: int, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (id, tie, t): (id, tie, places) of anchors that matter, and (id, tie, starts) of windows that
     a smaller id has, apart from those that the places tell already."""
-    found = texts.mapInArrow(_anchor_rows, "a long, c long, id long, tie int, pos int")
+    found = texts.mapInArrow(_anchor_rows, "a long, c long, id long, tie long, pos int")
     known = found.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("lo < hi")
     # stored, so that a join that meets a hot anchor or window has two plain sides and can be split
     shared = stored(known.select("a", "lo", (F.col("c0") != F.col("c1")).alias("several")), "shared-anchors")
@@ -127,7 +127,7 @@ def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.col("pos").cast("long") * 2 + F.col("several").cast("int")
     places = stored(at.groupBy("id", "tie").agg(F.collect_list(place).alias("places")), "anchors")
     open_ = places.where(F.exists("places", lambda x: x % 2 == 1))
-    windows = stored(texts.join(open_, ["id", "tie"]).select("id", "tie", "t", "places").mapInArrow(_window_rows, "k1 long, k2 long, id long, tie int, s int"), "windows")
+    windows = stored(texts.join(open_, ["id", "tie"]).select("id", "tie", "t", "places").mapInArrow(_window_rows, "k1 long, k2 long, id long, tie long, s int"), "windows")
     first = stored(windows.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "first-windows")
     starts = windows.join(first, ["k1", "k2"]).where("id > lo").groupBy("id", "tie").agg(F.collect_list("s").alias("starts"))
     return places, stored(starts, "starts")
@@ -140,9 +140,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     doc_id is larger than any other, and rows with equal or null doc_id are not smaller than one
     another; equal rows lose the same words; further columns are ignored; an empty table gives no row.
     """
-    texts = docs.select(doc_key(doc_id).alias("id"), F.hash(text).alias("tie"), text_bytes(text).alias("t"))
+    texts = docs.select(doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), text_bytes(text).alias("t"))
     places, starts = find_repeats(texts)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), doc_key(doc_id).alias("id"), F.hash(text).alias("tie"), text_bytes(text).alias("t"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), text_bytes(text).alias("t"))
     joined = own.join(places, ["id", "tie"], "left").join(starts, ["id", "tie"], "left")
 
     @F.pandas_udf("kept_text string, n_words long, n_removed long, kept_sha256 string")

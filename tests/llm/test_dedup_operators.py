@@ -224,6 +224,16 @@ def test_simhash_query(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_without_id_are_told_apart(spark):
+    """Many rows without doc_id: each loses what it shares with rows that have one, and nothing else."""
+    shared = [" ".join(f"s{k}x{i}" for i in range(50)) for k in range(4)]
+    rows = [(k, t) for k, t in enumerate(shared)] + [(None, f"row {i} " + (shared[i % 8] if i % 8 < 4 else "alone")) for i in range(400)]
+    words = substring_dedup.dedup_substrings(frame(spark, rows)).where("doc_id is null").collect()
+    assert sorted(r.kept_text for r in words) == sorted(f"row {i}" if i % 8 < 4 else f"row {i} alone" for i in range(400))
+    lines = line_dedup.dedup_lines(frame(spark, [(i, t.replace(" ", "\n", 2) if i is None else t) for i, t in rows])).where("doc_id is null").collect()
+    assert sorted(r.text for r in lines) == sorted(f"row\n{i}" if i % 8 < 4 else f"row\n{i}\nalone" for i in range(400))
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
@@ -263,6 +273,9 @@ def test_hits_against_brute_force(spark, block, monkeypatch):
     bench = spark.createDataFrame([(j, t, "x") for j, t in items], "item_id long, text string, doc_id string")
     got = decontaminate.contaminated(frame(spark, docs, "hits").repartition(3), bench)
     assert {tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_shared").collect()} == brute_hits(docs, items)
+    named = decontaminate.with_hits(frame(spark, docs, "Hits").repartition(3), bench)
+    assert named.columns == ["doc_id", "text", "hits"]
+    assert {(r.doc_id, h.item_id, h.n_shingles, h.n_shared) for r in named.collect() for h in r.hits} == brute_hits(docs, items)
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(frame(spark, docs).limit(0), bench).count() == 0
 
