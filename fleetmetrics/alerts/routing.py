@@ -121,6 +121,15 @@ def notifications(
     )
 
 
+def open_lives(stretches: DataFrame, group: Sequence[str], since: Column, wait=GROUP_WAIT, interval=GROUP_INTERVAL) -> DataFrame:
+    """The stretches of groups that had not been given up by ``since``: all that a later state can change."""
+    w_us, i_us = micros(wait), micros(interval)
+    lives = _group_lives(stretches, group, w_us, i_us)
+    ends = lives.groupBy(*group, "life").agg(F.count_if(F.col("resolved_at").isNull()).alias("firing"), F.unix_micros(F.max("resolved_at")).alias("end"))
+    living = ends.where((F.col("firing") > 0) | (F.col("end") + F.lit(max(w_us, i_us)) >= F.unix_micros(since)))
+    return lives.join(living.select(*group, "life"), [*group, "life"], "left_semi").drop("life")
+
+
 def _group_lives(stretches: DataFrame, group: Sequence[str], w_us: int, i_us: int) -> DataFrame:
     """Add ``life``: start of the group's life that a stretch belongs to.
 

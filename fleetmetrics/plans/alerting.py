@@ -9,7 +9,7 @@ from ..alerts import state as S
 from ..alerts.evaluate import evaluate
 from ..alerts.rules import Rule
 from ..operators import windows as W
-from .registry import DAY_GRID, M, epoch, m, query, r
+from .registry import DAILY, M, day_grid, epoch, m, query, r
 
 _METRICS = ("click", "view", "error", "purchase", "signup")
 _DAY = 86400
@@ -25,23 +25,27 @@ def _rules():
     return out
 
 
-def _daily(spark, sf):
+def _daily(spark, sf, grid):
     """Daily averages as samples of their own."""
-    v = W.over_time(m(spark, sf), DAY_GRID, "1d", ["avg"], ["metric", "host"])
+    v = W.over_time(m(spark, sf), grid, "1d", ["avg"], ["metric", "host"])
     labels = F.create_map(F.lit("host"), F.col("host"), F.lit("job"), F.concat(F.lit("j"), F.substring("host", 2, 1)))
     return v.select("metric", labels.alias("labels"), F.col("t").alias("ts"), F.col("avg").alias("value"))
 
 
+def _hits_on(spark, sf, grid):
+    return evaluate(_daily(spark, sf, grid), _rules(), grid, "1d")
+
+
 def _hits(spark, sf):
-    return evaluate(_daily(spark, sf), _rules(), DAY_GRID, "1d")
+    return _hits_on(spark, sf, day_grid(spark, sf))
 
 
-def _states(spark, sf):
-    return S.alert_states(_hits(spark, sf), DAY_GRID)
+def _states(spark, sf, grid=None):
+    grid = grid or day_grid(spark, sf)
+    return S.alert_states(_hits_on(spark, sf, grid), grid)
 
 
-_G = "g as (select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-31', interval 1 day)) as t)"
-_H = f"""{M}, {_G}, d as (select metric, host, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2, 3),
+_H = f"""{M}, {DAILY}, d as (select metric, host, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2, 3),
   rules as (select x.metric, case when x.metric in ('error', 'signup') then 'system' else 'postgresql' end as service, y.severity, y.threshold, y.hold
     from (values ('click'), ('view'), ('error'), ('purchase'), ('signup')) x(metric), (values ('warning', 49.0, 2), ('critical', 52.0, 1)) y(severity, threshold, hold)),
   h as (select concat('High_', metric) as alertname, severity, service, hold, metric, host, concat('j', host[2:2]) as job, t, v as value from d join rules using (metric) where v > threshold)"""
@@ -138,7 +142,7 @@ def group_alerts(spark, sf):
     "notifications",
     f"""with recursive {_S}, f as (select distinct alertname, severity, host, t from st where alertstate = 'firing'),
   n as (select severity, alertname, t, count(*) as c, count(*) filter (not exists (select 1 from f p where p.alertname = f.alertname and p.severity = f.severity and p.host = f.host and p.t = f.t - interval 1 day)) as new from f group by 1, 2, 3),
-  e as (select severity, alertname, t + interval 1 day as t, count(*) as resolved from f where t < timestamp '2024-01-31' and not exists
+  e as (select severity, alertname, t + interval 1 day as t, count(*) as resolved from f where t < (select max(t) from g) and not exists
     (select 1 from f q where q.alertname = f.alertname and q.severity = f.severity and q.host = f.host and q.t = f.t + interval 1 day) group by 1, 2, 3),
   ch as (select coalesce(n.severity, e.severity) as severity, coalesce(n.alertname, e.alertname) as alertname, coalesce(n.t, e.t) as t, coalesce(n.c, 0) as firing, coalesce(n.new, 0) as new,
     coalesce(e.resolved, 0) as resolved from n full join e on n.severity = e.severity and n.alertname = e.alertname and n.t = e.t),
@@ -149,19 +153,20 @@ def group_alerts(spark, sf):
 )
 def notifications(spark, sf):
     """Flushes on the evaluation days, repeated every second day while nothing changes."""
-    st = _states(spark, sf)
-    stretches = S.transitions(st, DAY_GRID)
-    out = R.notifications(stretches, ["severity", "alertname"], wait="0s", interval="1d", repeat="2d", until=F.timestamp_micros(F.lit(DAY_GRID.end)))
+    grid = day_grid(spark, sf)
+    stretches = S.transitions(_states(spark, sf, grid), grid)
+    out = R.notifications(stretches, ["severity", "alertname"], wait="0s", interval="1d", repeat="2d", until=F.timestamp_micros(F.lit(grid.end)))
     return out.select("severity", "alertname", epoch("sent_at").alias("sent_at"), "reason", "firing", "new", "resolved")
 
 
 @query(
     "alert_history",
     f"""with {_S} select alertstate, severity, count(*) as n, count(distinct concat(alertname, host)) as alerts from st
-    where t > timestamp '2024-01-24' and t <= timestamp '2024-01-31' group by 1, 2""",
+    where t > (select max(t) from g) - interval 7 day group by 1, 2""",
 )
 def alert_history(spark, sf):
-    h = S.history(_states(spark, sf), F.lit("2024-01-31").cast("timestamp"), 7, None)
+    grid = day_grid(spark, sf)
+    h = S.history(_states(spark, sf, grid), F.timestamp_micros(F.lit(grid.end)), 7, None)
     per = h.groupBy("alertstate", "severity", "alertname", "series_key").agg(F.count("*").alias("n"))
     return per.groupBy("alertstate", "severity").agg(F.sum("n").alias("n"), F.count("*").alias("alerts"))
 
@@ -169,10 +174,12 @@ def alert_history(spark, sf):
 @query(
     "severity_counts",
     f"""with {_S} select s.severity, count(st.alertname) as count from (values ('critical'), ('warning'), ('info')) s(severity)
-    left join st on st.severity = s.severity and st.alertstate = 'firing' and st.t = timestamp '2024-01-30' group by 1""",
+    left join (select * from st where alertstate = 'firing' and t = (select max(t) - interval 1 day from g)) st on st.severity = s.severity group by 1""",
 )
 def severity_counts(spark, sf):
-    return S.severity_counts(_states(spark, sf).where(F.col("t") == F.lit("2024-01-30").cast("timestamp")))
+    """Counts on the last but one day."""
+    grid = day_grid(spark, sf)
+    return S.severity_counts(_states(spark, sf, grid).where(F.col("t") == F.timestamp_micros(F.lit(grid.end - grid.step))))
 
 
 @query(
@@ -199,12 +206,13 @@ def alert_series(spark, sf):
 # --- rule families over the daily averages ------------------------------------------------------
 
 
-def _family(spark, sf, *rules, grid=DAY_GRID):
-    h = evaluate(_daily(spark, sf), rules, grid, "1d")
+def _family(spark, sf, *rules):
+    grid = day_grid(spark, sf)
+    h = evaluate(_daily(spark, sf, grid), rules, grid, "1d")
     return h.select("alertname", "severity", "series_key", epoch().alias("t"), r("value", 6).alias("value"))
 
 
-_D = f"""{M}, {_G}, d as (select metric, host, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2, 3),
+_D = f"""{M}, {DAILY}, d as (select metric, host, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2, 3),
   w as (select host, concat('{{"host":"', host, '","job":"j', host[2:2], '"}}') as series_key, t, max(case when metric = 'click' then v end) as a, max(case when metric = 'view' then v end) as b from d group by 1, 2, 3)"""
 
 
@@ -256,12 +264,13 @@ def rule_and_sum(spark, sf):
     union all select 'RoleChange', 'critical', concat('{{"job":"j', host[2:2], '"}}'), cast(epoch(t) as bigint), count(*)::double from p where v <> o group by host, t having count(*) >= 1""",
 )
 def rule_offset(spark, sf):
-    d = _daily(spark, sf).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
+    grid = day_grid(spark, sf)
+    d = _daily(spark, sf, grid).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
     rules = [
         Rule("Switch", "changed", "click", "any", 0, 0, window="1d"), Rule("Jump", "delta", "click", ">", 1, 0, window="1d"),
         Rule("RoleChange", "role_change", "click", ">=", 1, 0, by=("job",), window="1d", extra={"ignoring": ("host",)}),
     ]
-    h = evaluate(d, rules, DAY_GRID, "1d")
+    h = evaluate(d, rules, grid, "1d")
     return h.select("alertname", "severity", "series_key", epoch().alias("t"), "value")
 
 
@@ -283,7 +292,7 @@ def rule_ranges(spark, sf):
 
 @query(
     "rule_absent",
-    f"""with {_G} select 'Gone' as alertname, 'critical' as severity, '{{"host":"h9"}}' as series_key, cast(epoch(t) as bigint) as t, 1.0::double as value from g""",
+    f"""with {DAILY} select 'Gone' as alertname, 'critical' as severity, '{{"host":"h9"}}' as series_key, cast(epoch(t) as bigint) as t, 1.0::double as value from g""",
 )
 def rule_absent(spark, sf):
     return _family(
@@ -293,17 +302,18 @@ def rule_absent(spark, sf):
 
 @query(
     "rule_load",
-    f"""with {M}, {_G}, d as (select metric, host, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2, 3),
+    f"""with {M}, {DAILY}, d as (select metric, host, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2, 3),
     l as (select host, t, max(case when metric = 'click' then v end) as load, count(distinct metric) filter (metric <> 'click') as cores from d group by 1, 2)
     select concat('{{"host":"', host, '"}}') as series_key, cast(epoch(t) as bigint) as t, round(load, 6) as value from l where load / cores > 13""",
 )
 def rule_load(spark, sf):
-    d = _daily(spark, sf)
+    grid = day_grid(spark, sf)
+    d = _daily(spark, sf, grid)
     host = F.col("labels")["host"]
     load = d.where("metric = 'click'").select(F.lit("load5").alias("metric"), F.create_map(F.lit("host"), host).alias("labels"), "ts", "value")
     cpu = d.where("metric <> 'click'").select(
         F.lit("cpu_seconds").alias("metric"), F.create_map(F.lit("host"), host, F.lit("cpu"), F.col("metric"), F.lit("mode"), F.lit("idle")).alias("labels"), "ts", "value"
     )
     rule = Rule("Load", "load", "load5", ">", 13, 0, metric2="cpu_seconds", by=("cpu", "mode"))
-    h = evaluate(load.unionByName(cpu), [rule], DAY_GRID, "1d")
+    h = evaluate(load.unionByName(cpu), [rule], grid, "1d")
     return h.select("series_key", epoch().alias("t"), r("value", 6).alias("value"))

@@ -124,13 +124,15 @@ def vector_default(spark, sf):
 
 @query(
     "absent_targets",
-    f"""with u as (select user_id, unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as d from (select distinct user_id from events))
+    f"""with b as (select cast(min(ts) as date) as lo, cast(max(ts) as date) as hi from events),
+    u as (select user_id, unnest(generate_series(lo, hi, interval 1 day)) as d from (select distinct user_id from events), b)
     select user_id, strftime(d, '%Y-%m-%d') as day, 1.0::double as value from u where not exists
     (select 1 from events e where e.user_id = u.user_id and e.event_type = 'purchase' and cast(e.ts as date) = u.d)""",
 )
 def absent_targets(spark, sf):
     e = table(spark, sf, "events")
-    days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")))
+    times = e.agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    days = F.explode(F.sequence(*[F.lit(d).cast("date") for d in times]))
     expected = e.select("user_id").distinct().select("user_id", days.alias("d")).select("user_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
     return J.absent(expected, e.where("event_type = 'purchase'").select("user_id", _day()), ["user_id", "day"])
 

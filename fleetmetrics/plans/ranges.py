@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as W
 from ..operators.matching import pivot_metrics
-from .registry import CTR, G, GRID, M, RANGE, ctr, epoch, m, query, r
+from .registry import CTR, G, M, RANGE, ctr, epoch, grid, grid_sql, m, query, r
 
 _KEY = ["series_key"]
 
@@ -17,7 +17,7 @@ _KEY = ["series_key"]
     from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t group by series_key, t""",
 )
 def instant_grid(spark, sf):
-    return W.instant(m(spark, sf), GRID, RANGE).select("series_key", epoch().alias("t"), r("value").alias("value"))
+    return W.instant(m(spark, sf), grid(spark, sf), RANGE).select("series_key", epoch().alias("t"), r("value").alias("value"))
 
 
 @query(
@@ -27,8 +27,9 @@ def instant_grid(spark, sf):
     from i a join i b on a.series_key = b.series_key and b.t = a.t - interval 6 hour where a.v <> b.v""",
 )
 def offset_change(spark, sf):
-    now = W.instant(m(spark, sf), GRID, RANGE)
-    both = W.with_offset(now, GRID, "6h").where((F.col("value") != F.col("before")) & (F.col("t") <= F.timestamp_micros(F.lit(GRID.end))))
+    g = grid(spark, sf)
+    both = W.with_offset(W.instant(m(spark, sf), g, RANGE), g, "6h")
+    both = both.where((F.col("value") != F.col("before")) & (F.col("t") <= F.timestamp_micros(F.lit(g.end))))
     return both.select("series_key", epoch().alias("t"), r("value").alias("value"), r("before").alias("before"))
 
 
@@ -38,7 +39,7 @@ _OVER = """with {m}, {g} select series_key, cast(epoch(t) as bigint) as t, {agg}
 
 def _over(fn, digits=4):
     def run(spark, sf):
-        v = W.over_time(m(spark, sf), GRID, RANGE, [fn])
+        v = W.over_time(m(spark, sf), grid(spark, sf), RANGE, [fn])
         return v.select("series_key", epoch().alias("t"), r(fn, digits).alias("value"))
 
     return run
@@ -58,7 +59,7 @@ query("min_over_time", _OVER.format(m=M, g=G, agg="min(value)"))(_over("min", 6)
 )
 def changes(spark, sf):
     s = m(spark, sf).withColumn("value", F.floor(F.col("value") / 50).cast("double"))
-    return W.changes(s, GRID, RANGE).select("series_key", epoch().alias("t"), "value")
+    return W.changes(s, grid(spark, sf), RANGE).select("series_key", epoch().alias("t"), "value")
 
 
 # increase over R(1 day): neighbours are compared inside the window only
@@ -70,12 +71,12 @@ _INC = f"""with {CTR}, {G}, w as (select series_key, t, ts, value, lag(value) ov
 
 @query("increase_raw", _INC + " select series_key, cast(epoch(t) as bigint) as t, round(inc, 4) as value from s")
 def increase_raw(spark, sf):
-    return W.increase(ctr(spark, sf), GRID, RANGE, extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+    return W.increase(ctr(spark, sf), grid(spark, sf), RANGE, extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
 
 
 @query("rate_raw", _INC + " select series_key, cast(epoch(t) as bigint) as t, round(inc / 86400.0, 9) as value from s")
 def rate_raw(spark, sf):
-    return W.rate(ctr(spark, sf), GRID, RANGE, extrapolate=False).select("series_key", epoch().alias("t"), r("value", 9).alias("value"))
+    return W.rate(ctr(spark, sf), grid(spark, sf), RANGE, extrapolate=False).select("series_key", epoch().alias("t"), r("value", 9).alias("value"))
 
 
 @query(
@@ -88,7 +89,7 @@ def rate_raw(spark, sf):
   select series_key, cast(epoch(t) as bigint) as t, round(inc * ((obs + least(h1, coalesce(z, h1)) + e1) / obs), 7) as value from e2""",
 )
 def increase_extrap(spark, sf):
-    return W.increase(ctr(spark, sf), GRID, RANGE).select("series_key", epoch().alias("t"), r("value", 7).alias("value"))
+    return W.increase(ctr(spark, sf), grid(spark, sf), RANGE).select("series_key", epoch().alias("t"), r("value", 7).alias("value"))
 
 
 _LAST2 = """w as (select series_key, t, ts, value, row_number() over (partition by series_key, t order by ts desc, event_id desc) as n
@@ -103,7 +104,7 @@ _LAST2 = """w as (select series_key, t, ts, value, row_number() over (partition
     round((case when v1 < v2 then v1 else v1 - v2 end) / (epoch_us(t1 - t2) / 1e6), 8) as value from p""",
 )
 def irate_grid(spark, sf):
-    return W.irate(ctr(spark, sf), GRID, RANGE).select("series_key", epoch().alias("t"), r("value", 8).alias("value"))
+    return W.irate(ctr(spark, sf), grid(spark, sf), RANGE).select("series_key", epoch().alias("t"), r("value", 8).alias("value"))
 
 
 @query(
@@ -115,7 +116,7 @@ def irate_grid(spark, sf):
 def irate_total(spark, sf):
     """Total rate of two counters: both are rated in one pass and summed over everything."""
     s = ctr(spark, sf).where(F.col("metric").isin("click", "view"))
-    v = W.irate(s, GRID, RANGE).groupBy("t").agg(F.sum("value").alias("value"), F.count("*").alias("series"))
+    v = W.irate(s, grid(spark, sf), RANGE).groupBy("t").agg(F.sum("value").alias("value"), F.count("*").alias("series"))
     return v.select(epoch().alias("t"), r("value", 5).alias("value"), "series")
 
 
@@ -124,7 +125,7 @@ def irate_total(spark, sf):
     f"""with {M}, {G}, {_LAST2.format(src='m')} select series_key, cast(epoch(t) as bigint) as t, round(v1 - v2, 6) as value from p""",
 )
 def idelta_grid(spark, sf):
-    return W.idelta(m(spark, sf), GRID, RANGE).select("series_key", epoch().alias("t"), r("value").alias("value"))
+    return W.idelta(m(spark, sf), grid(spark, sf), RANGE).select("series_key", epoch().alias("t"), r("value").alias("value"))
 
 
 @query(
@@ -136,7 +137,7 @@ def idelta_grid(spark, sf):
 def delta_ratio(spark, sf):
     """Counter over counter: last differences of two metrics, matched on the remaining labels."""
     s = ctr(spark, sf).where(F.col("metric").isin("click", "view"))
-    d = W.idelta(s, GRID, RANGE, keys=["metric", "host"])
+    d = W.idelta(s, grid(spark, sf), RANGE, keys=["metric", "host"])
     both = pivot_metrics(d, ["click", "view"], ["host", "t"]).where(F.col("view") != 0)
     return both.select("host", epoch().alias("t"), r(F.col("click") / F.col("view") * 100, 5).alias("value"))
 
@@ -149,9 +150,9 @@ def delta_ratio(spark, sf):
     select series_key, cast(epoch(t) as bigint) as t, round(p, 4) as value from f where p < 40 and last_v > 20""",
 )
 def predict_linear(spark, sf):
-    s = m(spark, sf)
-    ahead = W.predict_linear(s, GRID, RANGE, "4h").where(F.col("value") < 40)
-    used = W.instant(s, GRID, RANGE).where(F.col("value") > 20)
+    s, g = m(spark, sf), grid(spark, sf)
+    ahead = W.predict_linear(s, g, RANGE, "4h").where(F.col("value") < 40)
+    used = W.instant(s, g, RANGE).where(F.col("value") > 20)
     both = ahead.join(used.select("series_key", "t"), ["series_key", "t"], "left_semi")
     return both.select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
 
@@ -163,7 +164,7 @@ def predict_linear(spark, sf):
 )
 def availability(spark, sf):
     up = m(spark, sf).withColumn("value", F.when(F.col("value") > 10, 1.0).otherwise(0.0))
-    v = W.over_time(up, GRID, RANGE, ["avg"]).where(F.col("avg") < 0.5)
+    v = W.over_time(up, grid(spark, sf), RANGE, ["avg"]).where(F.col("avg") < 0.5)
     return v.select("series_key", epoch().alias("t"), r("avg").alias("value"))
 
 
@@ -173,13 +174,16 @@ def availability(spark, sf):
     select series_key, round(arg_max(v, t), 6) as last_value, round(avg(v), 6) as mean_value from i group by series_key""",
 )
 def reduce_last_mean(spark, sf):
-    v = W.instant(m(spark, sf), GRID, RANGE)
+    v = W.instant(m(spark, sf), grid(spark, sf), RANGE)
     out = v.groupBy("series_key").agg(F.max_by("value", F.unix_micros("t")).alias("l"), F.avg("value").alias("a"))
     return out.select("series_key", r("l").alias("last_value"), r("a").alias("mean_value"))
 
 
-_HOURLY = "g as (select unnest(generate_series(timestamp '2024-01-01 06:00:00', timestamp '2024-01-31 00:00:00', interval 1 hour)) as t)"
-_LONG_GRID = W.Grid.of("1h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
+_HOURLY = grid_sql("1 hour", "6 hour")
+
+
+def _long_grid(spark, sf):
+    return grid(spark, sf, "1h", "6h")
 
 
 @query(
@@ -189,7 +193,7 @@ _LONG_GRID = W.Grid.of("1h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
 )
 def long_window(spark, sf):
     """Ten days on an hourly grid: windows overlap so often that they are merged by doubling."""
-    v = W.over_time(m(spark, sf), _LONG_GRID, "10d", ["sum", "count", "min", "max", "last"])
+    v = W.over_time(m(spark, sf), _long_grid(spark, sf), "10d", ["sum", "count", "min", "max", "last"])
     return v.select("series_key", epoch().alias("t"), r("sum", 4).alias("sum"), "count", "min", "max", r("last").alias("last"))
 
 
@@ -199,7 +203,7 @@ def long_window(spark, sf):
     select series_key, cast(epoch(t) as bigint) as t, round(sum(case when p is null then 0 when value < p then value else value - p end), 4) as value from w group by 1, 2 having count(*) >= 2""",
 )
 def long_increase(spark, sf):
-    return W.increase(ctr(spark, sf), _LONG_GRID, "5d", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+    return W.increase(ctr(spark, sf), _long_grid(spark, sf), "5d", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
 
 
 _UNEVEN = "interval 86401 second"
@@ -212,7 +216,7 @@ _UNEVEN = "interval 86401 second"
 )
 def uneven_window(spark, sf):
     """A day and a second on an hourly grid: the window is no whole number of steps."""
-    v = W.over_time(m(spark, sf), _LONG_GRID, "86401s", ["sum", "count", "min", "max", "last"])
+    v = W.over_time(m(spark, sf), _long_grid(spark, sf), "86401s", ["sum", "count", "min", "max", "last"])
     return v.select("series_key", epoch().alias("t"), r("sum", 4).alias("sum"), "count", "min", "max", r("last").alias("last"))
 
 
@@ -222,4 +226,4 @@ def uneven_window(spark, sf):
     select series_key, cast(epoch(t) as bigint) as t, round(sum(case when p is null then 0 when value < p then value else value - p end), 4) as value from w group by 1, 2 having count(*) >= 2""",
 )
 def uneven_increase(spark, sf):
-    return W.increase(ctr(spark, sf), _LONG_GRID, "86401s", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
+    return W.increase(ctr(spark, sf), _long_grid(spark, sf), "86401s", extrapolate=False).select("series_key", epoch().alias("t"), r("value", 4).alias("value"))

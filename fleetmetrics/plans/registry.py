@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.windows import Grid
 from ..sources.tables import event_counters, event_samples, table
+from ..timeutil import micros
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,17 +27,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# the evaluation grid of all range checks
 STEP, RANGE = "6h", "1d"
-START, END = "2024-01-01 06:00:00", "2024-01-31 00:00:00"
-GRID = Grid.of(STEP, START, END)
-DAY_GRID = Grid.of("1d", "2024-01-02", "2024-01-31")
+_DAY = micros("1d")
+
+
+def grid(spark: SparkSession, sf: str, step: str = STEP, first: str = STEP) -> Grid:
+    """A grid over all events: from ``first`` after the start of their first day to the end of the last."""
+    times = table(spark, sf, "events").agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    lo, hi = (0 if u is None else u // _DAY * _DAY for u in times)
+    return Grid(micros(step), lo + micros(first), hi + _DAY)
+
+
+def day_grid(spark: SparkSession, sf: str) -> Grid:
+    return grid(spark, sf, "1d", "1d")
+
+
+def grid_sql(step: str, first: str) -> str:
+    return f"""bounds as (select cast(date_trunc('day', min(ts)) as timestamp) as lo, cast(date_trunc('day', max(ts)) as timestamp) + interval 1 day as hi from events),
+  g as (select unnest(generate_series(lo + interval {first}, hi, interval {step})) as t from bounds)"""
+
+
+G, DAILY = grid_sql("6 hour", "6 hour"), grid_sql("1 day", "1 day")
 
 M = """m as (select event_type as metric, concat('h', cast(user_id % 4 as varchar)) as host,
   concat(event_type, '|', 'h', cast(user_id % 4 as varchar)) as series_key, ts, event_id, value from events)"""
 CTR = M + """, ctr as (select series_key, metric, host, ts, event_id, round(sum(value) over (partition by series_key, cast(ts as date)
   order by ts, event_id rows between unbounded preceding and current row), 2) as value from m)"""
-G = "g as (select unnest(generate_series(timestamp '2024-01-01 06:00:00', timestamp '2024-01-31 00:00:00', interval 6 hour)) as t)"
 
 
 def m(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..reports.panels import Panel, evaluate_panel
 from ..session import shared_dir
 from ..sources import logs, samples as smp
 from ..sources.tables import table
-from .registry import CTR, G, GRID, M, RANGE, ctr, epoch, m, query, r
+from .registry import CTR, G, M, RANGE, ctr, epoch, grid, m, query, r
 from .selecting import log_lines
 
 
@@ -18,8 +18,8 @@ def _labelled(df):
     return df.select("metric", labels.alias("labels"), "ts", "value")
 
 
-def _panel(samples, panel, **picked):
-    v = evaluate_panel(samples, panel, GRID, RANGE, **picked)
+def _panel(spark, sf, samples, panel, **picked):
+    v = evaluate_panel(samples, panel, grid(spark, sf), RANGE, **picked)
     return v.select("series_key", epoch().alias("t"), r("value", 5).alias("value"))
 
 
@@ -36,7 +36,7 @@ _I = f"""{M}, {G}, i as (select metric, host, t, arg_max(value, ts) as v from g
     f"""with {_I} select concat('{{"host":"', host, '","kind":"c"}}') as series_key, cast(epoch(t) as bigint) as t, round(v, 5) as value from i where metric = 'click' and host in ('h1', 'h2')""",
 )
 def panel_instant(spark, sf):
-    return _panel(_labelled(m(spark, sf)), Panel("click", vars=(("node", "host", "=~"),)), node="h1|h2")
+    return _panel(spark, sf, _labelled(m(spark, sf)), Panel("click", vars=(("node", "host", "=~"),)), node="h1|h2")
 
 
 @query(
@@ -45,7 +45,7 @@ def panel_instant(spark, sf):
     from i where metric in ('click', 'view') group by host, t having count(*) = 2 and max(case when metric = 'view' then v end) <> 0""",
 )
 def panel_ratio(spark, sf):
-    return _panel(_one_kind(m(spark, sf)), Panel("click", metric2="view", form="free_pct"))
+    return _panel(spark, sf, _one_kind(m(spark, sf)), Panel("click", metric2="view", form="free_pct"))
 
 
 @query(
@@ -54,7 +54,7 @@ def panel_ratio(spark, sf):
     from i where metric in ('click', 'view') group by t having count(distinct metric) = 2""",
 )
 def panel_ratio_of_sums(spark, sf):
-    return _panel(_one_kind(m(spark, sf)), Panel("click", metric2="view", form="pct", agg="sum", agg_first=True))
+    return _panel(spark, sf, _one_kind(m(spark, sf)), Panel("click", metric2="view", form="pct", agg="sum", agg_first=True))
 
 
 @query(
@@ -63,7 +63,7 @@ def panel_ratio_of_sums(spark, sf):
 )
 def panel_sum_over_time(spark, sf):
     p = Panel("click", "sum_over_time", RANGE, agg="sum", without=("host",))
-    v = evaluate_panel(_labelled(m(spark, sf)), p, GRID, RANGE)
+    v = evaluate_panel(_labelled(m(spark, sf)), p, grid(spark, sf), RANGE)
     return v.select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
 
 
@@ -74,7 +74,7 @@ def panel_sum_over_time(spark, sf):
     select '{{"kind":"v"}}' as series_key, cast(epoch(t) as bigint) as t, round(sum((case when v1 < v2 then v1 else v1 - v2 end) / (epoch_us(t1 - t2) / 1e6)), 5) as value from p group by t""",
 )
 def panel_irate_by(spark, sf):
-    return _panel(_labelled(ctr(spark, sf)), Panel("view", "irate", RANGE, agg="sum", by=("kind",)))
+    return _panel(spark, sf, _labelled(ctr(spark, sf)), Panel("view", "irate", RANGE, agg="sum", by=("kind",)))
 
 
 @query(
@@ -82,7 +82,7 @@ def panel_irate_by(spark, sf):
     f"""with {_I} select cast(epoch(t) as bigint) as t, count(distinct host)::double as value from i where metric = 'error' group by t""",
 )
 def panel_groups(spark, sf):
-    v = evaluate_panel(_labelled(m(spark, sf)), Panel("error", agg="groups", by=("host",)), GRID, RANGE)
+    v = evaluate_panel(_labelled(m(spark, sf)), Panel("error", agg="groups", by=("host",)), grid(spark, sf), RANGE)
     return v.select(epoch().alias("t"), "value")
 
 
@@ -91,7 +91,7 @@ def panel_groups(spark, sf):
     f"""with {_I} select concat('{{"host":"', host, '","kind":"p"}}') as series_key, cast(epoch(t) as bigint) as t, round(v * 512, 5) as value from i where metric = 'purchase' and v * 512 > 40000""",
 )
 def panel_top(spark, sf):
-    return _panel(_labelled(m(spark, sf)), Panel("purchase", scale=512, above=40000))
+    return _panel(spark, sf, _labelled(m(spark, sf)), Panel("purchase", scale=512, above=40000))
 
 
 # --- stored tables -------------------------------------------------------------------------------

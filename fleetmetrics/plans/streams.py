@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import drift
-from ..operators import windows as W
 from ..sources.tables import event_samples, table, table_stream
 from ..streaming import ingest, rollup, stateful
-from .registry import G, M, epoch, query, r
+from .registry import DAILY, G, M, epoch, grid, query, r
 
 
 def _stream(spark, sf):
@@ -51,8 +50,7 @@ def stream_window(spark, sf):
 def stream_rate(spark, sf):
     """Samples roll up into hourly counter states; daily growth is read from the states."""
     states = rollup.rollup_counters(_stream(spark, sf), "1h", delay="10m", flush=True)
-    grid = W.Grid.of("6h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
-    v = rollup.increase_from_states(states, "1h", grid, "1d", extrapolate=False)
+    v = rollup.increase_from_states(states, "1h", grid(spark, sf), "1d", extrapolate=False)
     return v.select("series_key", epoch().alias("t"), r("value", 4).alias("value"))
 
 
@@ -65,8 +63,7 @@ def stream_rate(spark, sf):
 def stream_irate(spark, sf):
     """Growth between the last two samples of a day, read from streamed states."""
     states = rollup.rollup_counters(_stream(spark, sf), "1h", delay="10m", flush=True)
-    grid = W.Grid.of("6h", "2024-01-01 06:00:00", "2024-01-31 00:00:00")
-    return rollup.irate_from_states(states, "1h", grid, "1d").select("series_key", epoch().alias("t"), r("value", 9).alias("value"))
+    return rollup.irate_from_states(states, "1h", grid(spark, sf), "1d").select("series_key", epoch().alias("t"), r("value", 9).alias("value"))
 
 
 _ISLANDS = """s as (select series_key, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 4 hour then 1 else 0 end as b from m window w as (partition by series_key order by ts, event_id)),
@@ -107,10 +104,12 @@ def _alert_table(spark, sf):
     days = ingest.with_open(ingest.run_to_table(daily(_stream(spark, sf)), "daily"), daily(_batch(spark, sf)), ["series_key", "t"])
     days.write.parquet(base)
     evals = spark.readStream.schema(days.schema).parquet(base).select("series_key", "t", (F.col("avg") > 49).alias("active"))
-    return ingest.run_to_table(stateful.alert_state_stream(evals, "1d", "1d", delay="1 hour"), "alerts")
+    states = ingest.run_to_table(stateful.alert_state_stream(evals, "1d", "1d", delay="1 hour"), "alerts")
+    end = days.agg(F.unix_micros(F.max("t"))).first()[0]
+    return stateful.with_silent(states, F.timestamp_micros(F.lit(end).cast("bigint")), "1d")
 
 
-_STATES = f"""{M}, g as (select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-31', interval 1 day)) as t),
+_STATES = f"""{M}, {DAILY},
   h as (select series_key, t, avg(value) as v from g join m on ts > t - interval 1 day and ts <= t group by 1, 2 having avg(value) > 49),
   i as (select *, t - row_number() over (partition by series_key order by t) * interval 1 day as run from h),
   st as (select series_key, t, min(t) over (partition by series_key, run) as since from i)"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.selectors import overdue
+from .session import drop_folder
 
 
 def due_list(registry: DataFrame, log: DataFrame, as_of: Column, key: str | Sequence[str] = ("view_schema", "view_name"), scope: str | None = None) -> DataFrame:
@@ -48,8 +49,7 @@ def refresh_partitions(
     fresh.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
     gone = names.join(part.select(partition).distinct(), partition, "left_anti").where(F.col(partition).isNotNull())
     for row in gone.select(F.col(partition).cast("string")).toLocalIterator():
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"{partition}={row[0]}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_folder(spark, f"{target}/{partition}={row[0]}")
 
 
 def merge_refreshed(kept: DataFrame, fresh: DataFrame, changed: DataFrame, partition: str) -> DataFrame:

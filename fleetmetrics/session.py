@@ -72,3 +72,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         app = spark.sparkContext.applicationId
         root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="fleetmetrics-"))
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored; one that is not there is none of our business."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

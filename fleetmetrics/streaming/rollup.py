@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import windows as W
-from ..session import shared_dir
+from ..session import drop_folder, shared_dir
 from ..timeutil import micros
 
 # what a micro-batch leaves for the next one; ``open`` lists the batches with rows not folded yet
-_MARK = "seen_us bigint, closed_us bigint, open array<struct<batch:bigint,max_us:bigint>>"
+# (``done`` those folded by this one, which no replay needs once it is committed)
+_MARK = "seen_us bigint, closed_us bigint, open array<struct<batch:bigint,max_us:bigint>>, done array<bigint>"
 
 
 def rollup_counters(
@@ -31,7 +32,7 @@ def rollup_counters(
     stored, for inputs that are known to be finished.
 
     A micro-batch reads the mark of the batch before it and the folders that still hold open
-    rows, so its work does not grow with the age of the stream.
+    rows, so its work does not grow with the age of the stream; folded samples are dropped.
     """
     spark = samples.sparkSession
     base = path or shared_dir(spark, "rollup")
@@ -42,6 +43,7 @@ def rollup_counters(
         s = batch.sparkSession
         mark = s.read.schema(_MARK).parquet(f"{base}/marks/batch={batch_id - 1}").first() if batch_id else None
         seen, closed, held = (mark["seen_us"], mark["closed_us"], [tuple(x) for x in mark["open"]]) if mark else (None, None, [])
+        done: list[int] = []
         fresh = batch if closed is None else batch.where(F.col("_u") > F.lit(closed))  # later than the watermark allows: dropped
         fresh.groupBy(*keys, "_u").agg(F.max("_v").alias("_v")).write.mode("overwrite").parquet(f"{base}/samples/batch={batch_id}")
         newest = s.read.schema(flat.schema).parquet(f"{base}/samples/batch={batch_id}").agg(F.max("_u")).first()[0]
@@ -55,10 +57,13 @@ def rollup_counters(
             # the same sample may have come in two batches
             due = due.groupBy(*keys, "_u").agg(F.max("_v").alias("_v"))
             W.counter_states(due, keys, size).write.mode("overwrite").parquet(f"{base}/states/batch={batch_id}")
+            done = [b for b, m in held if m <= upto]
             closed, held = upto, [(b, m) for b, m in held if m > upto]
         elif batch_id == 0:  # an empty state table keeps readers simple
             W.counter_states(fresh.limit(0), keys, size).write.mode("overwrite").parquet(f"{base}/states/batch=0")
-        s.createDataFrame([(seen, closed, held)], _MARK).coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+        s.createDataFrame([(seen, closed, held, done)], _MARK).coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+        for b in mark["done"] if mark else ():
+            drop_folder(s, f"{base}/samples/batch={b}")
 
     q = flat.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -6,17 +6,16 @@ raw samples.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..alerts import routing
-from ..session import settings, shared_dir, state_partitions
+from ..session import drop_folder, settings, shared_dir, state_partitions
 from ..timeutil import micros
 
 
@@ -66,6 +65,16 @@ def alert_state_stream(evals: DataFrame, step, hold, keys: Sequence[str] = ("ser
     return states.select(*keys, F.timestamp_micros("t_us").alias("t"), F.timestamp_micros("active_since_us").alias("active_since"), "alertstate")
 
 
+def with_silent(states: DataFrame, end: Column, step, keys: Sequence[str] = ("series_key",)) -> DataFrame:
+    """Alert states of a finished input with the ends that no watermark reached any more: a firing alert
+    whose series falls silent is resolved a step after its last instant, unless that is after ``end``,
+    the newest instant of the input."""
+    runs = states.groupBy(*keys, "active_since").agg(F.max(F.when(F.col("alertstate") == "firing", F.col("t"))).alias("_last"), F.count_if(F.col("alertstate") == "resolved").alias("_ended"))
+    t = F.timestamp_micros(F.unix_micros("_last") + F.lit(micros(step)))
+    silent = runs.where(F.col("_last").isNotNull() & (F.col("_ended") == 0)).select(*keys, t.alias("t"), "active_since", F.lit("resolved").alias("alertstate"))
+    return states.unionByName(silent.where(F.col("t") <= end))
+
+
 def drift_stream(hashes: DataFrame, keys: Sequence[str] = ("host",)) -> DataFrame:
     """Sticky drift status from a stream of configuration hashes ``(host, snapshot_ts, hash)``."""
     out = _keyed_schema(hashes, keys, [T.StructField("t_us", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("changed", T.IntegerType()), T.StructField("status", T.IntegerType())])
@@ -100,35 +109,57 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], name:
     return base
 
 
-def notify_stream(states: DataFrame, group: Sequence[str], member: Sequence[str] = ("series_key",), path: str | None = None, **timing) -> DataFrame:
+def notify_stream(states: DataFrame, group: Sequence[str], member: Sequence[str] = ("series_key",), path: str | None = None, late="1d", **timing) -> DataFrame:
     """Notification log from a stream of alert states ``(group, member, t, active_since, alertstate)``.
 
-    Every micro-batch stores its firing stretches and appends the notifications that fall due
-    after those already sent.  Batch folders are overwritten on replay, so nothing is sent twice.
+    A micro-batch reads what the one before it left, the firing stretches of groups that are open or
+    were given up less than ``late`` ago, and appends the notifications that fall due after those
+    already sent. So its work follows the open alerts, not the age of the stream; states may come
+    up to ``late`` after newer ones. Folders are overwritten on replay, so nothing is sent twice, and
+    dropped once no replay can need them.
     """
     spark = states.sparkSession
     base = path or shared_dir(spark, "notify")
     keys = [*group, *member, "active_since"]
     flat = states.select(*keys, "t", "alertstate")
-    schema = T.StructType([*flat.select(*keys).schema.fields, *[T.StructField(n, T.TimestampType()) for n in ("fired_at", "resolved_at", "seen")], T.StructField("batch", T.LongType())])
+    schema = T.StructType([*flat.select(*keys).schema.fields, *[T.StructField(n, T.TimestampType()) for n in ("fired_at", "resolved_at")]])
+    pace = {k: v for k, v in timing.items() if k in ("wait", "interval")}
+
+    def instant(us: int) -> Column:
+        return F.timestamp_micros(F.lit(us).cast("bigint"))
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
 
-        def first(state: str):
+        def folder(kind: str, back: int = 0) -> str:
+            return f"{base}/{kind}/batch={batch_id - back}"
+
+        def first(state: str) -> Column:
             return F.min(F.when(F.col("alertstate") == state, F.col("t")))
 
         # one row for each stretch and batch, however many evaluations it has
         new = batch.groupBy(*keys).agg(first("firing").alias("fired_at"), first("resolved").alias("resolved_at"), F.max("t").alias("seen"))
-        new.write.mode("overwrite").parquet(f"{base}/stretches/batch={batch_id}")
-        log = s.read.schema(schema).parquet(f"{base}/stretches").where(F.col("batch") <= batch_id)
-        ends = log.agg(F.max("seen").alias("now"), F.max(F.when(F.col("batch") < batch_id, F.col("seen"))).alias("before")).first()
-        until = ends["now"] or dt.datetime(1970, 1, 1)  # nothing has arrived yet: the log stays empty
-        st = log.groupBy(*keys).agg(F.min("fired_at").alias("fired_at"), F.min("resolved_at").alias("resolved_at")).where("fired_at is not null")
-        due = routing.notifications(st, group, member, until=F.lit(until), **timing)
-        if ends["before"] is not None:
-            due = due.where(F.col("sent_at") > F.lit(ends["before"]))
-        due.write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
+        new.write.mode("overwrite").parquet(folder("new"))
+        fresh = s.read.schema(T.StructType([*schema.fields, T.StructField("seen", T.TimestampType())])).parquet(folder("new"))
+        now = fresh.agg(F.unix_micros(F.max("seen"))).first()[0]
+        known, before = fresh.drop("seen"), None
+        if batch_id:
+            before = s.read.schema("seen_us bigint").parquet(folder("marks", 1)).first()[0]
+            known = known.unionByName(s.read.schema(schema).parquet(folder("open", 1)))
+        now = max((u for u in (before, now) if u is not None), default=0)  # nothing has arrived yet: the log stays empty
+        merged = known.groupBy(*keys).agg(F.min("fired_at").alias("fired_at"), F.min("resolved_at").alias("resolved_at"))
+        fired = merged.where("fired_at is not null")
+        due = routing.notifications(fired, group, member, until=instant(now), **timing)
+        if before is not None:
+            due = due.where(F.col("sent_at") > instant(before))
+        due.write.mode("overwrite").parquet(folder("log"))
+        since = instant(now - micros(late))
+        early = merged.where(F.col("fired_at").isNull() & (F.col("resolved_at") >= since))  # the end came before the start
+        routing.open_lives(fired, group, since, **pace).select(*merged.columns).unionByName(early).write.mode("overwrite").parquet(folder("open"))
+        s.createDataFrame([(now,)], "seen_us bigint").coalesce(1).write.mode("overwrite").parquet(folder("marks"))
+        for kind, back in (("new", 1), ("open", 2), ("marks", 2)):
+            if batch_id >= back:
+                drop_folder(s, folder(kind, back))
 
     each_batch(flat, advance, "notify", base)
     sent = T.StructType(

@@ -111,6 +111,31 @@ def test_notifications_are_sent_once_across_batches(spark, tmp_path):
     assert key(log) == key(want) and len(key(log)) == 3
 
 
+def test_notifications_forget_closed_groups(spark, tmp_path):
+    """Work per batch follows the open alerts: closed lives are left behind, and the log stays the same."""
+    from fleetmetrics.alerts import routing
+
+    schema = "g string, series_key string, t timestamp, active_since timestamp, alertstate string"
+    row = lambda g, k, t, since, s: (g, k, at(t), at(since), s)
+    parts = [values(spark, [row("g", "a", 10_000 * i + d, 10_000 * i, s) for d, s in ((0, "pending"), (60, "firing"), (400, "resolved"))] + [row("h", "b", 10_000 * i + 5, 0, "firing")], schema) for i in range(5)]
+    log = stateful.notify_stream(stream_of(spark, tmp_path, parts), ["g"], path=str(tmp_path / "n"), late="1h")
+    st = values(spark, [("g", "a", at(10_000 * i), at(10_000 * i + 60), at(10_000 * i + 400)) for i in range(5)] + [("h", "b", at(0), at(5), None)], "g string, series_key string, active_since timestamp, fired_at timestamp, resolved_at timestamp")
+    # the newest instant each batch has seen ends its log
+    want = routing.notifications(st, ["g"], until=F.lit(at(40_400)).cast("timestamp"))
+    key = lambda df: sorted((r["g"], r["sent_at"], r["reason"], r["firing"], r["new"], r["resolved"]) for r in df.collect())
+    assert key(log) == key(want) and len(key(log)) >= 6
+    left = spark.read.parquet(str(tmp_path / "n" / "open")).where("batch = 4").collect()
+    assert sorted((r["g"], str(r["fired_at"])) for r in left) == [("g", at(40_060)), ("h", at(5))]
+    assert {p.name for p in (tmp_path / "n" / "open").iterdir()} == {"batch=3", "batch=4"} and {p.name for p in (tmp_path / "n" / "new").iterdir()} == {"batch=4"}
+
+
+def test_silent_alerts_end_with_the_input(spark):
+    schema = "series_key string, t timestamp, active_since timestamp, alertstate string"
+    rows = [("a", at(60), at(0), "firing"), ("a", at(120), at(0), "firing"), ("b", at(60), at(0), "firing"), ("b", at(120), at(0), "resolved"), ("c", at(300), at(240), "firing"), ("d", at(60), at(60), "pending")]
+    out = stateful.with_silent(values(spark, rows, schema), F.lit(at(300)).cast("timestamp"), "60s")
+    assert sorted((r["series_key"], str(r["t"])) for r in out.where("alertstate = 'resolved'").collect()) == [("a", at(180)), ("b", at(120))]
+
+
 def test_stored_samples_stream(spark, tmp_path):
     from helpers import labelled
 
