@@ -137,19 +137,22 @@ def close_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int) -> DataFrame:
-    """(id, tie, fp, component) of every row, with NO_ID for null; tie tells rows of one doc_id apart."""
+    """(id, tie, fp, component, root) of every row, with NO_ID for null; tie tells rows of one doc_id apart.
+
+    The component is named by its smallest id, which others may have too; ``root``, one of its
+    fingerprints, is its own."""
     ids = docs.select(doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
     marked = stored(with_fingerprint(ids, "t", shingle, "fp").select("id", "tie", "fp"), "simhash-prints")
     prints = marked.groupBy("fp").agg(F.min("id").alias("first"))
     links = stored(close_pairs(prints.select("fp"), bits), "simhash-links")
     if links.isEmpty():
-        named = prints.select("fp", F.col("first").alias("component"))
+        named = prints.select("fp", F.col("first").alias("component"), F.col("fp").alias("root"))
     else:
         roots = components(links)
         # stored, so that a component that holds very many fingerprints can be split in the join
         rooted = stored(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
         least = stored(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-components")
-        named = rooted.join(least, "root").select("fp", "component")
+        named = rooted.join(least, "root").select("fp", "component", "root")
     return marked.join(stored(named, "simhash-names"), "fp")
 
 
@@ -172,11 +175,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
     """The one row of each component that has its smallest doc_id, with all its columns.
 
-    Of several rows with that doc_id the one with the smallest hash of the text stays, and one of
-    equal rows. Cases are as in ``near_duplicates``.
+    Of several rows of a component with that doc_id the one with the smallest hash of the text stays,
+    and one of equal rows. Components that share a doc_id, or have none, keep a row each. Cases are as
+    in ``near_duplicates``.
     """
-    rows = stored(_grouped(docs, text, doc_id, shingle, bits).select("id", "tie", "component"), "simhash-groups")
-    best = rows.where("id = component").groupBy("id").agg(F.min("tie").alias("tie"))
+    rows = stored(_grouped(docs, text, doc_id, shingle, bits).select("id", "tie", "component", "root"), "simhash-groups")
+    best = rows.where("id = component").groupBy("root", "id").agg(F.min("tie").alias("tie"))
     id_, tie = free_names(docs, "id", "tie")
     keyed = docs.withColumns({id_: doc_key(doc_id), tie: F.xxhash64(text)})
     kept = keyed.join(best.select(F.col("id").alias(id_), F.col("tie").alias(tie)), [id_, tie], "left_semi")

@@ -234,6 +234,22 @@ def test_rows_without_id_are_told_apart(spark):
     assert sorted(r.text for r in lines) == sorted(f"row\n{i}" if i % 8 < 4 else f"row\n{i}\nalone" for i in range(400))
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_every_component_keeps_a_row(spark, linked):
+    unlike = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(8)]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1]), (None, unlike[2]), (5, unlike[3]), (5, unlike[4]), (5, unlike[4]), (6, unlike[5]), (None, unlike[5]), (5, unlike[6]), (4, unlike[6])]
+    want = [(4, unlike[6]), (5, unlike[3]), (5, unlike[4]), (6, unlike[5]), *[(None, t) for t in unlike[:3]]]
+    if linked:  # two near texts without doc_id are one component, of which one stays
+        long = " ".join(f"w{j}" for j in range(4_000))
+        near = next(x for x in (f"{long} x{k}" for k in range(200)) if 0 < (simhash.fingerprint(x.encode()) ^ simhash.fingerprint(long.encode())).bit_count() <= 2)
+        rows += [(None, long), (None, near)]
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame(spark, rows).repartition(3)).collect()]
+    if linked:
+        assert sum(t in (long, near) for _, t in kept) == 1
+        kept = [x for x in kept if x[1] not in (long, near)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
