@@ -127,12 +127,13 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints = [], []
-            for i, h, w in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True):
+            ids, ties, prints = [], [], []
+            for i, tie, h, w in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "h", "w")), strict=True):
                 own = set(fingerprints(h, windows(w, min_words)[0]).values())
                 ids += [i] * len(own)
+                ties += [tie] * len(own)
                 prints += own
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(ids, pa.int64())], ["fp", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64())], ["fp", "id", "tie"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,11 +153,13 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
 
     texts = docs.select(doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), text_bytes(text).alias("t"))
     lines = stored(texts.mapInArrow(hashed, "id long, tie long, h array<long>, w array<int>").where(F.size("h") > 0), "lines")
-    prints = lines.select("id", "h", "w").mapInArrow(select, "fp long, id long")
+    if not lines.groupBy("id", "tie").count().where("count > 1").isEmpty():
+        lines = stored(lines.dropDuplicates(["id", "tie"]), "unlike-lines")  # equal rows have the same runs
+    prints = lines.mapInArrow(select, "fp long, id long, tie long")
     # stored, so that a join that meets a hot line has two plain sides and can be split
     shared = stored(prints.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("fp"), "shared-lines")
-    near = prints.join(shared, "fp").groupBy("id").agg(F.collect_set("fp").alias("near"))
-    found = stored(lines.join(near, "id").select("id", "tie", "h", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie long, s int, e int"), "line-windows")
+    near = stored(prints.join(shared, "fp").groupBy("id", "tie").agg(F.collect_set("fp").alias("near")), "near-lines")
+    found = stored(lines.join(near, ["id", "tie"]).select("id", "tie", "h", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie long, s int, e int"), "line-windows")
     first = stored(found.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "first-lines")
     later = found.join(first, ["k1", "k2"]).where("id > lo").select("id", "tie", F.struct("s", "e").alias("run")).distinct()
     return later.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))

@@ -86,6 +86,21 @@ def test_line_dedup_cases(spark):
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_of_rows_without_id_are_not_gathered(spark, monkeypatch):
+    """A row meets its own shared lines only, and equal rows are worked on once."""
+    made = {}
+    plain = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, purpose: made.setdefault(purpose, plain(df, purpose)))
+    shared = [" ".join(f"s{k}x{i}" for i in range(9)) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(shared)] + [(None, f"row {k}\n{t}") for k, t in enumerate(shared)] + [(None, f"row 0\n{shared[0]}")] * 30
+    out = line_dedup.dedup_lines(frame(spark, rows).repartition(4)).where("doc_id is null").collect()
+    assert sorted(r.text for r in out) == sorted([f"row {k}" for k in range(20)] + ["row 0"] * 30)
+    near = made["near-lines"].where("id > 1000").collect()
+    assert len(near) == 20 and all(len(r.near) == 1 for r in near)
+    windows = made["line-windows"].where("id > 1000")
+    assert windows.count() == windows.distinct().count()
+
+
 def brute_words(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
