@@ -4,8 +4,10 @@ Every text node has a path of tags from the root. Text length and punctuation ar
 and divided by its nodes; the two ratios are smoothed over the nodes in page order, fused by their
 geometric mean, and paths above the spread of the page are content. Content paths name a region (the
 article, or what holds them all); headings, lists and short paragraphs of that region belong to it
-as well. Elements that are never an article's text (menus, forms, notices, adverts, comments, ...)
-are left out first, by tag name or by a word of their class, id or role.
+as well. Elements that are never an article's text (menus, notices, adverts, comments, ...) are left
+out first, by tag name or by a word of their class, id or role. A name alone does not decide: a named
+element or form that wraps the page's article, or nearly all text on paths above the threshold, is no
+such element, and neither is a section of an article, named by its id, whose text is above it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>|<[!?/][^>]*+>", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_ID = re.compile(r"\bid\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 # fixed values: element names of HTML
@@ -32,7 +36,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of these ends where one of the same group begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section main div body html td th aside nav footer header form blockquote".split())
-NEVER = frozenset("head nav aside footer form button dialog menu menuitem fieldset select datalist map audio video".split())
+NEVER = frozenset("head nav aside footer button dialog menu menuitem fieldset select datalist map audio video".split())
 #: Words of a class, id or role that name something beside the article.
 BESIDE = frozenset(
     """ad ads advert adverts advertisement advertising advertorial adsense banner promo promos promotion promoted sponsor sponsored sponsors outbrain taboola dfp
@@ -43,6 +47,10 @@ BESIDE = frozenset(
     newsletter subscribe subscription signup login signin register search searchbox form feedback survey
     comment comments commentlist disqus respond reply replies discussion responses
     share sharing social follow related recommended recommendations recommend teaser teasers trending popular tagcloud""".split())
+#: Readers' text, which reads as the article's does.
+READERS = frozenset("comment comments commentlist disqus respond reply replies responses".split())
+#: Of the text above the threshold outside the other named elements, the share of a wrapper (all, if a whole token names it).
+WRAPPER = 0.8
 #: A header with one of these before it is the article's own.
 OWN = frozenset("article content entry post story".split())
 REGION = frozenset({"article", "main"})
@@ -50,7 +58,9 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…،。，、؛؟¿¡]")
 
 
-def _beside(attributes: str) -> bool:
+def _beside(attributes: str) -> tuple[bool, bool] | None:
+    """Whether a word of a name is beside the article: (is a whole token, is of readers' text)."""
+    found = None
     for m in _NAMES.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
         for token in value.split():
@@ -58,18 +68,65 @@ def _beside(attributes: str) -> bool:
             if len(words) > 1 and words[0] in OWN and words[-1] == "header":
                 continue
             if words and (words[0] in BESIDE or words[-1] in BESIDE):
-                return True
-    return bool(_HIDDEN.search(attributes))
+                whole, readers = found or (False, False)
+                found = whole or len(words) == 1, readers or words[0] in READERS or words[-1] in READERS
+    return found
+
+
+@dataclass
+class Named:
+    """An element that its name, or the tag of a form, puts beside the article."""
+
+    whole: bool
+    section: bool  # of an article, named by its id only, not of readers' text
+    region: bool  # lies in an article or main element
+
+
+def _struck(named: list[Named], nodes: list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]]) -> set[int]:
+    """The named elements to leave out. Those with most text are judged first, as they hold the others."""
+    real = [(p, s, out, marks) for p, s, out, marks in nodes if s and not s.isspace()]
+    if not named or not real:
+        return set(range(len(named)))
+    index, of, ratio, limit = _ratios([(p, s) for p, s, _, _ in real])
+    above = ratio[of] >= limit
+    sizes = [len(" ".join(s.split())) for _, s, _, _ in real]
+    inside: list[list[int]] = [[] for _ in named]
+    for k, (_, _, out, marks) in enumerate(real):
+        if not out:
+            for e in marks:
+                inside[e].append(k)
+    articles = [any(x.split(".")[0] in REGION for x in p) for p, _, _, _ in real]
+    article = sum(n for n, a, x in zip(sizes, articles, real, strict=True) if a and not x[2])
+    content = sum(n for n, a in zip(sizes, above, strict=True) if a)
+    struck = set(range(len(named)))
+    for e in sorted(struck, key=lambda e: (-sum(sizes[k] for k in inside[e]), e)):
+        own = sum(sizes[k] for k in inside[e] if above[k])
+        if not own:
+            continue
+        if named[e].region:
+            # most of its text, short lines and headings aside, is prose
+            keep = named[e].section and own >= 0.5 * sum(sizes[k] for k in inside[e])
+        elif article:
+            keep = sum(sizes[k] for k in inside[e] if articles[k]) >= 0.5 * article
+        elif own < 0.5 * content:
+            keep = False
+        else:
+            free = sum(n for n, a, x in zip(sizes, above, real, strict=True) if a and not x[2] and e not in x[3] and not struck.intersection(x[3]))
+            keep = own >= (1 if named[e].whole else WRAPPER) * (own + free)
+        if keep:
+            struck.discard(e)
+    return struck
 
 
 def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, left out) for each run of text between tags; a border of blocks is an empty path and text."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, left out
+    out: list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, step of the path, left out, named elements around
+    named: list[Named] = []
 
     def text(s: str) -> None:
         if s:
-            out.append((tuple(x[1] for x in stack if x[0] not in INLINE), html.unescape(s), bool(stack) and stack[-1][2]))
+            out.append((tuple(x[1] for x in stack if x[0] not in INLINE), html.unescape(s), *(stack[-1][2:] if stack else (False, ()))))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -78,10 +135,10 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             if m[1] and m[1].lower() not in ("svg", "math"):
-                out.append(((), "", False))
+                out.append(((), "", False, ()))
             continue
         if tag not in INLINE:
-            out.append(((), "", False))
+            out.append(((), "", False, ()))
         if m[2] or m[5]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -100,15 +157,22 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-            within = bool(stack) and stack[-1][2]
+            within, marks = stack[-1][2:] if stack else (False, ())
             region = any(x[0] in REGION for x in stack)
             structural = tag in ("html", "body", "main", "article")
-            beside = tag in NEVER or (tag == "header" and not region) or (bool(attributes) and not structural and _beside(attributes)) or (tag == "article" and bool(attributes) and _beside(attributes) and region)
+            beside = tag in NEVER or (tag == "header" and not region) or (bool(attributes) and (not structural or (tag == "article" and region)) and bool(_HIDDEN.search(attributes)))
+            name = _beside(attributes) if attributes and (not structural or (tag == "article" and region)) else None
+            if name or tag == "form":
+                whole, readers = name or (False, False)
+                section = tag == "section" and region and not readers and not _beside(_ID.sub("", attributes))
+                named.append(Named(whole, section, region))
+                marks = (*marks, len(named) - 1)
             names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attributes)) if attributes else ""
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, f"{tag}.{names}" if names else tag, within or beside))
+                stack.append((tag, f"{tag}.{names}" if names else tag, within or beside, marks))
     text(page[at:])
-    return out
+    struck = _struck(named, out)
+    return [(p, s, left_out or not struck.isdisjoint(marks)) for p, s, left_out, marks in out]
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -119,23 +183,29 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, kernel, "same") / weight
 
 
+def _ratios(real: list[tuple[tuple[str, ...], str]]) -> tuple[dict[tuple[str, ...], int], np.ndarray, np.ndarray, float]:
+    """The paths, the path of each node, the smoothed and fused ratio of each path, and the spread of the page."""
+    texts = [" ".join(s.split()) for _, s in real]
+    index: dict[tuple[str, ...], int] = {}
+    of = np.array([index.setdefault(p, len(index)) for p, _ in real])
+    n = np.bincount(of)
+    length = np.bincount(of, [len(s) for s in texts]) / n
+    stops = np.bincount(of, [len(PUNCTUATION.findall(s)) for s in texts]) / n
+    fused = np.sqrt(_smooth(length[of]) * (_smooth(stops[of]) + 0.1))
+    return index, of, np.bincount(of, fused) / n, float(fused.std())
+
+
 def content_paths(nodes: list[tuple[tuple[str, ...], str, bool]]) -> set[tuple[str, ...]]:
     """Paths whose smoothed, fused ratio reaches the threshold; all nodes count, those left out too."""
-    real = [(p, " ".join(s.split()), out) for p, s, out in nodes if s and not s.isspace()]
+    real = [(p, s, out) for p, s, out in nodes if s and not s.isspace()]
     if not real:
         return set()
-    index: dict[tuple[str, ...], int] = {}
-    of = np.array([index.setdefault(p, len(index)) for p, _, _ in real])
-    n = np.bincount(of)
-    length = np.bincount(of, [len(s) for _, s, _ in real]) / n
-    stops = np.bincount(of, [len(PUNCTUATION.findall(s)) for _, s, _ in real]) / n
-    fused = np.sqrt(_smooth(length[of]) * (_smooth(stops[of]) + 0.1))
-    path_ratio = np.bincount(of, fused) / n
+    index, of, path_ratio, spread = _ratios([(p, s) for p, s, _ in real])
     kept = np.zeros(len(index), bool)
     kept[of[[not out for _, _, out in real]]] = True
     if not kept.any():
         return set()
-    limit = min(float(fused.std()), float(path_ratio[kept].max()))
+    limit = min(spread, float(path_ratio[kept].max()))
     return {p for p, i in index.items() if kept[i] and path_ratio[i] >= limit}
 
 

@@ -203,3 +203,24 @@ def test_the_articles_own_header_stays():
     body = f"<div class='entry-header'><h1>The headline</h1><p class='byline'>By someone.</p></div><div class='entry-content'><p>{ARTICLE}</p></div><div class='page-header'><p>The site, daily.</p></div>"
     for inner in (f"<article>{body}</article>", f"<main><div class='post'>{body}</div></main>"):
         assert main_text.main_text(page(inner)) == "The headline By someone. First words, of the story. They go on, with some marks & signs."
+
+
+STORY = f"<h2>A headline</h2><p>{ARTICLE}</p><p>{ARTICLE}</p>"
+STORY_TEXT = "A headline" + 2 * " First words, of the story. They go on, with some marks & signs."
+
+
+@pytest.mark.parametrize("start, end", [("<div class='has-sidebar'>", "</div>"), ("<form id='aspnetForm' action='/'>", "</form>"), ("<div id='search-page'><form>", "</form></div>"), ("<div class='sidebar'>", "</div>")])
+def test_a_named_wrapper_keeps_the_article(start, end):
+    menu, notice = "<nav><a href='/a'>Menu one</a></nav>", "<div class='cookie-notice'>We use cookies, as all do. Accept them, please.</div>"
+    for inner in (f"<article>{STORY}</article>", f"<main>{STORY}</main>", f"<div class='text'>{STORY}</div>"):
+        assert main_text.main_text(page(f"{start}{menu}{inner}{notice}{end}")) == STORY_TEXT
+        assert main_text.main_text(page(f"{notice}{start}{inner}{end}<footer>All rights, reserved.</footer>")) == STORY_TEXT
+
+
+@pytest.mark.parametrize("name", ["related-work", "discussion", "search-methods"])
+def test_a_named_section_of_the_article_stays(name):
+    section = f"<section id='{name}'><h3>More on it</h3><p>{ARTICLE}</p></section>"
+    want = f"{STORY_TEXT} More on it First words, of the story. They go on, with some marks & signs."
+    assert main_text.main_text(page(f"<article>{STORY}{section}</article>")) == want
+    readers = "<section id='comments'><p>Nice, I like it. Very much, in fact.</p></section><div class='related-posts'><p>Another story, in short. Read it, please.</p></div>"
+    assert main_text.main_text(page(f"<article>{STORY}{section}{readers}</article>")) == want
