@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, main_text, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
+from . import chat, collocations, decontaminate, line_dedup, main_text, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,28 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_collocations", rf"""
+with p as (select coalesce(lang, 'und') as lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+  o as (select lang, w[i] as x, w[i + 1] as y, w[i + 2] as z from (select lang, w, unnest(range(1, len(w) + 1)) as i from p)),
+  n as (select lang, count(*) as n from o group by lang),
+  f as materialized (select lang, 1 as size, x as phrase, x, null as y, null as z, count(*) as a from o group by lang, x
+    union all select lang, 2, x || ' ' || y, x, y, null, count(*) from o where y is not null group by lang, x, y
+    union all select lang, 3, x || ' ' || y || ' ' || z, x, y, z, count(*) from o where z is not null group by lang, x, y, z),
+  c as materialized (select lang, phrase, size, a, 1 as k, x as l, case when size = 2 then y else y || ' ' || z end as r from f where size > 1 and a >= 10
+    union all select lang, phrase, size, a, 2, x || ' ' || y, z from f where size = 3 and a >= 10),
+  often as materialized (select lang, phrase, a from f where a >= 10),
+  cuts as (select c.lang, c.phrase, c.size, c.a, c.k, lf.a as l, rf.a as r,
+      cast((1000000::hugeint * c.a * c.a) // (lf.a::hugeint * rf.a) as bigint) as score
+    from c join often lf on lf.lang = c.lang and lf.phrase = c.l join often rf on rf.lang = c.lang and rf.phrase = c.r),
+  weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+  longer as (select lang, phrase, max(a) as most from (
+      select lang, x || ' ' || y as phrase, a from f where size = 3 and a >= 10 union all select lang, y || ' ' || z, a from f where size = 3 and a >= 10)
+    group by lang, phrase),
+  kept as (select w.* from weakest w left join longer using (lang, phrase) where size = 3 or most is null or 100 * most < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join n using (lang) qualify rank <= 2000""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))
