@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, line_dedup, main_text, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
+from . import chat, collocations, decontaminate, line_dedup, main_text, merkle, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,46 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 from kept join n using (lang) qualify rank <= 2000""")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))
+
+
+def _merkle_sql(levels: int = 5, source_levels: int = 4) -> str:
+    """Sixteen to the powers given bound the rows of a source and the sources."""
+    fold = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: {fold}), 4294967295)"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(name: str, n: int, group: str) -> list[str]:
+        out = []
+        for k in range(n):
+            sides = [f"coalesce(string_agg(h, '') over (partition by {group}, pos // 16 order by pos rows between {x}), '') as {s}" for s, x in (("lt", "unbounded preceding and 1 preceding"), ("rt", "1 following and unbounded following"))]
+            out.append(f"{name}n{k} as (select *, {', '.join(sides)} from {name}{k})")
+            out.append(f"{name}{k + 1} as (select {group}, pos // 16 as pos, (n + 15) // 16 as n, case when n = 1 then min(h) else sha256(string_agg(h, '' order by pos)) end as h from {name}{k} group by {group}, pos // 16, n)")
+        return out
+
+    def go(walk: str, name: str, n: int, group: str, start: str) -> list[str]:
+        out = [f"{walk}0 as ({start})"]
+        for k in range(n):
+            out.append(f"""{walk}{k + 1} as (select w.* replace (w.pos // 16 as pos, case when x.n = 1 then cur else sha256(x.lt || cur || x.rt) end as cur, case when x.n = 1 then proof else proof || x.lt || x.rt end as proof)
+  from {walk}{k} w join {name}n{k} x on w.{group} is not distinct from x.{group} and w.pos = x.pos)""")
+        return out
+
+    parts = [
+        f"d as (select doc_id, source, {leaf('text')} as leaf, case when {crc} % 5 = 0 then {leaf('low')} end as bad from (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents))",
+        "d0 as (select *, row_number() over (partition by source order by doc_id nulls last, leaf) - 1 as pos from d)",
+        "t0 as (select source, pos, count(*) over (partition by source) as n, leaf as h from d0)",
+        *climb("t", levels, "source"),
+        f"s0 as (select 0 as one, source, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n, h from t{levels})",
+        *climb("s", source_levels, "one"),
+        *go("w", "t", levels, "source", "select *, coalesce(bad, leaf) as cur, '' as proof from d0"),
+        *go("v", "s", source_levels, "one", f"select 0 as one, w.doc_id, w.leaf, s0.h as subroot, s0.pos, w.cur, w.proof from w{levels} w join s0 on w.source is not distinct from s0.source"),
+    ]
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, cur as folded_root, cur = h as verified from v{source_levels}, s{source_levels}"
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, tampered, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
