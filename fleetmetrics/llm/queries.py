@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, line_dedup, main_text, merkle, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
+from . import chat, collocations, decontaminate, line_dedup, main_text, merkle, packing, quality_model, quality_rules, secrets, simhash, substring_dedup, token_counts
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return merkle.manifest(docs, tampered, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
