@@ -36,7 +36,7 @@ NO_LANG = "und"
 #: Bits of one word's number in a window, and windows a task holds before it hands them on.
 BITS, HELD = 21, 3_000_000
 #: Windows in a packed row, and buckets for each shuffle partition.
-PACKED, BUCKETS = 4096, 8
+PACKED, BUCKETS = 4096, 3
 #: Share of the documents in which very frequent pairs are looked for, the share of windows that makes
 #: a pair one, and how many there may be.
 SAMPLED, FREQUENT, MOST_FREQUENT = 0.01, 0.001, 1000
