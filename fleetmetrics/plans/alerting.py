@@ -9,6 +9,7 @@ from ..alerts import state as S
 from ..alerts.evaluate import evaluate
 from ..alerts.rules import Rule
 from ..operators import windows as W
+from ..operators.series import dictionary
 from .registry import DAILY, M, day_grid, epoch, m, query, r
 
 _METRICS = ("click", "view", "error", "purchase", "signup")
@@ -28,12 +29,17 @@ def _rules():
 def _daily(spark, sf, grid):
     """Daily averages as samples of their own."""
     v = W.over_time(m(spark, sf), grid, "1d", ["avg"], ["metric", "host"])
-    labels = F.create_map(F.lit("host"), F.col("host"), F.lit("job"), F.concat(F.lit("j"), F.substring("host", 2, 1)))
-    return v.select("metric", labels.alias("labels"), F.col("t").alias("ts"), F.col("avg").alias("value"))
+    return v.select("metric", _labels().alias("labels"), F.col("t").alias("ts"), F.col("avg").alias("value"))
+
+
+def _labels():
+    return F.create_map(F.lit("host"), F.col("host"), F.lit("job"), F.concat(F.lit("j"), F.substring("host", 2, 1)))
 
 
 def _hits_on(spark, sf, grid):
-    return evaluate(_daily(spark, sf, grid), _rules(), grid, "1d")
+    # the dictionary needs no averages, so it is taken from the samples before them
+    known = dictionary(m(spark, sf).select("metric", "host").distinct().select("metric", _labels().alias("labels")))
+    return evaluate(_daily(spark, sf, grid), _rules(), grid, "1d", known)
 
 
 def _hits(spark, sf):

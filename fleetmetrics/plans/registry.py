@@ -31,9 +31,20 @@ STEP, RANGE = "6h", "1d"
 _DAY = micros("1d")
 
 
+#: First and last instant of the events, by application and folder: one job for all queries of a session.
+_BOUNDS: dict[tuple[str, str], tuple] = {}
+
+
+def bounds(spark: SparkSession, sf: str) -> tuple:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BOUNDS:
+        _BOUNDS[key] = tuple(table(spark, sf, "events").agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first())
+    return _BOUNDS[key]
+
+
 def grid(spark: SparkSession, sf: str, step: str = STEP, first: str = STEP) -> Grid:
     """A grid over all events: from ``first`` after the start of their first day to the end of the last."""
-    times = table(spark, sf, "events").agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    times = bounds(spark, sf)
     lo, hi = (0 if u is None else u // _DAY * _DAY for u in times)
     return Grid(micros(step), lo + micros(first), hi + _DAY)
 
