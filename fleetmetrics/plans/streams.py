@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from .. import drift
 from ..sources.tables import event_samples, table, table_stream
 from ..streaming import ingest, rollup, stateful
-from .registry import DAILY, G, M, epoch, grid, query, r
+from ..timeutil import micros
+from .registry import DAILY, G, M, bounds, epoch, grid, query, r
 
 
 def _stream(spark, sf):
@@ -19,6 +20,16 @@ def _batch(spark, sf):
     return event_samples(table(spark, sf, "events"))
 
 
+def _watermark(spark, sf, back=0):
+    """Where the stream of all events ends with a delay of one hour; ``back`` moves its event times."""
+    newest = bounds(spark, sf)[1]
+    return ingest.final_watermark(None if newest is None else newest - back, "1h")
+
+
+def _since(samples, watermark, size):
+    return samples.where(F.unix_micros("ts") > F.lit(watermark - micros(size)))
+
+
 @query("stream_dedupe", f"with {M} select series_key, count(*) as n, round(sum(value), 4) as total from m group by 1")
 def stream_dedupe(spark, sf):
     """Every sample arrives twice and is kept once."""
@@ -37,7 +48,8 @@ def stream_window(spark, sf):
     def stats(samples):
         return ingest.window_stats(samples, size="1 day", slide="6 hours", delay="1 hour")
 
-    out = ingest.with_open(ingest.run_to_table(stats(_stream(spark, sf)), "window"), stats(_batch(spark, sf)), ["series_key", "t"])
+    w = _watermark(spark, sf, 1)
+    out = ingest.with_open(ingest.run_to_table(stats(_stream(spark, sf)), "window"), stats(_since(_batch(spark, sf), w, "1d")), F.unix_micros("t"), w)
     return out.select("series_key", epoch().alias("t"), r("avg", 9).alias("avg"), r("sum", 4).alias("sum"), "max", "count")
 
 
@@ -81,7 +93,7 @@ def stream_absence(spark, sf):
         return ingest.sessions(samples, gap="4 hours", delay="1 hour")
 
     out = ingest.run_to_table(stretches(_stream(spark, sf)), "absence", conf=ingest.SESSION_CONF)
-    out = ingest.with_open(out, stretches(_batch(spark, sf)), ["series_key", "up_since"])
+    out = ingest.with_open(out, stretches(_batch(spark, sf)), F.unix_micros("last_seen") + micros("4h"), _watermark(spark, sf))
     return out.select("series_key", *[F.unix_micros(c).alias(c) for c in ("up_since", "last_seen", "absent_since")], "samples")
 
 
@@ -101,10 +113,11 @@ def _alert_table(spark, sf):
         return ingest.window_stats(samples, size="1 day", slide="1 day", delay="1 hour")
 
     base = ingest.shared_dir(spark, "daily")
-    days = ingest.with_open(ingest.run_to_table(daily(_stream(spark, sf)), "daily"), daily(_batch(spark, sf)), ["series_key", "t"])
+    w = _watermark(spark, sf, 1)
+    days = ingest.with_open(ingest.run_to_table(daily(_stream(spark, sf)), "daily"), daily(_since(_batch(spark, sf), w, "1d")), F.unix_micros("t"), w)
     days.write.parquet(base)
     evals = spark.readStream.schema(days.schema).parquet(base).select("series_key", "t", (F.col("avg") > 49).alias("active"))
-    states = ingest.run_to_table(stateful.alert_state_stream(evals, "1d", "1d", delay="1 hour"), "alerts")
+    states = ingest.run_to_table(stateful.alert_state_stream(evals, "1d", "1d", delay="0 seconds"), "alerts")
     end = days.agg(F.unix_micros(F.max("t"))).first()[0]
     return stateful.with_silent(states, F.timestamp_micros(F.lit(end).cast("bigint")), "1d")
 
@@ -168,7 +181,8 @@ def stream_drift(spark, sf):
     stateful.each_batch(snapshots(_stream(spark, sf)), hashes, "drift", base)
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("snapshot_ts", T.TimestampType()), T.StructField("hash", T.StringType()), T.StructField("batch", T.LongType())])
     closed = spark.read.schema(schema).parquet(f"{base}/hashes").drop("batch")
-    open_ = drift.settings_hash(snapshots(_batch(spark, sf))).select("host", "snapshot_ts", "hash").join(closed.select("host", "snapshot_ts"), ["host", "snapshot_ts"], "left_anti")
+    w = _watermark(spark, sf)
+    open_ = drift.settings_hash(snapshots(_since(_batch(spark, sf), w, "1d"))).select("host", "snapshot_ts", "hash").where(F.unix_micros("snapshot_ts") > F.lit(w))
     open_.write.parquet(f"{base}/hashes/batch=-1")
     out = ingest.run_to_table(stateful.drift_stream(spark.readStream.schema(schema).parquet(f"{base}/hashes")), "drift-status")
     return out.select("host", F.date_format("snapshot_ts", "yyyy-MM-dd").alias("t"), "hash", "changed", "status")

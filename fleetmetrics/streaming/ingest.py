@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pandas import Timedelta
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import with_previous
 from ..operators.selectors import largest
 from ..session import settings, shared_dir, state_partitions
 from ..timeutil import micros
+from .timers import CONF
 
 
 # sessions of a busy series are merged in every task before the shuffle
@@ -26,7 +27,7 @@ def run_to_table(stream: DataFrame, name: str, path: str | None = None, conf: di
     """
     spark = stream.sparkSession
     base = path or shared_dir(spark, name)
-    with settings(spark, **{"spark.sql.shuffle.partitions": state_partitions(spark)} | (conf or {})):
+    with settings(spark, **{"spark.sql.shuffle.partitions": state_partitions(spark)} | CONF | (conf or {})):
         q = (
             stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/table")
             .trigger(availableNow=True).start()
@@ -40,14 +41,21 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def with_open(closed: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+def final_watermark(newest_us: int | None, delay) -> int:
+    """The last watermark of a finished input, from its newest event time: whole milliseconds, as in Spark."""
+    return 0 if newest_us is None else (newest_us // 1000 - micros(delay) // 1000) * 1000
+
+
+def with_open(closed: DataFrame, batch: DataFrame, end: Column, watermark: int) -> DataFrame:
     """Final flush of a finished input: the rows a stream has emitted, and those it still holds open.
 
-    A stream emits a window or session once its watermark has passed it, so the newest ones stay in
-    its state. ``batch`` is the same frame over the stored samples; of it the rows that the stream
-    has not emitted are added. They are not stored: a stream that goes on will emit them itself.
+    A stream emits a window or session once its watermark has passed the ``end`` of it (microseconds), so
+    those that end later stay in its state. The end of a session has to be told by its last sample: a
+    condition on the session window itself would reach the samples before they are merged. Exactly these are taken from ``batch``, the same frame over the stored
+    samples; whatever the stream owed before its last watermark has to come from the stream. They are
+    not stored: a stream that goes on will emit them itself.
     """
-    return closed.unionByName(batch.select(*closed.columns).join(closed.select(*keys), list(keys), "left_anti"))
+    return closed.unionByName(batch.select(*closed.columns).where(end > F.lit(watermark)))
 
 
 def dedupe(samples: DataFrame, keys: Sequence[str] = ("series_key",), ts: str = "ts", delay="10 minutes") -> DataFrame:

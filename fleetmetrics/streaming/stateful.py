@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from . import timers
 from ..alerts import routing
 from ..session import drop_folder, settings, shared_dir, state_partitions
 from ..timeutil import micros
@@ -26,43 +27,12 @@ def _keyed_schema(df: DataFrame, keys: Sequence[str], extra: list[T.StructField]
 def alert_state_stream(evals: DataFrame, step, hold, keys: Sequence[str] = ("series_key",), delay="10 minutes") -> DataFrame:
     """pending / firing / resolved from a stream of evaluations ``(keys, t, active, value)``.
 
-    State per alert: start of the current activation and the last instant seen.  An evaluation
-    that fails, a missed step, or silence beyond the watermark ends the activation.
+    State per alert: start of the current activation and the last instant. Evaluations wait until the
+    watermark has passed them, so one that comes late, within ``delay``, counts as if it had come in
+    time. One that fails, a missed step, or silence beyond the watermark ends the activation.
     """
-    step_us, hold_us = micros(step), micros(hold)
-    out = _keyed_schema(evals, keys, [T.StructField("t_us", T.LongType()), T.StructField("active_since_us", T.LongType()), T.StructField("alertstate", T.StringType())])
-    names = out.fieldNames()
-
-    def advance(key, pdfs, state):
-        since, last = state.get if state.exists else (None, None)
-        rows = []
-        if state.hasTimedOut:
-            if since is not None and last - since >= hold_us:
-                rows.append((*key, last + step_us, since, "resolved"))
-            state.remove()
-            yield pd.DataFrame(rows, columns=names)
-            return
-        # one key has one row for each evaluation step of the micro-batch
-        batch = pd.concat(list(pdfs)).sort_values("t_us", kind="stable")
-        for t, active in zip(batch["t_us"].tolist(), batch["active"].tolist()):
-            if last is not None and t <= last:
-                continue  # already evaluated
-            if since is not None and (not active or t - last > step_us):
-                if last - since >= hold_us:
-                    rows.append((*key, last + step_us, since, "resolved"))
-                since = None
-            if active:
-                since = t if since is None else since
-                rows.append((*key, t, since, "firing" if t - since >= hold_us else "pending"))
-            last = t
-        state.update((since, last))
-        # silent series end here: a firing one is resolved, and the state is dropped
-        state.setTimeoutTimestamp(max((last + step_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=names)
-
-    flat = evals.withWatermark("t", delay).select(*keys, "t", F.unix_micros("t").alias("t_us"), F.col("active").cast("boolean").alias("active"))
-    states = flat.groupBy(*keys).applyInPandasWithState(advance, out, "since long, last long", "append", GroupStateTimeout.EventTimeTimeout)
-    return states.select(*keys, F.timestamp_micros("t_us").alias("t"), F.timestamp_micros("active_since_us").alias("active_since"), "alertstate")
+    held = evals.withColumn("hold", F.lit(micros(hold) // 1_000_000))
+    return timers.alert_states(held, step, keys, delay=delay).drop("changed")
 
 
 def with_silent(states: DataFrame, end: Column, step, keys: Sequence[str] = ("series_key",)) -> DataFrame:
