@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import alerting, dictionary, fleet, grouping, joining, ranges, reporting, scalars, selecting, snapshots, streams, timed  # noqa: F401
+from . import alerting, dictionary, fleet, grouping, joining, ranges, reporting, scalars, scaled, selecting, snapshots, streams, timed  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators.selectors import overdue
 from .session import drop_folder
@@ -56,3 +57,61 @@ def merge_refreshed(kept: DataFrame, fresh: DataFrame, changed: DataFrame, parti
     """The stored result with the changed partitions taken from ``fresh``."""
     old = kept.join(changed.select(partition).distinct(), partition, "left_anti")
     return old.unionByName(fresh)
+
+
+def fingerprints(source: DataFrame, partition: str) -> DataFrame:
+    """(partition, rows, print_a, print_b): an order-independent fingerprint of every partition.
+
+    Two sums of 64-bit hashes over whole rows: rows in any order and in any files give the same, a row
+    more, less or changed gives another; a repeated row counts twice, unlike in an exclusive or. One
+    aggregation with partial sums, whatever the sizes of the partitions are.
+    """
+
+    def plain(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.to_json(F.array_sort(F.map_entries(c))) if isinstance(f.dataType, T.MapType) else c
+
+    # a null passes through a hash unseen, so which columns are null is hashed as well
+    columns = [plain(f) for f in source.schema.fields]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    wide = "decimal(38,0)"
+    return source.groupBy(partition).agg(
+        F.count("*").alias("rows"), F.sum(F.xxhash64(nulls, *columns).cast(wide)).alias("print_a"), F.sum(F.xxhash64(*columns, nulls, F.lit("b")).cast(wide)).alias("print_b"),
+    )
+
+
+def detect(prints: DataFrame, manifest: DataFrame, partition: str) -> DataFrame:
+    """(partition, status) of partitions that are ``new``, ``changed`` or ``vanished`` since the manifest."""
+    old = manifest.select(F.col(partition).alias("_p"), F.struct("rows", "print_a", "print_b").alias("_old"))
+    now = prints.select(partition, F.struct("rows", "print_a", "print_b").alias("_now"))
+    both = now.join(old, F.col(partition).eqNullSafe(F.col("_p")), "full")
+    status = F.when(F.col("_old").isNull(), "new").when(F.col("_now").isNull(), "vanished").when(F.col("_old") != F.col("_now"), "changed")
+    return both.select(F.when(F.col("_now").isNull(), F.col("_p")).otherwise(F.col(partition)).alias(partition), status.alias("status")).where("status is not null")
+
+
+def refresh_detected(spark: SparkSession, source: DataFrame, target: str, partition: str, manifest: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Find changed and vanished partitions by their fingerprints, refresh them, and return ``detect``.
+
+    The manifest is a folder of versions; the newest finished one counts, and a new one is written after
+    the refresh. A run that dies in between is repeated by the next, which finds the same changes and
+    overwrites the same partitions. The source is read once for the fingerprints and, in its changed
+    partitions, once for the result.
+    """
+    version = _newest(spark, manifest)
+    path = f"{manifest}/version={0 if version is None else version + 1}"
+    pending = f"{manifest}/pending"  # fingerprints of this run, which become the version at its end
+    fingerprints(source, partition).write.mode("overwrite").parquet(pending)
+    prints = spark.read.parquet(pending)
+    old = prints.limit(0) if version is None else spark.read.schema(prints.schema).parquet(f"{manifest}/version={version}")
+    found = detect(prints, old, partition)
+    refresh_partitions(spark, source, target, partition, found, compute)
+    prints.write.mode("overwrite").parquet(path)
+    return found
+
+
+def _newest(spark: SparkSession, manifest: str) -> int | None:
+    """The newest version whose writing was finished."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "version=*/_SUCCESS"))
+    return max((int(x.getPath().getParent().getName().split("=")[1]) for x in done or ()), default=None)
