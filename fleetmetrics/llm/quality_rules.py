@@ -1,9 +1,11 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. Votes are counted by pattern: at
-most 3 ** rules rows whatever the corpus holds, and the only thing the driver sees. Expectation
-maximisation over these counts estimates how often each rule votes either way on good documents and
-on each kind of bad ones; the posterior of being good replaces the demand that all rules pass.
+Each rule votes good, suspect or bad on a document, or abstains. The two thresholds of a measure are one
+rule with graded votes, not two rules that always agree. Votes are counted by pattern: at most
+4 ** rules rows whatever the corpus holds, and the only thing the driver sees. Expectation maximisation
+over these counts estimates how often each rule votes which way on good documents and on each kind of
+bad ones. The posterior of being good replaces the demand that all rules pass: a vote that turns up on
+good documents as often as on others says little, however bad it sounds.
 """
 
 from __future__ import annotations
@@ -75,56 +77,67 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+#: Votes are codes without an order; ``LEVELS`` are the ones that say something.
+BAD, NONE, GOOD, SUSPECT = -1, 0, 1, 2
+LEVELS = (BAD, SUSPECT, GOOD)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Bad where ``bad`` holds, else good where ``good`` holds, else no vote."""
+    """Bad where ``bad`` holds, else suspect where ``suspect`` holds, else good where ``good`` holds."""
 
     name: str
     bad: Column
+    suspect: Column
     good: Column
 
 
 def rules() -> list[Rule]:
-    """Shares are of words or of the characters in words; a text without words gets no good vote."""
+    """Shares are of words or of the characters in words; a text without words gets no good vote.
+
+    What depends on one another by construction is one rule: a repeated line repeats its words too. A
+    short text has its first words' capitals in a larger share, so a few are free.
+    """
     words, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
-    some = words >= 20
+    some, kinds, length = words >= 20, F.col("n_kinds"), chars / F.greatest(words, F.lit(1))
     return [
-        Rule("symbols", F.col("n_symbols") > 0.03 * chars, some & (F.col("n_symbols") <= 0.005 * chars)),
-        Rule("shouting", F.col("n_shouts") > 0.1 * F.greatest(words, F.lit(1)), some & (F.col("n_shouts") <= 0.02 * words)),
-        Rule("capitals", F.col("n_upper") > 0.3 * chars, some & (F.col("n_upper") <= 0.1 * chars)),
-        Rule("repeats", F.col("n_repeat_words") > 0.5 * words, some & (F.col("n_repeat_words") <= 0.25 * words)),
-        Rule("variety", (words >= 50) & (F.col("n_kinds") < 0.1 * F.least(words, F.lit(2000))), some & (F.col("n_kinds") >= 0.25 * F.least(words, F.lit(400)))),
-        Rule("lines", (F.col("n_lines") > 4) & (F.col("n_dup_lines") > 0.5 * F.col("n_lines")), some & (F.col("n_dup_lines") <= 0.2 * F.col("n_lines"))),
-        Rule("word length", (words >= 10) & ((chars < 2.0 * words) | (chars > 15 * words)), some & (chars >= 3.0 * words) & (chars <= 12 * words)),
+        Rule("symbols", F.col("n_symbols") > 0.03 * chars, F.col("n_symbols") > 0.005 * chars, some),
+        Rule("shouting", F.col("n_shouts") > 0.1 * F.greatest(words, F.lit(1)), F.col("n_shouts") > 0.02 * words, some),
+        Rule("capitals", F.col("n_upper") > 0.3 * chars, F.col("n_upper") > 0.03 * chars + 6, some),
+        Rule("repetition", (F.col("n_repeat_words") > 0.5 * words) | ((F.col("n_lines") > 4) & (F.col("n_dup_lines") > 0.5 * F.col("n_lines"))), (F.col("n_repeat_words") > 0.02 * words) | (F.col("n_dup_lines") > 0), some),
+        Rule("variety", (words >= 50) & (kinds < 0.1 * F.least(words, F.lit(2000))), (words >= 50) & (kinds < 0.5 * F.least(words, F.lit(400))), some),
+        Rule("word length", (words >= 10) & ((length < 2) | (length > 15)), some & ((length < 4.3) | (length > 6.5)), some),
+        Rule("shortness", words < 10, words < 100, some),
     ]
 
 
 def votes(measured: DataFrame) -> DataFrame:
-    return measured.withColumns({f"vote_{i}": F.when(r.bad, F.lit(-1)).when(r.good, F.lit(1)).otherwise(F.lit(0)) for i, r in enumerate(rules())})
+    return measured.withColumns({f"vote_{i}": F.when(r.bad, F.lit(BAD)).when(r.suspect, F.lit(SUSPECT)).when(r.good, F.lit(GOOD)).otherwise(F.lit(NONE)) for i, r in enumerate(rules())})
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Class 0 is good; class c is bad in the way that rule c - 1 looks for.
+    """Class 0 is good; class c is bad in the way that rule c - 1 looks for, with whatever else goes with it.
 
-    ``prior`` has the log share of each class, ``logs`` for each class and rule the log probability
-    of a good and of a bad vote, given that the rule votes.
+    ``prior`` has the log share of each class, ``logs`` for each class and rule the log probabilities of
+    a bad, a suspect and a good vote, given that the rule votes.
     """
 
     prior: tuple[float, ...]
-    logs: tuple[tuple[tuple[float, float], ...], ...]
+    logs: tuple[tuple[tuple[float, ...], ...], ...]
 
     def likelihoods(self, votes: list) -> list:
         """log(share x likelihood) of each class; an abstention says nothing."""
-        return [p + sum((up if v > 0 else down) for (up, down), v in zip(c, votes, strict=True) if v) for p, c in zip(self.prior, self.logs, strict=True)]
+        return [p + sum(at[LEVELS.index(v)] for at, v in zip(c, votes, strict=True) if v != NONE) for p, c in zip(self.prior, self.logs, strict=True)]
 
     def posterior(self) -> Column:
         """The probability of class 0 as an expression over the vote columns."""
 
         def score(c: int) -> Column:
             out = F.lit(self.prior[c])
-            for i, (up, down) in enumerate(self.logs[c]):
-                out = out + F.when(F.col(f"vote_{i}") == 1, up).when(F.col(f"vote_{i}") == -1, down).otherwise(0.0)
+            for i, at in enumerate(self.logs[c]):
+                vote = F.col(f"vote_{i}")
+                out = out + F.when(vote == GOOD, at[2]).when(vote == BAD, at[0]).when(vote == SUSPECT, at[1]).otherwise(0.0)
             return out
 
         rest = F.lit(0.0)
@@ -133,50 +146,56 @@ class LabelModel:
         return 1 / (1 + rest)
 
 
-#: A good document seldom gets a bad vote, and a bad one seldom a good vote from its own rule.
-MOST_ALARMS, MOST_MISSES = 0.01, 0.1
+#: Pseudo-votes (bad, suspect, good) that each estimate starts from and keeps: of any rule on good
+#: documents, of a rule on the bad documents it looks for, and of other rules on those. They are a few
+#: dozen votes against all of the corpus, and settle only what the corpus cannot tell, such as whether
+#: documents with a bad vote that goes with no other vote are bad.
+GOOD_VOTES, OWN_VOTES, OTHER_VOTES = (0.1, 5.0, 44.9), (8.0, 1.5, 0.5), (0.5, 1.5, 8.0)
+#: The share of bad documents at the start.
+BAD_SHARE = 0.1
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60) -> LabelModel:
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100) -> LabelModel:
     """Expectation maximisation over counted vote patterns.
 
-    Rules are dependent among bad documents (what shouts seldom repeats), so each rule has a class
-    of bad documents of its own; within a class votes are taken as independent. Starts from nine
-    good documents in ten and rules that are right 49 times in 50. The two bounds above keep the
-    classes apart; counts are smoothed by a half, so an empty table gives a model as well.
+    Rules are dependent among bad documents (what shouts also repeats), so the bad are a mixture: each
+    rule starts a class, in which all rules may come to vote any way; within a class votes are taken as
+    independent. No estimate is bounded. An empty table gives the model of the pseudo-votes.
     """
-    def model(shares: list[float], good: list[list[float]]) -> LabelModel:
-        return LabelModel(tuple(math.log(x) for x in shares), tuple(tuple((math.log(p), math.log(1 - p)) for p in c) for c in good))
-
     classes = range(n_rules + 1)
-    now = model([0.9] + [0.1 / n_rules] * n_rules, [[0.1 if c == i + 1 else 0.98 for i in range(n_rules)] for c in classes])
+    start = [[GOOD_VOTES if c == 0 else OWN_VOTES if c == i + 1 else OTHER_VOTES for i in range(n_rules)] for c in classes]
+    share = [1.0 - BAD_SHARE] + [BAD_SHARE / n_rules] * n_rules
+    coded = [([LEVELS.index(v) if v != NONE else -1 for v in p], n) for p, n in sorted(patterns)]
+
+    def model(weight: list[float], seen: list[list[list[float]]]) -> LabelModel:
+        total = sum(weight)
+        return LabelModel(tuple(math.log(w / total) for w in weight), tuple(tuple(tuple(math.log(x / sum(s)) for x in s) for s in c) for c in seen))
+
+    now = model(share, [[list(x) for x in c] for c in start])
     for _ in range(rounds):
-        weight = [0.5] * (n_rules + 1)
-        seen = [[[0.5, 0.5] for _ in range(n_rules)] for _ in classes]
-        for pattern, n in patterns:
-            at = now.likelihoods(list(pattern))
+        weight, seen = list(share), [[list(x) for x in c] for c in start]
+        for pattern, n in coded:
+            at = [p + sum(r[v] for r, v in zip(c, pattern, strict=True) if v >= 0) for p, c in zip(now.prior, now.logs, strict=True)]
             most = max(at)
-            share = [math.exp(x - most) for x in at]
-            total = sum(share)
+            odds = [math.exp(x - most) for x in at]
+            total = sum(odds)
             for c in classes:
-                part = n * share[c] / total
+                part = n * odds[c] / total
                 weight[c] += part
                 for i, v in enumerate(pattern):
-                    if v:
-                        seen[c][i][v < 0] += part
-        good = [[s[0] / (s[0] + s[1]) for s in c] for c in seen]
-        good[0] = [max(1 - MOST_ALARMS, p) for p in good[0]]
-        for i in range(n_rules):
-            good[i + 1][i] = min(MOST_MISSES, good[i + 1][i])
-        now = model([w / sum(weight) for w in weight], [[min(1 - 1e-6, max(1e-6, p)) for p in c] for c in good])
+                    if v >= 0:
+                        seen[c][i][v] += part
+        now = model(weight, seen)
     return now
 
 
-def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """doc_id, the base figures, whether the base rules fail, the posterior and the verdict.
+def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5, votes_too: bool = False) -> DataFrame:
+    """doc_id, the base figures, whether the base rules fail, the posterior and the verdict, and the
+    votes if wanted.
 
-    Null and empty texts have no word and fail the base rules. Repeated rows are judged each, a null
-    doc_id stays null, an empty table gives no row.
+    Null and empty texts have no word and fail the base rules; a very long text is measured whole.
+    Repeated rows are judged each, a null doc_id stays null, further columns are ignored whatever their
+    names, an empty table gives no row.
     """
     m = measures(F.col("t"))
     measured = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).select("doc_id", *[c.alias(n) for n, c in m.items()])
@@ -188,5 +207,5 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-        (~base & (model.posterior() >= threshold)).alias("kept"), model.posterior().alias("posterior"),
+        (~base & (model.posterior() >= threshold)).alias("kept"), model.posterior().alias("posterior"), *(names if votes_too else []),
     )
