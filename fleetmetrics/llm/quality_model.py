@@ -54,11 +54,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     count = np.bincount(passage, minlength=n).astype(np.float64)
     out = np.zeros((n, N_FEATURES), np.float32)
     if len(start):
-        # bytes belong to the passage of the word before them; those before a text's first word to none
-        lead = np.append(start, len(data))
-        spans = np.diff(lead)
+        # bytes belong to the passage of the word before them, up to the end of its own text; those before
+        # a text's first word, and the byte between two texts, to none
+        stops = np.minimum(np.append(start[1:], len(data)), ends[doc] - 1)
+        spans = stops - start
         of_byte = np.repeat(passage, spans)
-        body = kind[start[0] :]
+        body = kind[np.repeat(start - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))]
         shares = np.bincount(of_byte * len(KINDS) + body, minlength=n * len(KINDS)).reshape(n, -1)
         size = np.maximum(1, shares.sum(1))
         out[:, : len(KINDS)] = shares / size[:, None]
@@ -154,24 +155,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 6000, bag: int = 128) -> Model:
-    """Learn from at most ``sample`` labelled documents that are not held out (those with the smallest
-    hash of doc_id), and at most ``bag`` passages of each, evenly spaced. Null labels are left out;
-    of several labels of a document the mean decides, a half being good. Without both labels in the
-    sample every document gets the same score."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 6000) -> Model:
+    """Learn from all passages of at most ``sample`` labelled documents that are not held out (those with
+    the smallest hash of doc_id). Null labels are left out; of several labels of a document the mean
+    decides, a half being good, and of several rows with its doc_id the one with the smallest hash of
+    its text counts. Without both labels in the sample every document gets the same score."""
     known = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out("i"))
     chosen = known.groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
     few = docs.select(F.col(doc_id).cast("long").alias("i"), text_bytes(text).alias("t")).join(F.broadcast(chosen), "i")
+    # all features of a document, however many rows have its doc_id; only the sample is shuffled
+    few = few.groupBy("i", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("one")).select("i", "y", "one.t")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "t", 512 << 10):
                 x, bags = passages(piece.column("t").to_pylist())
                 cut = np.cumsum(bags)
-                kept = [x[e - b : e][np.unique(np.linspace(0, b - 1, min(b, bag)).astype(int))] for e, b in zip(cut, bags, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("i"), piece.column("y"), pa.array([k.astype(np.float32).tobytes() for k in kept], pa.binary())], ["i", "y", "x"])
+                own = [x[e - b : e].astype(np.float32).tobytes() for e, b in zip(cut, bags, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("i"), piece.column("y"), pa.array(own, pa.binary())], ["i", "y", "x"])
 
-    rows = sorted((r.i, r.y, bytes(r.x)) for r in few.mapInArrow(describe, "i long, y int, x binary").limit(2 * sample).collect())
+    rows = sorted((r.i, r.y, bytes(r.x)) for r in few.mapInArrow(describe, "i long, y int, x binary").collect())
     y = np.array([r[1] for r in rows], np.float64)
     if len(set(y)) < 2:
         x = np.zeros((1, N_FEATURES))
@@ -182,7 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Add the probability of label 1 for every whole text. Null and empty texts are a bag of one
-    passage without words; repeated rows get equal scores; an empty table stays empty."""
+    passage without words, a very long text is a bag of all its passages; repeated rows get equal
+    scores, whatever other rows are scored with them; a column named as ``into`` is replaced, others
+    stay; an empty table stays empty."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -144,6 +144,33 @@ def test_passages_cover_whole_texts():
     assert np.allclose(np.concatenate(alone), x)
 
 
+def test_a_text_is_described_alone():
+    """No byte of a neighbour counts, be it white space or not."""
+    text = " ".join(f"good words here {i}." for i in range(20)).encode()
+    alone = quality_model.passages([text])[0]
+    for after in (b"   \n\n x", b"", b" " * 5000, b"\t" * 9, b"!!! ###"):
+        for texts, at in (([text, after], 0), ([after, text], 1), ([after, text, after], 1)):
+            x, bags = quality_model.passages(texts)
+            first = int(bags[:at].sum())
+            assert np.array_equal(x[first : first + bags[at]], alone), (after, at)
+    assert not np.array_equal(quality_model.passages([text + b"   \n"])[0], alone)  # its own white space counts
+
+
+def test_training_reads_all_passages_of_unique_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda x, bags, y, **kw: seen.append((x.shape, bags, y)))
+    long = " ".join(f"w{i}" for i in range(30_000))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(ids[0], long)] + [(i, f"text {i}") for i in ids for _ in range(3)] + [(ids[1], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 2, "doc_id long, quality int")
+    quality_model.fit(docs, labels, sample=len(ids))
+    shape, bags, y = seen[0]
+    assert len(bags) == len(y) == len(ids) and shape[0] == bags.sum() and max(bags) in (1, 600)
+    other = next(i for i in ids if i % 2 != ids[0] % 2 and i != ids[1])  # both labels are needed
+    quality_model.fit(docs.where(F.length("text") > 1000).union(docs.where(F.col("doc_id") == other)), labels, sample=len(ids))
+    assert sorted(seen[1][1]) == [1, 600]
+
+
 def test_gradient_of_attention():
     """One step on one bag changes the weights along the numeric gradient."""
     rng = np.random.default_rng(0)
