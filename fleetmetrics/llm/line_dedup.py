@@ -26,21 +26,28 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, free_names, pieces, stored, text_bytes
 
+#: Words of the shortest run that is deleted unless said otherwise; with 1, any repeated line with a word is.
 MIN_WORDS = 8
+_HALF = 2**64 - 1
 
 
 def line_hashes(text: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Number, 64-bit hash and words of every line that has a word (outer white space aside)."""
+    """Number, 128-bit hash and words of every line that has a word (outer white space aside)."""
     at, hashes, words = [], [], []
     for k, line in enumerate(text.split(b"\n")):
         n = len(line.split())
         if n:
             at.append(k)
-            hashes.append(xxhash.xxh3_64_intdigest(line.strip()))
+            hashes.append(xxhash.xxh3_128_intdigest(line.strip()))
             words.append(n)
     return at, hashes, words
 
 
+def halves(hashes: list[int]) -> list[np.ndarray]:
+    """The upper and lower 64 bits of hashes; windows select among the upper ones, runs compare both."""
+    return [np.array([x >> shift & _HALF for x in hashes], np.uint64).view(np.int64) for shift in (64, 0)]
+
+
 def windows(words: list[int], least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Shortest runs (start, end) with ``least`` words: for each end, and for each start, that has one."""
     ending, beginning = [], []
@@ -82,8 +89,8 @@ def fingerprints(hashes: list[int], ending: list[tuple[int, int]]) -> dict[int,
 
 
 def window_keys(hashes: list[int], spans: list[tuple[int, int]]) -> list[bytes]:
-    data = np.array(hashes, np.uint64).tobytes()
-    return [xxhash.xxh3_128_digest(data[8 * s : 8 * e]) for s, e in spans]
+    data = b"".join(x.to_bytes(16) for x in hashes)
+    return [xxhash.xxh3_128_digest(data[16 * s : 16 * e]) for s, e in spans]
 
 
 def repeats_within(hashes: list[int], spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
@@ -122,8 +129,8 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "t"):
-                rows = [line_hashes(t.as_py())[1:] for t in piece.column("t")]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("tie"), pa.array([np.array(h, np.uint64).view(np.int64) for h, _ in rows], pa.list_(pa.int64())), pa.array([w for _, w in rows], pa.list_(pa.int32()))], ["id", "tie", "h", "w"])
+                rows = [(*halves(h), w) for _, h, w in (line_hashes(t.as_py()) for t in piece.column("t"))]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("tie"), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (0, 1)), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["id", "tie", "h", "h2", "w"])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +146,10 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
         for batch in batches:
             rows: list[tuple] = []
             keys: list[bytes] = []
-            for i, tie, h, w, near in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "h", "w", "near")), strict=True):
+            for i, tie, h, h2, w, near in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "h", "h2", "w", "near")), strict=True):
                 spans, ending = _spans(w, min_words)
                 shared, of = set(near), fingerprints(h, ending)
-                hashes = [x % 2**64 for x in h]
+                hashes = [(a & _HALF) << 64 | b & _HALF for a, b in zip(h, h2, strict=True)]
                 for s, e, key in repeats_within(hashes, [x for x in spans if of[x[1]] in shared])[1]:
                     rows.append((i, tie, s, e))
                     keys.append(key)
@@ -152,14 +159,14 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["k1", "k2", "id", "tie", "s", "e"])
 
     texts = docs.select(doc_key(doc_id).alias("id"), F.xxhash64(text).alias("tie"), text_bytes(text).alias("t"))
-    lines = stored(texts.mapInArrow(hashed, "id long, tie long, h array<long>, w array<int>").where(F.size("h") > 0), "lines")
+    lines = stored(texts.mapInArrow(hashed, "id long, tie long, h array<long>, h2 array<long>, w array<int>").where(F.size("h") > 0), "lines")
     if not lines.groupBy("id", "tie").count().where("count > 1").isEmpty():
         lines = stored(lines.dropDuplicates(["id", "tie"]), "unlike-lines")  # equal rows have the same runs
-    prints = lines.mapInArrow(select, "fp long, id long, tie long")
+    prints = lines.select("id", "tie", "h", "w").mapInArrow(select, "fp long, id long, tie long")
     # stored, so that a join that meets a hot line has two plain sides and can be split
     shared = stored(prints.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("fp"), "shared-lines")
     near = stored(prints.join(shared, "fp").groupBy("id", "tie").agg(F.collect_set("fp").alias("near")), "near-lines")
-    found = stored(lines.join(near, ["id", "tie"]).select("id", "tie", "h", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie long, s int, e int"), "line-windows")
+    found = stored(lines.join(near, ["id", "tie"]).select("id", "tie", "h", "h2", "w", "near").mapInArrow(extend, "k1 long, k2 long, id long, tie long, s int, e int"), "line-windows")
     first = stored(found.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "first-lines")
     later = found.join(first, ["k1", "k2"]).where("id > lo").select("id", "tie", F.struct("s", "e").alias("run")).distinct()
     return later.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))

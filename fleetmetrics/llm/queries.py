@@ -40,7 +40,7 @@ with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l
   d as (select doc_id, list(s order by i) as ls, list(upto order by i) as u, count(*) as n_lines from n group by doc_id),
   r as (select doc_id, i, i + k as e, array_to_string(ls[i:i+k], chr(10)) as key
     from (select doc_id, ls, u, n_lines, unnest(range(1, n_lines + 1)) as i from d), (select unnest(range(0, 8)) as k)
-    where i + k <= n_lines and u[i + k] - coalesce(u[i - 1], 0) >= 8),
+    where i + k <= n_lines and u[i + k] - coalesce(u[i - 1], 0) >= 1),
   f as (select *, first_value(doc_id) over p as d0, first_value(i) over p as i0 from r window p as (partition by key order by doc_id, i)),
   gone as (select distinct doc_id, unnest(range(i, e + 1)) as i from f where doc_id > d0 or i > i0),
   kept as (select full_.doc_id, full_.no, full_.line, full_.w, gone.i is not null as out
@@ -50,7 +50,7 @@ select doc_id, count(*) filter (w > 0) as n_lines, count(*) filter (out) as n_re
 from kept group by doc_id""")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kept = line_dedup.dedup_lines(docs, removed="n_removed")
+    kept = line_dedup.dedup_lines(docs, min_words=1, removed="n_removed")
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
     return kept.select("doc_id", (F.size(lines) + F.col("n_removed")).cast("long").alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
