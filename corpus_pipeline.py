@@ -29,11 +29,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines. One that loses all its words that way goes; one
+    """Documents without later repeated lines, alone or in runs. One that loses all its words that way goes; one
     that had none to begin with stays. ``n_chars`` follows a changed text."""
     ship(spark)
     (removed,) = free_names(docs, "n_removed")
-    cut = line_dedup.dedup_lines(docs, removed=removed)
+    cut = line_dedup.dedup_lines(docs, min_words=1, removed=removed)
     left = cut.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
