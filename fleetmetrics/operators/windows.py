@@ -367,8 +367,11 @@ def irate_of(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def idelta(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_key",), **kw) -> DataFrame:
     """Difference of the last two samples of the window; may be negative."""
-    v = F.col("last_v") - F.col("pen_v")
-    return _last_two(range_states(samples, grid, window, keys, **kw)).select(*keys, "t", v.alias("value"))
+    return idelta_of(range_states(samples, grid, window, keys, **kw), keys)
+
+
+def idelta_of(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return _last_two(states).select(*keys, "t", (F.col("last_v") - F.col("pen_v")).alias("value"))
 
 
 def changes(samples: DataFrame, grid: Grid, window, keys: Sequence[str] = ("series_key",), **kw) -> DataFrame:

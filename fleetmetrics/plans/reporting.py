@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refresh
+from ..reports.dashboard import dashboard
 from ..reports.panels import Panel, evaluate_panel
 from ..session import shared_dir
 from ..sources import logs, samples as smp
@@ -94,6 +95,34 @@ def panel_top(spark, sf):
     return _panel(spark, sf, _labelled(m(spark, sf)), Panel("purchase", scale=512, above=40000))
 
 
+_HOSTS = "concat('{\"host\":\"', host, '\"}')"
+
+
+@query(
+    "dashboard_pass",
+    f"""with {_I}, w as (select metric, host, t, avg(value) as av, sum(value) as s, max(value) as hi, sum(case when p is null then 0 when value < p then value else value - p end) as grown, count(*) as n
+      from (select metric, host, t, value, lag(value) over (partition by metric, host, t order by ts, event_id) as p from g join m on m.ts > g.t - interval 1 day and m.ts <= g.t) group by 1, 2, 3),
+    x as (select 'newest' as panel, {_HOSTS} as series_key, t, v as value from i where metric = 'click' and host in ('h1', 'h2')
+      union all select 'scaled', {_HOSTS}, t, v * 512 from i where metric = 'purchase' and v * 512 > 40000
+      union all select 'free', {_HOSTS}, t, 100 - 100 * (max(case when metric = 'click' then v end) / max(case when metric = 'view' then v end)) from i
+        where metric in ('click', 'view') group by host, t having count(*) = 2 and max(case when metric = 'view' then v end) <> 0
+      union all select 'hosts', '{{}}', t, count(distinct host) from i where metric = 'error' group by t
+      union all select 'average', {_HOSTS}, t, av from w where metric = 'view'
+      union all select 'total', '{{}}', t, sum(s) from w where metric = 'signup' and host <> 'h3' group by t
+      union all select 'highest', '{{}}', t, max(hi) from w where metric = 'error' group by t)
+    select panel, series_key, cast(epoch(t) as bigint) as t, round(value, 9) as value from x""",
+)
+def dashboard_pass(spark, sf):
+    """Seven panels of one window from one scan and one set of states."""
+    panels = {
+        "newest": Panel("click", vars=(("node", "host", "=~"),)), "scaled": Panel("purchase", scale=512, above=40000), "free": Panel("click", metric2="view", form="free_pct"),
+        "hosts": Panel("error", agg="groups", by=("host",)), "average": Panel("view", "avg_over_time", RANGE), "total": Panel("signup", "sum_over_time", RANGE, agg="sum", matchers=(("host", "!=", "h3"),)),
+        "highest": Panel("error", "max_over_time", RANGE, agg="max"),
+    }
+    v = dashboard(_one_kind(m(spark, sf)), panels, grid(spark, sf), RANGE, node="h1|h2")
+    return v.select("panel", "series_key", epoch().alias("t"), r("value", 9).alias("value"))
+
+
 # --- stored tables -------------------------------------------------------------------------------
 
 

@@ -92,7 +92,11 @@ def evaluate_panel(samples: DataFrame, p: Panel, grid: W.Grid, lookback: str = "
     chosen = tuple((label, op, picked[arg]) for arg, label, op in p.vars if arg in picked)
     names = [p.metric, *([p.metric2] if p.metric2 else [])]
     raw = as_series(select(samples, names, (*p.matchers, *chosen)))
-    v = _evaluate(raw, p, grid, lookback)
+    return finish_panel(samples, _evaluate(raw, p, grid, lookback), p, grid, lookback)
+
+
+def finish_panel(samples: DataFrame, v: DataFrame, p: Panel, grid: W.Grid, lookback: str = "5m") -> DataFrame:
+    """What a panel does with the values ``(metric, series_key, t, value)`` of its metrics on the grid."""
     if p.metric2 and p.agg_first:
         v = _combine(_aggregate(v, p, ["metric"]), p, (p.metric, p.metric2))
     else:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from helpers import at, labelled
 
@@ -106,3 +108,25 @@ def test_every_metric_read_is_emitted_by_a_block_or_an_exporter():
     block = BLOCKS["table_size"]
     emitted = {f"{PREFIX}table_size_{v}" for v in block.values}
     assert {p.metric for n, p in PANELS.items() if n.startswith("table_size/")} <= emitted
+
+
+def test_a_dashboard_equals_its_panels(spark):
+    from fleetmetrics.reports import dashboard as D
+    from fleetmetrics.reports.panels import Panel
+
+    rnd = random.Random(6)
+    rows = [(m, {"host": h, "job": j}, s, float(rnd.randint(0, 50))) for m in ("a", "b") for h, j in (("x", "1"), ("y", "1"), ("z", "2")) for s in range(5, 1800, rnd.choice([30, 47]))]
+    samples = labelled(spark, rows)
+    grid = Grid.of("2m", at(240), at(1800))
+    panels = {
+        "one": Panel("a"), "pair": Panel("a", metric2="b", form="pct"), "rate": Panel("a", "rate", "4m", agg="sum", by=("job",)), "irate": Panel("b", "irate", "4m", matchers=(("host", "!~", "x|q"),)),
+        "idelta": Panel("a", "idelta", "4m"), "changes": Panel("b", "changes", "4m", agg="max"), "increase": Panel("b", "increase", "6m"), "avg": Panel("a", "avg_over_time", "4m", vars=(("job", "job", "="),)),
+        "min": Panel("b", "min_over_time", "4m", without=("host",), agg="min"),
+    }
+    assert D.groups(panels) == {("plain", 300_000_000): ["one", "pair"], ("ordered", 240_000_000): ["rate", "irate", "idelta", "changes"], ("ordered", 360_000_000): ["increase"], ("plain", 240_000_000): ["avg", "min"]}
+    got = {}
+    for r in D.dashboard(samples, panels, grid, job="1").collect():
+        got.setdefault(r.panel, {})[r.series_key, r.t] = r.value
+    for name, p in panels.items():
+        want = {(r.series_key, r.t): r.value for r in evaluate_panel(samples, p, grid, job="1").collect()}
+        assert got[name] == pytest.approx(want) and want, name
