@@ -2,9 +2,11 @@
 
 Every text node has a path of tags from the root. Text length and punctuation are summed per path
 and divided by its nodes; the two ratios are smoothed over the nodes in page order, fused by their
-geometric mean, and paths above the spread of the page are content. Content paths name a region (the
-article, or what holds them all); headings, lists and short paragraphs of that region belong to it
-as well. Elements that are never an article's text (menus, notices, adverts, comments, ...) are left
+geometric mean, and paths above the spread of the page are content. The region of the article is the
+article element that holds the content, or else is found from the root down: an element is entered as
+long as it holds most of the content, each text on content paths weighing by its length and its path's
+ratio. Parts of the region whose text is mostly not on content paths go; headings, lists and short
+paragraphs between content belong to it. Elements that are never an article's text (menus, notices, adverts, comments, ...) are left
 out first, by tag name or by a word of their class, id or role. A name alone does not decide: a named
 element or form that wraps the page's article, or nearly all text on paths above the threshold, is no
 such element, and neither is a section of an article, named by its id, whose text is above it.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>|<[!?/][^>]*+>", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _ID = re.compile(r"\bid\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
@@ -31,7 +33,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics annotation".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of these ends where one of the same group begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,6 +56,9 @@ WRAPPER = 0.8
 #: A header with one of these before it is the article's own.
 OWN = frozenset("article content entry post story".split())
 REGION = frozenset({"article", "main"})
+#: The share of the content that an element must hold to be entered, and blocks that are text, not parts.
+MOST = 0.75
+TEXT_BLOCKS = HEADINGS | frozenset("p li blockquote pre ul ol dl table tr td".split())
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…،。，、؛؟¿¡]")
 
@@ -120,13 +125,22 @@ def _struck(named: list[Named], nodes: list[tuple[tuple[str, ...], str, bool, tu
 
 def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, left out) for each run of text between tags; a border of blocks is an empty path and text."""
+    return [x[:3] for x in page_nodes(page)]
+
+
+def page_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]]:
+    """``text_nodes`` with the numbers of the elements on each path, which tell elements of one path apart."""
     out: list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, step of the path, left out, named elements around
+    numbers: list[tuple[int, ...]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...], int]] = []  # tag, step of the path, left out, named elements around, number
     named: list[Named] = []
+    count = 0
 
     def text(s: str) -> None:
         if s:
-            out.append((tuple(x[1] for x in stack if x[0] not in INLINE), html.unescape(s), *(stack[-1][2:] if stack else (False, ()))))
+            blocks = [x for x in stack if x[0] not in INLINE]
+            out.append((tuple([x[1] for x in blocks]), html.unescape(s), *(stack[-1][2:4] if stack else (False, ()))))
+            numbers.append(tuple([x[4] for x in blocks]))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -134,11 +148,13 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() not in ("svg", "math"):
+            if m[1] and m[1].lower() != "svg":
                 out.append(((), "", False, ()))
+                numbers.append(())
             continue
         if tag not in INLINE:
             out.append(((), "", False, ()))
+            numbers.append(())
         if m[2] or m[5]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -157,7 +173,7 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-            within, marks = stack[-1][2:] if stack else (False, ())
+            within, marks = stack[-1][2:4] if stack else (False, ())
             region = any(x[0] in REGION for x in stack)
             structural = tag in ("html", "body", "main", "article")
             beside = tag in NEVER or (tag == "header" and not region) or (bool(attributes) and (not structural or (tag == "article" and region)) and bool(_HIDDEN.search(attributes)))
@@ -169,10 +185,11 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                 marks = (*marks, len(named) - 1)
             names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attributes)) if attributes else ""
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, f"{tag}.{names}" if names else tag, within or beside, marks))
+                count += 1
+                stack.append((tag, f"{tag}.{names}" if names else tag, within or beside, marks, count))
     text(page[at:])
     struck = _struck(named, out)
-    return [(p, s, left_out or not struck.isdisjoint(marks)) for p, s, left_out, marks in out]
+    return [(p, s, left_out or not struck.isdisjoint(marks), own) for (p, s, left_out, marks), own in zip(out, numbers, strict=True)]
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -195,69 +212,85 @@ def _ratios(real: list[tuple[tuple[str, ...], str]]) -> tuple[dict[tuple[str, ..
     return index, of, np.bincount(of, fused) / n, float(fused.std())
 
 
-def content_paths(nodes: list[tuple[tuple[str, ...], str, bool]]) -> set[tuple[str, ...]]:
-    """Paths whose smoothed, fused ratio reaches the threshold; all nodes count, those left out too."""
-    real = [(p, s, out) for p, s, out in nodes if s and not s.isspace()]
-    if not real:
-        return set()
-    index, of, path_ratio, spread = _ratios([(p, s) for p, s, _ in real])
-    kept = np.zeros(len(index), bool)
-    kept[of[[not out for _, _, out in real]]] = True
-    if not kept.any():
+def _named_regions(weight: dict[int, float], nodes: list) -> set[tuple[int, ...]]:
+    """The article elements that hold at least half of the content, or the main elements that do."""
+    for tags in (("article",), tuple(REGION)):
+        found: dict[tuple[int, ...], float] = {}
+        for k, w in weight.items():
+            path, _, _, numbers = nodes[k]
+            depth = next((d for d, step in enumerate(path) if step.split(".")[0] in tags), None)
+            if depth is not None:
+                found[numbers[: depth + 1]] = found.get(numbers[: depth + 1], 0.0) + w
+        if found and sum(found.values()) >= 0.5 * sum(weight.values()):
+            return set(found)
+    return set()
+
+
+def _step(nodes: list, k: int, region: tuple[int, ...]) -> tuple[int, ...] | None:
+    """The block inside ``region`` that holds node ``k``; none where text or a block of text follows."""
+    path, _, _, numbers = nodes[k]
+    d = len(region)
+    return numbers[: d + 1] if len(path) > d and numbers[:d] == region and path[d].split(".")[0] not in TEXT_BLOCKS else None
+
+
+def _found_region(weight: dict[int, float], nodes: list) -> tuple[int, ...]:
+    """From the root down, the element that still holds ``MOST`` of the content."""
+    region: tuple[int, ...] = ()
+    total = sum(weight.values())
+    while True:
+        inside: dict[tuple[int, ...], float] = {}
+        for k, w in weight.items():
+            step = _step(nodes, k, region)
+            if step is not None:
+                inside[step] = inside.get(step, 0.0) + w
+        best = max(inside, key=inside.__getitem__, default=None)
+        if best is None or inside[best] < MOST * total:
+            return region
+        region = best
+
+
+def selected(nodes: list[tuple[tuple[str, ...], str, bool, tuple[int, ...]]]) -> set[int]:
+    """The nodes of the article, by position."""
+    real = [k for k, x in enumerate(nodes) if x[1] and not x[1].isspace()]
+    kept = [i for i, k in enumerate(real) if not nodes[k][2]]
+    if not kept:
         return set()
-    limit = min(spread, float(path_ratio[kept].max()))
-    return {p for p, i in index.items() if kept[i] and path_ratio[i] >= limit}
-
-
-def _region(paths: set[tuple[str, ...]], chars: dict[tuple[str, ...], int]) -> list[tuple[str, ...]]:
-    """The article or main element that holds most of the content, or what all large paths share."""
-    total = sum(chars[p] for p in paths)
-    weights: dict[tuple[str, ...], int] = {}
-    for p in paths:
-        for k, step in enumerate(p):
-            if step.split(".")[0] in REGION:
-                weights[p[: k + 1]] = weights.get(p[: k + 1], 0) + chars[p]
-                if step.split(".")[0] == "article":
-                    break
-    articles = {r: w for r, w in weights.items() if r[-1].split(".")[0] == "article"}
-    for found in (articles, weights):
-        if sum(found.values()) >= 0.5 * total and found:
-            return [r for r in found if not any(r != q and r[: len(q)] == q for q in found)]
-    large = [p for p in paths if chars[p] >= 0.1 * total] or list(paths)
-    shared = large[0]
-    for p in large[1:]:
-        k = 0
-        while k < min(len(shared), len(p)) and shared[k] == p[k]:
-            k += 1
-        shared = shared[:k]
-    while shared and shared[-1].split(".")[0] in HEADINGS | {"p", "li", "blockquote", "pre"}:
-        shared = shared[:-1]
-    return [shared]
+    _, of, path_ratio, spread = _ratios([nodes[k][:2] for k in real])
+    ratio = path_ratio[of]
+    limit = min(spread, float(max(ratio[i] for i in kept)))
+    size = [len(" ".join(nodes[k][1].split())) for k in real]
+    weight = {real[i]: size[i] * float(ratio[i]) for i in kept if ratio[i] >= limit}
+    regions = _named_regions(weight, nodes)
+    if regions:
+        depths = {len(r) for r in regions}
+        return {k for k, x in enumerate(nodes) if x[1] and not x[2] and any(x[3][:d] in regions for d in depths)}
+    region = _found_region(weight, nodes)
+    inside = {k for k, x in enumerate(nodes) if x[1] and not x[2] and x[3][: len(region)] == region}
+    # a part of the region is left out if less than half of its text is on content paths
+    parts: dict[tuple[int, ...], list[int]] = {}
+    for i in kept:
+        step = _step(nodes, real[i], region)
+        if step is not None:
+            both = parts.setdefault(step, [0, 0])
+            both[0] += size[i]
+            both[1] += size[i] if ratio[i] >= limit else 0
+    gone = {step for step, (whole, content) in parts.items() if content < 0.5 * whole}
+    return {k for k in inside if nodes[k][3][: len(region) + 1] not in gone}
 
 
 def main_text(page: str) -> str:
     """The text of the article; empty if the page has none."""
-    nodes = text_nodes(page)
-    paths = content_paths(nodes)
-    if not paths:
+    nodes = page_nodes(page)
+    own = selected(nodes)
+    if not own:
         return ""
-    chars: dict[tuple[str, ...], int] = {}
-    for p, s, out in nodes:
-        if not out:
-            chars[p] = chars.get(p, 0) + len(s)
-    regions = _region(paths, chars)
-    parts = []
-    for p, s, out in nodes:
-        if not s:
-            parts.append(" ")  # a border of blocks
-        elif not out and any(p[: len(r)] == r for r in regions):
-            parts.append(s)
-    return " ".join("".join(parts).split())
+    # a border of blocks is a space
+    return " ".join("".join(" " if not x[1] else x[1] for k, x in enumerate(nodes) if not x[1] or k in own).split())
 
 
 def extract(pages: DataFrame, content: str = "html", into: str = "text") -> DataFrame:
-    """Add the main text of every page. Null and empty pages give the empty text; repeated rows are
-    worked on each; a column named as ``into`` is replaced; an empty table stays empty."""
+    """Add the main text of every page. Null and empty pages give the empty text, a very long page is
+    read whole; repeated rows are worked on each; a column named as ``into`` is replaced; an empty table stays empty."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

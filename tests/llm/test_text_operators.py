@@ -224,3 +224,59 @@ def test_a_named_section_of_the_article_stays(name):
     assert main_text.main_text(page(f"<article>{STORY}{section}</article>")) == want
     readers = "<section id='comments'><p>Nice, I like it. Very much, in fact.</p></section><div class='related-posts'><p>Another story, in short. Read it, please.</p></div>"
     assert main_text.main_text(page(f"<article>{STORY}{section}{readers}</article>")) == want
+
+
+def test_ratios_against_a_slow_version():
+    """Text and punctuation by path, smoothed over the nodes, fused and averaged back by path."""
+    rng = random.Random(2)
+    real = [(("html", rng.choice(["div", "p", "ul"])), "".join(rng.choice("ab ,.!") for _ in range(rng.randint(1, 60))) + "x") for _ in range(40)]
+    index, of, ratio, spread = main_text._ratios(real)
+    groups = {}
+    for p, s in real:
+        groups.setdefault(p, []).append(" ".join(s.split()))
+    length = [sum(map(len, groups[p])) / len(groups[p]) for p, _ in real]
+    stops = [sum(c in ".,;:!?" for s in groups[p] for c in s) / len(groups[p]) for p, _ in real]
+
+    def smooth(x):
+        out = []
+        for i in range(len(x)):
+            near = [(np.exp(-0.5 * d * d), x[i + d]) for d in range(-2, 3) if 0 <= i + d < len(x)]
+            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        return out
+
+    fused = [np.sqrt(a * (b + 0.1)) for a, b in zip(smooth(length), smooth(stops))]
+    assert spread == pytest.approx(np.std(fused))
+    for p, i in index.items():
+        assert ratio[i] == pytest.approx(np.mean([f for f, (q, _) in zip(fused, real) if q == p]))
+
+
+def test_the_threshold_selects_where_names_are_gone(spark, monkeypatch):
+    """Without article elements, classes and ids the paths' ratios find the article; without them, worse."""
+    import re
+    from collections import Counter
+
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    wanted = [main_text.main_text(p) for p in pages]
+    bare = [re.sub(r"\s(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"<(/?)(article|nav|aside|footer|header|form|section|main)\b", r"<\1div", p)) for p in pages]
+
+    def score():
+        out = []
+        for p, want in zip(bare, wanted):
+            a, b = Counter(main_text.main_text(p).split()), Counter(want.split())
+            out.append(2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())))
+        return np.mean(out)
+
+    with_ratios, ratios = score(), main_text._ratios
+    monkeypatch.setattr(main_text, "_ratios", lambda real: (*ratios(real)[:2], np.ones(len(ratios(real)[2])), 0.0))
+    assert with_ratios >= 0.99 and score() < with_ratios - 0.005
+
+
+def test_formulas_stay():
+    page = "<html><body><article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here, as was said before.</p></article></body></html>"
+    assert main_text.main_text(page) == "Energy is E=mc2 here, as was said before."
+
+
+def test_a_very_long_page_is_read_whole():
+    words = [f"Word{i}, and more." for i in range(40_000)]
+    page = "<html><body><div><a>menu</a></div><div>" + "".join(f"<p>{w}</p>" for w in words) + "</div></body></html>"
+    assert main_text.main_text(page) == " ".join(words)
