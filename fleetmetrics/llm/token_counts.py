@@ -27,6 +27,8 @@ MODEL = "piece_bpe_32k.model"
 #: The mark that the model puts for a space; written in a text it is read as a space.
 MARK = "▁"
 UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
+#: Code points of the longest pre-token a worker's cache keeps: with its entries that bounds its bytes.
+LONGEST_KEPT = 64
 _CACHES: dict = {}
 
 
@@ -44,7 +46,8 @@ def check_vocabulary(model: sentencepiece.SentencePieceProcessor) -> None:
 
 
 class PieceLengths(dict):
-    """Pre-token to number of pieces; misses are encoded and kept, up to a number of entries."""
+    """Pre-token to number of pieces; misses are encoded and kept, up to a number of entries and a length
+    each (without spaces a pre-token is a whole line)."""
 
     def __init__(self, model_file: str, frequent: dict[str, int]):
         self.model, self.frequent = sentencepiece.SentencePieceProcessor(model_file=model_file), frequent
@@ -57,10 +60,11 @@ class PieceLengths(dict):
             n = 1
         else:
             n = len(self.model.encode(unit[1:]))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-            self.update(self.frequent)
-        self[unit] = n
+        if len(unit) <= LONGEST_KEPT:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+                self.update(self.frequent)
+            self[unit] = n
         return n
 
 
@@ -84,7 +88,7 @@ def frequent_units(docs: DataFrame, text: str = "text", per_task: int = 4096, mo
 def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit: int = 4096, into: tuple[str, str, str] = ("n_bytes", "n_tokens", "over_limit")) -> DataFrame:
     """Add the bytes and tokens of every text and whether it has more than ``limit`` tokens.
 
-    Null and empty texts have none; repeated rows are counted each; columns named as in ``into`` are
+    Null and empty texts have none; a very long text is counted whole; repeated rows are counted each; columns named as in ``into`` are
     replaced; an empty table stays empty.
     """
     model_file = public_tokenizers.path(model)

@@ -48,6 +48,13 @@ def test_counts_do_not_depend_on_the_caches(monkeypatch):
     assert sum(lengths[u] for u in token_counts.units(" ".join(words))) == len(lengths.model.encode(" ".join(words)))
 
 
+def test_long_units_are_counted_but_not_kept():
+    lengths = token_counts.PieceLengths(public_tokenizers.path(token_counts.MODEL), {})
+    lines = ["中文日本" * 5000, "x" * 3000, "short"]
+    assert sum(lengths[u] for u in token_counts.units("\n".join(lines))) == len(lengths.model.encode("\n".join(lines)))
+    assert max(map(len, lengths)) <= token_counts.LONGEST_KEPT and "\nshort" in lengths
+
+
 def test_ids_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, encode = Tokenizer.from_file(path), byte_bpe(path)
