@@ -10,7 +10,7 @@ from fleetmetrics.plans import ORACLES, QUERIES
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Their SQL takes it that a series has a value every day, which the smallest data set does not give.
-DENSE = {"rule_ranges", "stream_notifications"}
+DENSE = {"rule_ranges", "stream_inhibit", "stream_notifications", "stream_repeat"}
 
 
 @pytest.fixture(scope="module")
