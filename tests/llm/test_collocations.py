@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fleetmetrics.llm import collocations
@@ -61,15 +62,38 @@ def test_equals_a_plain_count(spark):
     assert run(spark, rows, least=25, inside=90, top=3) == plain(rows, 25, 90, 3)
 
 
-def test_small_state_and_frequent_pairs_change_nothing(spark, monkeypatch):
+def test_frequent_pairs_change_nothing(spark, monkeypatch):
     rows = corpus(2, 300)
-    for name, value in (("HELD", 50), ("PACKED", 3), ("SAMPLED", 1.0), ("FREQUENT", 0.01), ("PARTS", 3)):
+    for name, value in (("SAMPLED", 1.0), ("PARTS", 3)):
         monkeypatch.setattr(collocations, name, value)
     texts = spark.createDataFrame(rows, "lang string, text string").selectExpr("coalesce(lang, 'und') as lang", "cast(text as binary) as t")
     assert collocations.frequent_pairs(texts)
     assert run(spark, rows) == plain(rows)
 
 
+def test_a_task_that_empties_its_counts_often_sends_the_same_sums(monkeypatch):
+    rows = [(lang or "und", text.encode()) for lang, text in corpus(4, 200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part], pa.binary())], ["lang", "t"]) for part in (rows[:90], rows[90:120], rows[120:])]
+
+    def sums(frequent):
+        seen, out, packed = collocations.WindowCounts(), Counter(), 0
+        for last in (*collocations._counted(iter(batches), seen), True):
+            for batch in seen.packed(7, frequent):
+                for r in batch.to_pylist():
+                    packed += 1
+                    for w in zip(*(r[c].split(" ") for c in ("w1", "w2", "w3")), r["n"], strict=True):
+                        out[(r["lang"], *w[:3])] += w[3]
+                        assert (r["bucket"] >= 7) == ((r["lang"], *w[:2]) in frequent)
+        return out, packed
+
+    whole, few = sums(set())
+    for name, value in (("HELD", 20), ("PACKED", 3)):
+        monkeypatch.setattr(collocations, name, value)
+    small, many = sums({("en", "a", "b"), ("und", "new", "york")})
+    assert small == whole and many > few
+    assert sum(whole.values()) == sum(len(collocations.words_and_breaks(t)) - collocations.words_and_breaks(t).count(b".") for _, t in rows)
+
+
 def test_very_long_text_and_no_rows(spark):
     rows = [("en", " ".join(f"w{i % 997} v" for i in range(300_000)))]
     got = run(spark, rows)
