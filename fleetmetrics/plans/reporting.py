@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .. import refresh
@@ -10,7 +12,7 @@ from ..reports.panels import Panel, evaluate_panel
 from ..session import shared_dir
 from ..sources import logs, samples as smp
 from ..sources.tables import table
-from .registry import CTR, G, M, RANGE, ctr, epoch, grid, m, query, r
+from .registry import CTR, G, M, RANGE, bounds, ctr, epoch, grid, m, query, r
 from .selecting import log_lines
 
 
@@ -183,20 +185,25 @@ def archive_two_runs(spark, sf):
 
 @query(
     "log_multiline",
-    """select cast(user_id % 3 as varchar) as shape, count(*) as lines, round(sum(value), 4) as total_ms from events where cast(ts as date) = date '2024-01-15' and event_type <> 'error' group by 1""",
+    """with d as (select cast(make_timestamp((min(epoch_us(ts)) + max(epoch_us(ts))) // 2) as date) as day from events)
+    select cast(user_id % 3 as varchar) as shape, count(*) as lines, round(sum(value), 4) as total_ms, 0 as other_days from events, d where cast(ts as date) = day and event_type <> 'error' group by 1""",
 )
 def log_multiline(spark, sf):
-    """A day of log files whose statements run over several lines, read back as whole records."""
+    """Log files of every day, whose statements run over several lines; those of the day in the middle of
+    the table are read back as whole records, and no record of another day."""
     path = shared_dir(spark, "logs")
-    e = table(spark, sf, "events").where("cast(ts as date) = date'2024-01-15'")
+    e = table(spark, sf, "events")
     text = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC [10.0.0.1(5432)] [7]: [1-1] user=u,db="), F.col("event_type"), F.lit(",e=00000 LOG:  duration: "), F.col("value").cast("string"),
         F.lit(" ms  statement: select a\n\tfrom t\nwhere x = "), (F.col("user_id") % 3).cast("string"), F.lit(" and y = 'b'"),
     )
-    e.select(text.alias("value")).write.text(path)
-    log = logs.select(logs.parse(logs.read_day(spark, path, "2024-01-15", pattern="part-*")), exclude_db=["error"])
+    e.select(text.alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("log_day")).repartition("log_day").write.partitionBy("log_day").text(path)
+    lo, hi = (u or 0 for u in bounds(spark, sf))
+    day = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=(lo + hi) // 2)).strftime("%Y-%m-%d")
+    log = logs.select(logs.parse(logs.read_day(spark, f"{path}/log_day={day}", day, pattern="part-*")), exclude_db=["error"])
     shape = F.regexp_extract(logs.statement(F.col("message")), r"(?s)^select a\s+from t\s+where x = (\d)", 1)
-    return log.groupBy(shape.alias("shape")).agg(F.count("*").alias("lines"), r(F.sum(logs.duration_ms(F.col("message"))), 4).alias("total_ms"))
+    others = F.count_if(~F.col("log_time").cast("string").startswith(day)).cast("int")
+    return log.groupBy(shape.alias("shape")).agg(F.count("*").alias("lines"), r(F.sum(logs.duration_ms(F.col("message"))), 4).alias("total_ms"), others.alias("other_days"))
 
 
 @query("refresh_files", f"with {M} select strftime(ts, '%Y-%m-%d') as day, metric, count(*) as n, round(sum(value), 4) as total from m group by 1, 2")
