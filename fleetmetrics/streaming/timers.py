@@ -3,7 +3,8 @@
 Every processor here holds the rows of a key until the watermark has passed them and then works them off
 in order, so the outcome does not depend on how rows are spread over micro-batches or in which order
 they come within the delay. A timer wakes a key when the next held row or deadline is due. State is kept
-in RocksDB; a key holds its rows of one delay, not its history.
+in RocksDB; a key holds its rows of one delay, not its history. The Python worker never has them all: they
+are kept as sorted runs in pieces and merged, so its memory does not follow the rows of a key.
 
 What the final watermark of a finished input has not reached stays open: a stream that goes on will
 emit it.
@@ -11,19 +12,26 @@ emit it.
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched, groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import shared_dir
 from ..timeutil import micros
 
 #: Timers need this state store; it also keeps state that is larger than memory.
 CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+#: Rows that a worker sorts at once, rows of a stored piece, and runs of one level that are merged into one of the next.
+SORTED, PIECE, RUNS = 20_000, 1000, 16
+
 
 def _ms(us: int) -> int:
     """The first millisecond that is not before an instant."""
@@ -31,82 +39,151 @@ def _ms(us: int) -> int:
 
 
 class InOrder(StatefulProcessor):
-    """Base of the processors: ``held`` rows by instant, one state row, one timer.
+    """Base of the processors: held rows by instant, one state row, one timer.
+
+    A subclass gives ``state_schema`` (DDL), ``row_of`` for an input row (a tuple of numbers, strings and booleans that begins with
+    its instant in microseconds; None to pass over it) and ``advance(key, state, rows, now)`` that takes rows
+    in order and returns the new state, output rows without the key and the next deadline, if any. It
+    is called for pieces of the rows up to the watermark, at last without rows at the watermark. An input row may
+    be the first state of its key (``seed``), and rows that change no outcome may be left out (``thin``).
 
-    A subclass gives ``state_schema`` and ``row_schema`` (DDL; held rows begin with ``u``, their instant in
-    microseconds), ``row_of`` for an input row (None to pass over it), ``advance(key, state, rows, now)`` that takes the rows up
-    to ``now`` in order and returns the new state, output rows without the key and the next deadline, if any.
+    A run is (number, first piece, end, first instant, level): sorted rows, stored in pieces. New rows are sorted in memory up to a
+    limit, and ``RUNS`` runs of a level are merged into one of the next.
     """
 
-    state_schema = row_schema = ""
+    state_schema = ""
     names: Sequence[str] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
-        self.held = handle.getListState("held", self.row_schema)
+        self.runs = handle.getValueState("runs", "runs string")
+        self.pieces = handle.getMapState("pieces", "run long, piece long", "rows string")
 
     def close(self) -> None:
         pass
 
+    def seed(self, row: Row) -> tuple | None:
+        return None
+
     def row_of(self, row: Row) -> tuple | None:
         raise NotImplementedError
 
-    def advance(self, key: tuple, state: tuple | None, rows: list[tuple], now: int) -> tuple[tuple | None, list[tuple], int | None]:
+    def thin(self, rows: list[tuple]) -> list[tuple]:
+        return rows
+
+    def advance(self, key: tuple, state: tuple | None, rows: Sequence[tuple], now: int) -> tuple[tuple | None, list[tuple], int | None]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        return self._work(key, [x for r in rows if (x := self.row_of(r)) is not None], timerValues)
+        return self._work(key, rows, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._work(key, [], timerValues)
-
-    def _work(self, key, new: list[tuple], timers) -> Iterator[Row]:
+        return self._work(key, (), timerValues)
+
+    def _add(self, runs: list[list], rows: Iterable[tuple], level: int = 0) -> None:
+        number, end, first = max((r[0] for r in runs), default=-1) + 1, 0, None
+        for piece in batched(rows, PIECE):
+            first = piece[0][0] if first is None else first
+            self.pieces.updateValue((number, end), (json.dumps(piece),))
+            end += 1
+        if end:
+            runs.append([number, 0, end, first, level])
+        if len(full := [r for r in runs if r[4] == level]) >= RUNS:
+            self._add(runs, _distinct(heapq.merge(*(self._take(r) for r in full))), level + 1)
+            runs[:] = [r for r in runs if r[1] < r[2]]
+
+    def _take(self, run: list, until: int | None = None) -> Iterator[tuple]:
+        """The rows of a run up to an instant, which leave the state."""
+        while run[1] < run[2] and (until is None or run[3] <= until):
+            at = (run[0], run[1])
+            rows = [tuple(x) for x in json.loads(self.pieces.getValue(at)[0])]
+            n = len(rows) if until is None else bisect_right(rows, until, key=lambda x: x[0])
+            yield from rows[:n]
+            if n < len(rows):
+                if n:
+                    self.pieces.updateValue(at, (json.dumps(rows[n:]),))
+                run[3] = rows[n][0]
+                return
+            self.pieces.removeKey(at)
+            run[1] += 1
+
+    def _work(self, key, new: Iterable[Row], timers) -> Iterator[Row]:
         now = timers.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        waiting = sorted({*held, *new})  # a repeated row is one row
-        due = [r for r in waiting if r[0] <= now]
-        later = waiting[len(due) :]
-        state, out, deadline = self.advance(key, self.state.get() if self.state.exists() else None, due, now)
+        named = Row(*self.names)
+        state = self.state.get() if self.state.exists() else None
+        before = json.loads(self.runs.get()[0]) if self.runs.exists() else []
+        runs, fresh = [list(r) for r in before], []
+        for row in new:
+            if (first := self.seed(row)) is not None:
+                state = first if state is None else state
+            elif (x := self.row_of(row)) is not None:
+                fresh.append(x)
+                if len(fresh) >= SORTED:
+                    fresh = self.thin(sorted({*fresh}))
+                    if len(fresh) > SORTED // 2:
+                        self._add(runs, fresh)
+                        fresh = []
+        fresh = self.thin(sorted({*fresh}))
+        n = bisect_right(fresh, now, key=lambda x: x[0])
+        due = _distinct(heapq.merge(fresh[:n], *(self._take(r, now) for r in runs)))  # a repeated row is one row
+        for rows in batched(due, PIECE):
+            state, out, _ = self.advance(key, state, rows, rows[-1][0] - 1)  # more rows of the last instant may follow
+            yield from (named(*key, *x) for x in out)
+        state, out, deadline = self.advance(key, state, (), now)
+        yield from (named(*key, *x) for x in out)
         if state is None:
             self.state.clear()
         else:
             self.state.update(state)
-        if later:
-            self.held.put(later)
-        else:
-            self.held.clear()
-        wake = min([_ms(u) for u in (deadline, later[0][0] if later else None) if u is not None], default=None)
+        runs = [r for r in runs if r[1] < r[2]]
+        self._add(runs, fresh[n:])
+        if runs:
+            if runs != before:
+                self.runs.update((json.dumps(runs),))
+        elif before:
+            self.runs.clear()
+        wake = min([_ms(u) for u in (deadline, *(r[3] for r in runs)) if u is not None], default=None)
         for t in list(self.handle.listTimers()):
             if t != wake:
                 self.handle.deleteTimer(t)
         if wake is not None:
             self.handle.registerTimer(max(wake, timers.getCurrentWatermarkInMs() + 1))
-        named = Row(*self.names)
-        return iter([named(*key, *x) for x in out])
 
 
-def _stream(stream: DataFrame, keys: Sequence[str], processor: InOrder, added: str, ts: str, delay: str, initial: DataFrame | None = None) -> DataFrame:
+def _distinct(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Sorted rows, equal ones once."""
+    return (x for x, _ in groupby(rows))
+
+
+def _stream(stream: DataFrame, keys: Sequence[str], processor: InOrder, added: str, ts: str, delay: str) -> DataFrame:
     schema = T.StructType([*[stream.schema[k] for k in keys], *T._parse_datatype_string(added).fields])
     processor.names = schema.names
-    first = initial.groupBy(*keys) if initial is not None else None
-    return stream.withWatermark(ts, delay).groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime", initialState=first)
+    return stream.withWatermark(ts, delay).groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
 
 
 class _DeadMan(InOrder):
     """State: instant of the last sample or of the registration, whether it was a sample, whether down."""
 
-    state_schema, row_schema = "last long, seen boolean, down boolean", "u long"
+    state_schema = "last long, seen boolean, down boolean"
 
     def __init__(self, gap: int):
         self.gap = gap
 
+    def seed(self, row: Row) -> tuple | None:
+        return None if row["since"] is None else (row["since"], False, False)
+
     def row_of(self, row: Row) -> tuple:
         return (row["u"],)
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.state.update((initialState["u"], False, False))
-        self.handle.registerTimer(max(_ms(initialState["u"] + self.gap), 1))
+    def thin(self, rows):
+        """The first and last sample of each stretch of one gap: wherever the watermark stands between them, the
+        silence since the first is no longer than the gap."""
+        kept = []
+        for _, same in groupby(rows, key=lambda x: x[0] // max(self.gap, 1)):
+            first, *others = same
+            kept += [first, *others[-1:]]
+        return kept
 
     def advance(self, key, state, rows, now):
         if state is None:  # not a target
@@ -135,16 +212,24 @@ def dead_man(samples: DataFrame, targets: DataFrame, gap, keys: Sequence[str] =
     ``targets`` (keys, ``since``) seed the state, so a target that never sends is reported ``gap`` after
     it was registered, with no ``last_seen``. Each sample re-arms the target's timer; ``down`` is emitted
     once for a silence of over ``gap``, ``up`` with the sample that ends it. Other series are passed over.
+
+    Targets are stored and come as a stream beside the samples, without an instant, so they do not move the watermark: with an
+    initial state a Python worker would hold all samples of a key.
     """
-    flat = samples.select(*keys, ts, F.unix_micros(ts).alias("u"))
-    out = _stream(flat, keys, _DeadMan(micros(gap)), "event string, at long, last_seen long", ts, delay, targets.select(*keys, F.unix_micros(since).alias("u")))
+    spark, base = samples.sparkSession, shared_dir(samples.sparkSession, "targets")
+    none = F.lit(None)
+    flat = samples.select(*keys, ts, F.unix_micros(ts).alias("u"), none.cast("long").alias("since"))
+    rows = targets.select(*keys, none.cast(samples.schema[ts].dataType).alias(ts), none.cast("long").alias("u"), F.unix_micros(since).alias("since"))
+    rows.write.parquet(base)
+    flat = flat.unionByName(spark.readStream.schema(rows.schema).parquet(base))
+    out = _stream(flat, keys, _DeadMan(micros(gap)), "event string, at long, last_seen long", ts, delay)
     return out.select(*keys, "event", F.timestamp_micros("at").alias("at"), F.timestamp_micros("last_seen").alias("last_seen"))
 
 
 class _Epochs(InOrder):
     """State: value, first and last instant and number of samples of the run that is open."""
 
-    state_schema, row_schema = "value string, start long, last long, n long", "u long, v string"
+    state_schema = "value string, start long, last long, n long"
 
     def row_of(self, row: Row) -> tuple:
         return (row["u"], row["v"])
@@ -177,7 +262,7 @@ def epochs(samples: DataFrame, value: str, keys: Sequence[str] = ("series_key",)
 class _Alert(InOrder):
     """State: start of the activation (if any) and the last instant. Rows: instant, active, hold."""
 
-    state_schema, row_schema = "since long, last long, hold long", "u long, active boolean, hold long"
+    state_schema = "since long, last long, hold long"
 
     def __init__(self, step: int):
         self.step = step
@@ -228,7 +313,7 @@ class _Notify(InOrder):
     """State: start of the group's life, firing alerts, the last notification, the flush that is due and
     the alerts that changed since the one before, which are those of one interval."""
 
-    state_schema, row_schema = "life long, firing long, sent long, due long, moved string", "u long, member string, d int"
+    state_schema = "life long, firing long, sent long, due long, moved string"
 
     def __init__(self, wait: int, interval: int, repeat: int):
         # a repeat waits for the next flush

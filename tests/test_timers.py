@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+import random
+import tracemalloc
 
 import pytest
 from helpers import T0, at, series
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_streaming import evals, stream_of
 
@@ -110,3 +114,117 @@ def test_an_emptied_stream_gives_no_closed_rows(spark, monkeypatch, name):
     for module in (streams, timed):
         monkeypatch.setattr(module, "table_stream", lambda s, d, n, f=module.table_stream: f(s, d, n).where("false"))
     assert name in ORACLES and QUERIES[name](spark, sf).count() < 0.7 * whole
+
+
+class _Stored:
+    """State of one key in files, as a state store outside the worker."""
+
+    def __init__(self, base):
+        self.base, self.timers = base, set()
+
+    def getValueState(self, name, schema):
+        return _Variable(self.base / name)
+
+    getListState = getValueState
+
+    def getMapState(self, name, key, schema):
+        return _Variable(self.base / name)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+class _Variable:
+    def __init__(self, path):
+        path.mkdir(parents=True)
+        self.path = path
+
+    def exists(self):
+        return (self.path / "v").exists()
+
+    def get(self):
+        return pickle.loads((self.path / "v").read_bytes())
+
+    def update(self, value):
+        (self.path / "v").write_bytes(pickle.dumps(value))
+
+    put = update
+
+    def clear(self):
+        (self.path / "v").unlink(missing_ok=True)
+
+    def getValue(self, key):
+        return pickle.loads((self.path / "_".join(map(str, key))).read_bytes())
+
+    def updateValue(self, key, value):
+        (self.path / "_".join(map(str, key))).write_bytes(pickle.dumps(value))
+
+    def removeKey(self, key):
+        (self.path / "_".join(map(str, key))).unlink()
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def _drive(processor, names, base, batches):
+    """Output rows after batches (watermark in ms, input rows), the most memory of a call and what is still stored."""
+    processor.names = names
+    handle = _Stored(base)
+    processor.init(handle)
+    out, most = [], 0
+    for ms, rows in batches:
+        tracemalloc.start()
+        out += [tuple(r) for r in processor.handleInputRows(("k",), (Row(**r) for r in rows), _Now(ms))]
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    return out, most, len([*(base / "pieces").glob("*")]), handle.timers
+
+
+@pytest.fixture
+def small(monkeypatch):
+    for name, n in (("SORTED", 400), ("PIECE", 50), ("RUNS", 3)):
+        monkeypatch.setattr(timers, name, n, raising=False)
+
+
+def test_a_worker_holds_a_part_of_a_key(small, tmp_path):
+    n = 20_000
+    rows = [(i * 1000, "ab"[i // 7 % 2]) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    rows += rows[:500]  # and some twice
+    inputs = ({"k": "k", "u": u, "v": v} for u, v in rows)
+    names = ["k", "value", "start", "last", "samples", "ended", "next_value"]
+    # all rows of the key wait, then come due in two steps, and a late one lengthens a run
+    late = n // 2 + 3
+    got, most, stored, wakes = _drive(timers._Epochs(), names, tmp_path, [(-1, inputs), (n // 2, []), (n // 2, [{"k": "k", "u": late * 1000 + 1, "v": "ab"[late // 7 % 2]}]), (n, [])])
+    want = [("k", "ab"[i % 2], i * 7000, (i * 7 + 6) * 1000, 7 + (i == late // 7), (i + 1) * 7000, "ab"[(i + 1) % 2]) for i in range((n - 1) // 7)]
+    if late % 7 == 6:
+        want[late // 7] = (*want[late // 7][:3], late * 1000 + 1, *want[late // 7][4:])
+    assert got == want and (stored, wakes) == (0, set())
+    assert most < 1_500_000
+
+
+def test_a_dead_man_keeps_what_bounds_silences(small, tmp_path):
+    rnd, gap = random.Random(2), 50_000
+    times = sorted({t for _ in range(40) for a in [rnd.randrange(20_000_000)] for t in rnd.sample(range(a, a + 90_000), 500)})
+    us, end = rnd.sample(times, len(times)), 25_000_000
+    want, last, seen = [], 0, False
+    for u in [*times, None]:
+        if (u or end + 1) > last + gap:
+            want += [("k", "down", last + gap, last if seen else None)] + ([("k", "up", u, last if seen else None)] if u else [])
+        last, seen = u, True
+    first = [{"k": "k", "u": u, "since": None} for u in us[:9000]] + [{"k": "k", "u": None, "since": 0}]
+    # the watermark stands between the samples of a stretch, later ones come after it
+    at = times[len(times) // 2] // 1000
+    more = [{"k": "k", "u": u, "since": None} for u in us[9000:] if u > at * 1000]
+    early = [{"k": "k", "u": u, "since": None} for u in us[9000:] if u <= at * 1000]
+    got, most, stored, _ = _drive(timers._DeadMan(gap), ["k", "event", "at", "last_seen"], tmp_path, [(0, (x for x in first + early)), (at, []), (at, more), (end // 1000, [])])
+    assert got == want and len(want) > 40 and stored == 0
+    assert most < 2_000_000
