@@ -7,11 +7,13 @@ so no text is taken apart a second time.
 
 1. A task lines the words of its texts up, takes the columns led by one and by two, and counts equal
    windows in numpy. Counted windows leave it packed by bucket, many to a row.
-2. A bucket holds all windows of its pairs, so sums of windows and of pairs are complete in it. A
-   window too rare to be a candidate gives up its third word, a pair too rare its second: they still
-   count in their prefixes, and what is stored shrinks to words and frequent phrases. Pairs that a
-   sample shows to be very frequent are dealt by all three words instead and keep their second word;
-   the sample decides where windows are summed, never what is counted.
+2. A bucket holds all windows of its pairs, so sums of windows and of pairs are complete in it. Spark
+   deals the buckets out and a task sums them one after the other in numpy. A window too rare to be a
+   candidate gives up its third word, a pair too rare its second: they still count in their prefixes,
+   and what is stored shrinks to words and frequent phrases. Pairs that a sample shows to be very
+   frequent are dealt by all three words instead and keep their second word; the sample decides where
+   windows are summed, never what is counted. A bucket of more windows than a task holds is handed on
+   in parts, and none of its windows gives a word up.
 3. ROLLUP sums the prefixes over all buckets. Both parts of any cut are at least as frequent as the
    phrase, so rows below the smallest count are of no further use.
 """
@@ -35,8 +37,8 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS, b"abcdefghijklm
 NO_LANG = "und"
 #: Bits of one word's number in a window, and windows a task holds before it hands them on.
 BITS, HELD = 21, 3_000_000
-#: Windows in a packed row, and buckets for each shuffle partition.
-PACKED, BUCKETS = 4096, 3
+#: Windows in a packed row, packed rows that a task unpacks at once, and buckets for each shuffle partition.
+PACKED, UNPACKED, BUCKETS = 4096, 64, 3
 #: Share of the documents in which very frequent pairs are looked for, the share of windows that makes
 #: a pair one, and how many there may be.
 SAMPLED, FREQUENT, MOST_FREQUENT = 0.01, 0.001, 1000
@@ -77,6 +79,17 @@ class WindowCounts:
         self.counts.setdefault(lang, []).append((keys, n))
         self.held += len(keys)
 
+    def add_packed(self, lang: str, rows: pa.RecordBatch) -> None:
+        """Add the windows of at most ``UNPACKED`` packed rows of one language."""
+        numbers = self.numbers
+        columns = [pc.list_flatten(pc.split_pattern(rows.column(c), " ")) for c in ("w1", "w2", "w3")]
+        coded = pa.concat_arrays(columns).cast(pa.binary()).dictionary_encode()
+        own = np.array([numbers.setdefault(w, len(numbers)) if w else 0 for w in coded.dictionary.to_pylist()], np.int64)
+        one, two, three = own[coded.indices.to_numpy()].reshape(3, -1)
+        n = pc.list_flatten(rows.column("n")).to_numpy()
+        self.counts.setdefault(lang, []).append(((one << 2 * BITS) | (two << BITS) | three, n))
+        self.held += len(n)
+
     def full(self) -> bool:
         return self.held >= HELD or len(self.numbers) >= 1 << (BITS - 1)
 
@@ -131,6 +144,52 @@ class WindowCounts:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array([lang] * len(s), pa.string()), *joined, numbers], ["bucket", "lang", "w1", "w2", "w3", "n"])
         self.clear()
 
+    def shrunk(self, least: int, whole_pairs: bool, whole: bool) -> Iterator[pa.RecordBatch]:
+        """(lang, w1, w2, w3, n): sums without the words that are too rare, null in their place; then
+        starts anew. ``whole_pairs``: all windows of a pair are here; ``whole``: all of a window are."""
+        self.merge()
+        strings = pa.array([None, *list(self.numbers)[1:]], pa.binary()).cast(pa.string())
+        mask = (1 << BITS) - 1
+        for lang, [(keys, n)] in self.counts.items():
+            if whole:
+                short = np.where(n >= least, keys, keys & ~mask)
+                if whole_pairs:
+                    first = np.flatnonzero(np.diff(keys >> BITS, prepend=-1))
+                    pair = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(keys)))
+                    short = np.where(pair >= least, short, short & mask << 2 * BITS)
+                keys, at = np.unique(short, return_inverse=True)
+                n = np.bincount(at, n, len(keys)).astype(np.int64)
+            for i in range(0, len(keys), 16 * PACKED):
+                part = keys[i : i + 16 * PACKED]
+                words = [pc.take(strings, pa.array(x)) for x in (part >> 2 * BITS, (part >> BITS) & mask, part & mask)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *words, pa.array(n[i : i + 16 * PACKED])], ["lang", "w1", "w2", "w3", "n"])
+        self.clear()
+
+
+def summed(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sums of packed rows that come bucket by bucket; the second half of the buckets has parts of pairs."""
+    seen, at, whole = WindowCounts(), None, True
+    for batch in batches:
+        groups = list(zip(batch.column("bucket").to_pylist(), batch.column("lang").to_pylist(), strict=True))
+        start = 0
+        while start < len(groups):
+            end = start + 1
+            while end < min(len(groups), start + UNPACKED) and groups[end] == groups[start]:
+                end += 1
+            bucket, lang = groups[start]
+            if bucket != at:
+                yield from seen.shrunk(least, at is not None and at < buckets, whole)
+                at, whole = bucket, True
+            if seen.full():
+                before = seen.held
+                seen.merge()
+                if seen.full() or seen.held > before // 2:
+                    whole = False
+                    yield from seen.shrunk(least, False, whole)
+            seen.add_packed(lang, batch.slice(start, end - start))
+            start = end
+    yield from seen.shrunk(least, at is not None and at < buckets, whole)
+
 
 def _counted(batches: Iterator[pa.RecordBatch], seen: WindowCounts) -> Iterator[None]:
     """Count all batches; stops where ``seen`` should be emptied."""
@@ -176,15 +235,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         yield from seen.packed(buckets, frequent)
 
     packed = texts.mapInArrow(windows, "bucket long, lang string, w1 string, w2 string, w3 string, n array<long>")
-    split = F.arrays_zip(*[F.split(w, " ").alias(w) for w in ("w1", "w2", "w3")], F.col("n"))
-    each = packed.repartition("bucket").select("bucket", "lang", F.inline(split).alias("w1", "w2", "w3", "n"))
-    longest = each.groupBy("bucket", "lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    third = F.when((F.col("n") >= least) & (F.col("w3") != ""), F.col("w3"))
-    longest = longest.withColumn("w3", third).groupBy("bucket", "lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    pair = F.sum("n").over(Window.partitionBy("bucket", "lang", "w1", "w2"))
-    second = F.when((F.col("w2") != "") & ((F.col("pair") >= least) | (F.col("bucket") >= buckets)), F.col("w2"))
-    shrunk = longest.withColumn("pair", pair).withColumn("w2", second).groupBy("bucket", "lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    tops = stored(shrunk.drop("bucket"), "longest-windows")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    tops = stored(dealt.mapInArrow(lambda batches: summed(batches, least, buckets), "lang string, w1 string, w2 string, w3 string, n long"), "longest-windows")
     levels = tops.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     size = F.when(F.col("g") == 7, 0).when(F.col("g") == 3, 1).when((F.col("g") == 1) & F.col("w2").isNotNull(), 2).when((F.col("g") == 0) & F.col("w3").isNotNull(), 3)
     levels = levels.select("lang", size.alias("size"), "w1", "w2", "w3", "n").where("size is not null")

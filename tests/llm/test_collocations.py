@@ -99,3 +99,52 @@ def test_very_long_text_and_no_rows(spark):
     got = run(spark, rows)
     assert got == plain(rows) and got
     assert run(spark, []) == [] and run(spark, [("en", None), (None, "")]) == []
+
+
+def test_sums_of_buckets_are_those_of_all_windows_however_little_a_task_holds(monkeypatch):
+    least, rows = 3, [(lang or "und", text.encode()) for lang, text in corpus(6, 200)]
+    frequent = {("en", "a", "b"), ("und", "new", "york")}
+    batches = []
+    for part in (rows[:90], rows[90:]):
+        counts = collocations.WindowCounts()
+        batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part], pa.binary())], ["lang", "t"])
+        for _ in collocations._counted(iter([batch]), counts):
+            raise AssertionError
+        batches += counts.packed(5, frequent)
+    dealt = pa.Table.from_batches(batches).sort_by([("bucket", "ascending")])
+    windows = Counter()
+    for r in dealt.to_pylist():
+        for *w, n in zip(*(r[c].split(" ") for c in ("w1", "w2", "w3")), r["n"], strict=True):
+            windows[(r["lang"], *(x or None for x in w))] += n
+
+    def phrases(sums):
+        out = Counter()
+        for (lang, *w), n in sums.items():
+            for size in range(1, 4):
+                if w[size - 1]:
+                    out[(lang, *w[:size])] += n
+        return {p: n for p, n in out.items() if len(p) == 2 or n >= least}
+
+    def sums(most):
+        out, rows_out = Counter(), 0
+        for batch in collocations.summed(iter(dealt.to_batches(max_chunksize=most)), least, 5):
+            for r in batch.to_pylist():
+                out[tuple(r[c] for c in ("lang", "w1", "w2", "w3"))] += r["n"]
+                rows_out += 1
+        return out, rows_out
+
+    whole, few = sums(1000)
+    assert phrases(whole) == phrases(windows) and few < len(windows)
+    assert all(n >= least for (_, _, _, w3), n in whole.items() if w3)
+    for name, value in (("HELD", 40), ("UNPACKED", 1)):
+        monkeypatch.setattr(collocations, name, value)
+    parts, many = sums(2)
+    assert phrases(parts) == phrases(windows) and many > few
+
+
+def test_windows_are_summed_without_a_row_for_each(spark, monkeypatch):
+    plans, real = {}, collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df, purpose: plans.setdefault(purpose, df._jdf.queryExecution().toString()) and real(df, purpose))
+    rows = corpus(7)
+    assert run(spark, rows) == plain(rows)
+    assert "MapInArrow" in plans["longest-windows"] and not any(x in plans["longest-windows"] for x in ("Generate", "Aggregate", "Window ["))
